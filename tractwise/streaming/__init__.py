@@ -1,0 +1 @@
+"""No streaming operators: the analysed workflow is batch only, so this package stays empty."""
