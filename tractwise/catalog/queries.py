@@ -78,12 +78,13 @@ def _bin_scores(spark, sf):
 
 def _segment_sets(spark, sf):
     """Predicted segments (labels of the 3-point mean), true segments and all datasets."""
-    base = series.smooth(fx.series(spark, sf))
+    every = settle(fx.series(spark, sf))
+    base = series.smooth(every)
     twice = series.rolling_mean(base, "yf", "y3", 3, "extend").withColumn(
         "pred", col.tau_label(F.col("y3"), SEGMENT_TAU))
     pred = series.segments(twice, "pred", "delta")
-    truth = series.truth_segments(fx.series(spark, sf))
-    return pred, truth, fx.series(spark, sf).select("dataset").distinct()
+    truth = series.truth_segments(every)
+    return settle(pred), settle(truth), every.select("dataset").distinct()
 
 
 # --- sources and sinks ----------------------------------------------------------------------
@@ -385,7 +386,7 @@ def train_test_split(spark, sf):
 
 @query
 def impute_median(spark, sf):
-    gaps = _robust(spark, sf).select("dataset", *[
+    gaps = settle(_robust(spark, sf)).select("dataset", *[
         F.when(F.col("prop_pos") <= 0.55, F.col(c)).alias(c)
         for c in ("mean_delta", "sd_delta", "skew_delta")])
     names = ["mean_delta", "sd_delta", "skew_delta"]
@@ -403,7 +404,7 @@ def zscore_train(spark, sf):
 
 @query
 def zscore_matrix_all(spark, sf):
-    rows = _robust(spark, sf)
+    rows = settle(_robust(spark, sf))
     parts = split.stratified_split(rows)
     stats = split.column_stats(split.members(rows, parts, "train"), ROBUST)
     z = split.standardise(rows.join(parts.select("dataset", "split"), "dataset"), stats, ROBUST)
@@ -414,7 +415,7 @@ def zscore_matrix_all(spark, sf):
 
 @query
 def delta_distribution(spark, sf):
-    rows = _robust(spark, sf)
+    rows = settle(_robust(spark, sf))
     parts = split.stratified_split(rows).select("dataset", "split")
     means = features.equal_width_counts(rows.join(parts, "dataset"), "mean_delta", 20, ("split",))
     small = features.small_multiples(features.usable_deltas(_named_series(spark, sf)))

@@ -63,9 +63,10 @@ def exact_quantiles(df: DataFrame, key: str, value: str, shares: Sequence[float]
         for row in counts.groupBy(key).agg(
             F.percentile_approx(value, grid, 1000).alias("cuts")).collect()
     }
-    bucket = F.lit(0)
-    for name, points in cuts.items():
-        bucket = F.when(F.col(key) == name, bucket_of(F.col(value), points)).otherwise(bucket)
+    if not cuts:
+        return counts.groupBy(key).agg(*[F.max(value).alias(f"q{i}") for i in range(len(shares))])
+    table = F.create_map(*[c for name, points in cuts.items() for c in (F.lit(name), F.lit(points))])
+    bucket = F.size(F.filter(table[F.col(key)], lambda cut: cut < F.col(value)))
     cum = running_sums(counts.withColumn("_b", bucket), [key], value, "_b", ["_n"])
     sizes = counts.groupBy(key).agg(F.sum("_n").alias("_size"))
     picks = []

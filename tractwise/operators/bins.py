@@ -90,4 +90,5 @@ def scale_vectors(vectors: DataFrame, stats: DataFrame, out: str = "z") -> DataF
         z = (v - s["mean"]) / s["sd"]
         return F.when(z.isNull() | F.isnan(z) | (F.abs(z) == float("inf")), 0.0).otherwise(z)
 
-    return vectors.withColumn(out, F.zip_with("vec", _stat_arrays(stats), cell))
+    return vectors.withColumn("_stats", _stat_arrays(stats)).withColumn(
+        out, F.zip_with("vec", "_stats", cell)).drop("_stats")

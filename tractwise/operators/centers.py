@@ -45,8 +45,10 @@ def center_array(centers: DataFrame) -> Column:
 def center_distances(df: DataFrame, centers: DataFrame, vec: str = "vec",
                      out: str = "dists") -> DataFrame:
     """Array of (cluster, dist), sorted by cluster."""
-    return df.withColumn(out, F.transform(center_array(centers), lambda c: F.struct(
-        c["cluster"].alias("cluster"), euclid(F.col(vec), c["center"]).alias("dist"))))
+    return df.withColumn("_centers", center_array(centers)).withColumn(
+        out, F.transform("_centers", lambda c: F.struct(
+            c["cluster"].alias("cluster"), euclid(F.col(vec), c["center"]).alias("dist")))
+    ).drop("_centers")
 
 
 def nearest(dists: str = "dists") -> Column:
@@ -66,10 +68,11 @@ def memberships(dists: str = "dists") -> Column:
 def nearest_centroid(df: DataFrame, expansion: DataFrame, contraction: DataFrame,
                      vec: str = "vec") -> DataFrame:
     """Scores against two one-row centre tables: higher means more expansion-like."""
-    d_exp = euclid(F.col(vec), expansion.select("center").scalar())
-    d_con = euclid(F.col(vec), contraction.select("center").scalar())
-    return df.withColumn("d_exp", d_exp).withColumn("d_con", d_con).withColumn(
-        "score", F.col("d_con") - F.col("d_exp")).withColumn(
+    both = df.withColumn("_exp", expansion.select("center").scalar()).withColumn(
+        "_con", contraction.select("center").scalar())
+    scored = both.withColumn("d_exp", euclid(F.col(vec), F.col("_exp"))).withColumn(
+        "d_con", euclid(F.col(vec), F.col("_con"))).drop("_exp", "_con")
+    return scored.withColumn("score", F.col("d_con") - F.col("d_exp")).withColumn(
         "pred", F.when(F.col("d_exp") < F.col("d_con"), EXPANSION).otherwise(CONTRACTION))
 
 
@@ -79,15 +82,16 @@ def weighted_centers(df: DataFrame, centers: DataFrame, probs: str, out: str = "
         scaled = F.transform(pair["c"]["center"], lambda v: v * pair["p"]["weight"])
         return F.zip_with(acc, scaled, lambda a, b: F.coalesce(a, F.lit(0.0)) + b)
 
-    every = center_array(centers)
-    pairs = F.zip_with(F.col(probs), every, lambda p, c: F.struct(p.alias("p"), c.alias("c")))
-    return df.withColumn(out, F.aggregate(pairs, F.expr("cast(array() as array<double>)"), add))
+    pairs = F.zip_with(probs, "_centers", lambda p, c: F.struct(p.alias("p"), c.alias("c")))
+    return df.withColumn("_centers", center_array(centers)).withColumn(
+        out, F.aggregate(pairs, F.expr("cast(array() as array<double>)"), add)).drop("_centers")
 
 
 def chosen_center(df: DataFrame, centers: DataFrame, cluster: str, out: str = "pred_vec") -> DataFrame:
     """The centre of each row's own cluster."""
-    picked = F.filter(center_array(centers), lambda c: c["cluster"] == F.col(cluster))
-    return df.withColumn(out, F.element_at(picked, 1)["center"])
+    picked = F.filter("_centers", lambda c: c["cluster"] == F.col(cluster))
+    return df.withColumn("_centers", center_array(centers)).withColumn(
+        out, F.element_at(picked, 1)["center"]).drop("_centers")
 
 
 def confusion(df: DataFrame, truth: str = "true_label", pred: str = "pred_cluster") -> DataFrame:

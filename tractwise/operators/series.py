@@ -89,9 +89,9 @@ def _overlaps(pred: DataFrame, truth: DataFrame) -> DataFrame:
                      F.col("start_rl").alias("t_start"), F.col("end_rl").alias("t_end"))
     touching = ((p.dataset == t.t_dataset) & (p.label == t.t_label)
                 & (F.col("t_start") <= F.col("p_end")) & (F.col("p_start") <= F.col("t_end")))
-    return p.join(t, touching, "left").withColumn("iou", F.coalesce(
-        overlap_share(F.col("p_start"), F.col("p_end"), F.col("t_start"), F.col("t_end")),
-        F.lit(0.0)))
+    share = overlap_share(F.col("p_start"), F.col("p_end"), F.col("t_start"), F.col("t_end"))
+    return p.join(t, touching, "left").withColumn(
+        "iou", F.when(F.col("t_start").isNull(), 0.0).otherwise(share))
 
 
 def segment_iou(pred: DataFrame, truth: DataFrame) -> DataFrame:

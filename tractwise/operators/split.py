@@ -20,28 +20,22 @@ def stratified_split(features: DataFrame, id_col: str = "dataset", label: str =
     cannot supply is topped up from the rows not yet drawn, in the same order.
     """
     rows = features.select(id_col, label)
-    n_exp = F.count_if(F.col(label) == EXPANSION)
-    n_con = F.count_if(F.col(label) == CONTRACTION)
-    sizes = rows.agg(F.count("*").alias("n"), n_exp.alias("exp"), n_con.alias("con")).select(
-        "*", (F.col("n") - F.col("exp") - F.col("con")).alias("neu"),
-        F.greatest(F.lit(1), F.floor(share * F.col("n"))).alias("train"))
-
-    def rounded(name: str) -> F.Column:
-        part = F.bround(F.col("train") * (F.col(name) / F.col("n")), 0).cast("bigint")
-        return F.least(F.col(name), part)
-
-    quotas = sizes.select("*", rounded("exp").alias("k_exp"), rounded("con").alias("k_con")).select(
-        "*", F.least(F.col("neu"), F.greatest(
-            F.lit(0), F.col("train") - F.col("k_exp") - F.col("k_con"))).alias("k_neu"))
-    plan = quotas.select(F.struct("k_exp", "k_con", "k_neu", (
-        F.col("train") - F.col("k_exp") - F.col("k_con") - F.col("k_neu")).alias("short"))).scalar()
-    quota = (F.when(F.col(label) == EXPANSION, plan["k_exp"])
-             .when(F.col(label) == CONTRACTION, plan["k_con"]).otherwise(plan["k_neu"]))
+    sizes = rows.agg(
+        F.count("*").alias("n"), F.count_if(F.col(label) == EXPANSION).alias("exp"),
+        F.count_if(F.col(label) == CONTRACTION).alias("con")).first()
+    n = sizes["n"]
+    train = max(1, int(share * n))
+    k_exp = min(sizes["exp"], round(train * (sizes["exp"] / n))) if n else 0
+    k_con = min(sizes["con"], round(train * (sizes["con"] / n))) if n else 0
+    k_neu = min(n - sizes["exp"] - sizes["con"], max(0, train - k_exp - k_con))
+    short = train - k_exp - k_con - k_neu
+    quota = F.when(F.col(label) == EXPANSION, k_exp).when(
+        F.col(label) == CONTRACTION, k_con).otherwise(k_neu)
     ranked = hash_rank(rows, [label], id_col, "_rank", salt)
     drawn = ranked.filter(F.col("_rank") <= quota).withColumn("split", F.lit("train"))
     rest = hash_rank(ranked.filter(F.col("_rank") > quota), [], id_col, "_again", salt)
     topped = rest.withColumn(
-        "split", F.when(F.col("_again") <= plan["short"], "train").otherwise("test"))
+        "split", F.when(F.col("_again") <= short, "train").otherwise("test"))
     return drawn.select(id_col, label, "split").unionByName(topped.select(id_col, label, "split"))
 
 
@@ -56,12 +50,12 @@ def impute_median(matrix: DataFrame, columns: Sequence[str]) -> DataFrame:
     clean = [F.when(is_finite(F.col(c)), F.col(c)).alias(c) for c in columns]
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in columns])
     long = matrix.select(*clean).select(F.inline(pairs))
-    medians = exact_quantiles(long, "feature", "value", [0.5])
-    lookup = medians.agg(F.map_from_entries(F.collect_list(F.struct("feature", "q0")))).scalar()
+    medians = {r["feature"]: r["q0"]
+               for r in exact_quantiles(long, "feature", "value", [0.5]).collect()}
     others = [c for c in matrix.columns if c not in columns]
     return matrix.select(*others, *[
-        F.coalesce(c, lookup[name], F.lit(0.0)).alias(name) for c, name in zip(
-            [F.when(is_finite(F.col(n)), F.col(n)) for n in columns], columns)])
+        F.when(is_finite(F.col(c)), F.col(c)).otherwise(medians.get(c, 0.0)).alias(c)
+        for c in columns])
 
 
 def column_stats(matrix: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -75,8 +69,8 @@ def column_stats(matrix: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def standardise(matrix: DataFrame, stats: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """z-scores with the given (training) statistics."""
-    row = stats.select(F.struct(*stats.columns)).scalar()
+    """z-scores with the given (training) statistics, a handful of numbers."""
+    row = stats.first()
     others = [c for c in matrix.columns if c not in columns]
     return matrix.select(*others, *[
         ((F.col(c) - row[f"mean_{c}"]) / row[f"sd_{c}"]).alias(c) for c in columns])

@@ -24,14 +24,13 @@ DELIMITERS = [",", "\t", ";", " "]
 
 
 def _decoded(text: Column) -> Column:
-    """Folder names escape some characters as %XX."""
     return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
 
 
 def logical_name(path: Column) -> Column:
-    """Name of the file a path belongs to."""
+    """Name of the file a path belongs to. Paths are URIs; Spark escapes folder values once more."""
     folder = F.regexp_extract(path, r"/file=([^/]+)/[^/]+$", 1)
-    return _decoded(F.when(folder != "", folder).otherwise(base_name(path)))
+    return F.when(folder != "", _decoded(_decoded(folder))).otherwise(_decoded(base_name(path)))
 
 
 def _paths(paths: str | Sequence[str]) -> list[str]:
