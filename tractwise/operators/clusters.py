@@ -87,12 +87,13 @@ def _pass(vectors: DataFrame, vec: str, models: Sequence[_Candidate]) -> dict[in
         if sums:
             yield pd.DataFrame({"model": list(sums), "sums": list(sums.values())})
 
-    def add(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"model": part["model"].iloc[:1], "sums": [_stack(part["sums"]).sum(0)]})
-
-    schema = "model int, sums array<double>"
-    rows = vectors.select(vec).mapInPandas(partial, schema).groupBy("model").applyInPandas(
-        add, schema).collect()
+    total = F.aggregate("all", F.array_repeat(F.lit(0.0), F.size(F.col("all")[0])),
+                        lambda acc, s: F.zip_with(acc, s, lambda a, b: a + b))
+    rows = (
+        vectors.select(vec).mapInPandas(partial, "model int, sums array<double>")
+        .groupBy("model").agg(F.collect_list("sums").alias("all"))
+        .select("model", total.alias("sums")).collect()
+    )
     flats = {r["model"]: np.asarray(r["sums"]) for r in rows}
     out = {}
     for m in models:

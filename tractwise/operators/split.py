@@ -47,15 +47,18 @@ def members(df: DataFrame, split: DataFrame, part: str, id_col: str = "dataset")
 
 def impute_median(matrix: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Missing and non-finite cells take the column's exact median, 0 where there is none."""
-    clean = [F.when(is_finite(F.col(c)), F.col(c)).alias(c) for c in columns]
-    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in columns])
+    gaps = matrix.agg(*[F.count_if(~is_finite(F.col(c))).alias(c) for c in columns]).first()
+    holed = [c for c in columns if gaps[c]]
+    if not holed:
+        return matrix
+    clean = [F.when(is_finite(F.col(c)), F.col(c).cast("double")).alias(c) for c in holed]
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in holed])
     long = matrix.select(*clean).select(F.inline(pairs))
     medians = {r["feature"]: r["q0"]
                for r in exact_quantiles(long, "feature", "value", [0.5]).collect()}
-    others = [c for c in matrix.columns if c not in columns]
-    return matrix.select(*others, *[
-        F.when(is_finite(F.col(c)), F.col(c)).otherwise(medians.get(c, 0.0)).alias(c)
-        for c in columns])
+    return matrix.withColumns({
+        c: F.when(is_finite(F.col(c)), F.col(c)).otherwise(
+            0.0 if medians.get(c) is None else medians[c]) for c in holed})
 
 
 def column_stats(matrix: DataFrame, columns: Sequence[str]) -> DataFrame:

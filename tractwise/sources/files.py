@@ -170,8 +170,9 @@ def read_fasta(spark: SparkSession, paths: str | Sequence[str], nested: bool = F
     reader = spark.read.option("recursiveFileLookup", nested)
     if not nested:
         reader = reader.option("pathGlobFilter", names)
-    records = reader.text(_paths(paths), lineSep=">").select(
-        logical_name(F.col("_metadata.file_path")).alias("file"), F.col("value"))
+    records = reader.text(_paths(paths), lineSep="\n>").select(
+        logical_name(F.col("_metadata.file_path")).alias("file"),
+        F.regexp_replace("value", "^\\s*>", "").alias("value"))
     if nested:
         records = records.filter(extension(F.col("file")).isin(".fa", ".fasta"))
     head = F.regexp_extract("value", r"^([^\r\n]*)", 1)

@@ -62,10 +62,10 @@ def write_delta_csv(wide: DataFrame, path: str, second_set: Column | None = None
 
 
 def write_fasta(reads: DataFrame, path: str, file: Column) -> str:
-    """FASTA records by file; each task appends its own part, so hot files are written in parallel."""
+    """FASTA records by file. Rebalancing gathers small files and splits hot ones over tasks."""
     record = F.concat(F.lit(">"), "read_id", F.lit("\n"), "seq")
-    reads.select(file.alias("file"), record.alias("value")).write.partitionBy("file").mode(
-        "overwrite").text(path)
+    rows = reads.select(file.alias("file"), record.alias("value")).hint("rebalance", "file")
+    rows.write.partitionBy("file").mode("overwrite").text(path)
     return path
 
 
