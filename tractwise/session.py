@@ -41,9 +41,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Checkpoint a frame that several later branches read, so it is computed once."""
+    """Write a frame that several later branches read to the shared folder, and read it back.
+
+    The next plan starts from files of known size, so it stays small however many rounds came
+    before it, and a lost executor costs no recomputation.
+    """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = scratch_path(spark, "settled")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
