@@ -189,3 +189,25 @@ def test_two_sets_have_no_replicate_error(spark):
     one = both.filter("set_id = 1")
     assert max(r["err"] for r in delta.delta_plot(one, "sd", 1).collect()) > 0
     assert {r["err"] for r in delta.delta_plot(one, None, 1).collect()} == {None}
+
+
+@pytest.mark.parametrize("motif", ["ATA", "GGC", "AT", "CAGCA"])
+def test_other_motifs_against_brute_force(spark, motif):
+    def units(seq):
+        n = len(motif)
+        best = 0
+        for start in range(len(seq)):
+            k = 0
+            while seq[start + k * n:start + (k + 1) * n] == motif:
+                k += 1
+            best = max(best, k)
+        return best
+
+    other = motif[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    rng = np.random.default_rng(2)
+    seqs = ["".join(rng.choice([motif, motif, other, *motif, "A", "C"], 25)) for _ in range(200)]
+    flip = str.maketrans("ACGT", "TGCA")
+    got = spark.createDataFrame([(s,) for s in seqs], "s string").select(
+        "s", reads.repeat_length(F.col("s"), motif).alias("n")).collect()
+    for row in got:
+        assert row["n"] == max(units(row["s"]), units(row["s"][::-1].translate(flip)))

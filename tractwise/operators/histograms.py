@@ -32,11 +32,16 @@ def add_positions(hist: DataFrame) -> DataFrame:
     return hist.withColumn("pos", (F.row_number().over(order) - 1).cast("int"))
 
 
+def _with_range(hist: DataFrame) -> DataFrame:
+    """Rows of the samples whose reads span a finite, non-zero range, with its two ends."""
+    ends = hist.withColumn("_lo", F.min("reads").over(per_sample())).withColumn(
+        "_hi", F.max("reads").over(per_sample()))
+    span = F.col("_hi") - F.col("_lo")
+    return ends.filter(is_finite(span) & (span != 0))
+
+
 def keep_valid(hist: DataFrame) -> DataFrame:
-    """Rows of the samples whose reads span a finite, non-zero range."""
-    span = F.max("reads").over(per_sample()) - F.min("reads").over(per_sample())
-    return hist.withColumn("_span", span).filter(
-        is_finite(F.col("_span")) & (F.col("_span") != 0)).drop("_span")
+    return _with_range(hist).drop("_lo", "_hi")
 
 
 def valid_samples(hist: DataFrame) -> DataFrame:
@@ -58,13 +63,14 @@ def require_valid(hist: DataFrame) -> DataFrame:
 
 def normalise(hist: DataFrame, method: str = "minmax") -> DataFrame:
     """Add ``y``: reads scaled to [0, 1] per sample, or to percent of the sample's reads."""
-    kept = keep_valid(hist)
+    kept = _with_range(hist)
     if method == "minmax":
-        low, high = F.min("reads").over(per_sample()), F.max("reads").over(per_sample())
-        return kept.withColumn("y", (F.col("reads") - low) / (high - low))
-    if method == "percent":
-        return kept.withColumn("y", F.col("reads") / F.sum("reads").over(per_sample()) * 100)
-    raise ValueError(f"unknown method: {method}")
+        y = (F.col("reads") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    elif method == "percent":
+        y = F.col("reads") / F.sum("reads").over(per_sample()) * 100
+    else:
+        raise ValueError(f"unknown method: {method}")
+    return kept.withColumn("y", y).drop("_lo", "_hi")
 
 
 def instability(hist: DataFrame, share: float = PEAK_SHARE) -> DataFrame:
