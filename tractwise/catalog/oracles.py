@@ -334,6 +334,19 @@ coalesce(sum(CASE WHEN change > 0 THEN reads * change END), 0) / sum(reads) AS e
 FROM kept GROUP BY dataset, grp, sample)
 SELECT dataset, grp, sample, mode, {rs('highest_peak', 'instability_index', 'contraction_index', 'expansion_index')}
 FROM idx""",
+    "instability_results": f"""WITH {HIST}, top AS (
+SELECT *, max(reads) OVER w AS peak, first_value(pos) OVER o AS main_pos, first_value(repeat_length) OVER o AS main_len
+FROM hist WINDOW w AS (PARTITION BY dataset, grp, sample),
+o AS (PARTITION BY dataset, grp, sample ORDER BY reads DESC, pos)),
+kept AS (SELECT *, pos - main_pos AS change FROM top WHERE reads > 0.05 * peak),
+idx AS (SELECT dataset, grp, sample, max(main_len) AS mode,
+round_even(sum(reads * change) / sum(reads), 2) AS ii,
+round_even(coalesce(sum(CASE WHEN change < 0 THEN reads * change END), 0) / sum(reads), 2) AS ci,
+round_even(coalesce(sum(CASE WHEN change > 0 THEN reads * change END), 0) / sum(reads), 2) AS ei
+FROM kept GROUP BY dataset, grp, sample)
+SELECT dataset, grp, 'Sample: ' || sample || chr(10) || 'Mode: ' || CAST(mode AS VARCHAR) || chr(10)
+|| 'Instability Index: ' || CAST(ii + 0.0 AS VARCHAR) || chr(10) || 'Contraction Index: ' || CAST(ci + 0.0 AS VARCHAR)
+|| chr(10) || 'Expansion Index: ' || CAST(ei + 0.0 AS VARCHAR) || chr(10) || '__________' AS value FROM idx""",
     "peak_threshold_data": f"""WITH {HIST}, t AS (
 SELECT *, 0.05 * max(reads) OVER (PARTITION BY dataset, grp, sample) AS threshold FROM hist)
 SELECT dataset, grp, sample, repeat_length, {rs('reads', 'threshold')} FROM t""",

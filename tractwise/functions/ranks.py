@@ -33,11 +33,11 @@ def bucket_of(value: Column, cuts: Sequence[float]) -> Column:
 
 
 def running_sums(df: DataFrame, keys: Sequence[str], order: str, bucket: str,
-                 sums: Sequence[str]) -> DataFrame:
+                 sums: Sequence[str], few_buckets: bool = True) -> DataFrame:
     """Add ``cum_<name>`` for every name: the sum over rows of the key up to and including this one.
 
-    ``bucket`` must be non-decreasing in ``order`` inside a key, and the number of
-    (key, bucket) pairs must be small, because their totals are broadcast.
+    ``bucket`` must be non-decreasing in ``order`` inside a key. With ``few_buckets`` the number
+    of (key, bucket) pairs is known to be small and their totals are broadcast.
     """
     keys = list(keys)
     inside = Window.partitionBy(*keys, bucket).orderBy(order).rowsBetween(
@@ -47,7 +47,7 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: str, bucket: str,
     starts = totals.select(*keys, bucket, *[
         F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums])
     summed = df.select("*", *[F.sum(s).over(inside).alias(f"_i_{s}") for s in sums])
-    joined = summed.join(F.broadcast(starts), [*keys, bucket])
+    joined = summed.join(F.broadcast(starts) if few_buckets else starts, [*keys, bucket])
     return joined.select(*df.columns, *[
         (F.col(f"_i_{s}") + F.col(f"_o_{s}")).alias(f"cum_{s}") for s in sums])
 

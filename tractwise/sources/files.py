@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tractwise.functions.columns import (base_name, extension, file_group, is_finite, sample_name,
                                          stem, to_number)
+from tractwise.functions.ranks import running_sums
 from tractwise.params import DAY0
 
 TABLE_GLOB = "*.{histogram,csv,tsv,txt}"
@@ -51,10 +52,12 @@ def numbered_lines(spark: SparkSession, paths: str | Sequence[str], glob: str =
         F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
     large = source(False).filter(size > whole_bytes).select(
         F.col("_metadata.file_path").alias("path"),
-        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("_at"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_id"), F.lit(1).alias("_one"),
         F.rtrim("value").alias("line"))
-    order = Window.partitionBy("path").orderBy("_at")
-    placed = large.select("path", (F.row_number().over(order) - 1).alias("line_no"), "line")
+    # lines are counted inside each block and moved on by the blocks before it
+    counted = running_sums(large, ["path"], "_id", "_block", ["_one"], few_buckets=False)
+    placed = counted.select("path", (F.col("cum__one") - 1).cast("int").alias("line_no"), "line")
     return small.unionByName(placed).withColumn("file", logical_name(F.col("path")))
 
 

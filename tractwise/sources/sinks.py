@@ -72,7 +72,7 @@ def write_fasta(reads: DataFrame, path: str, file: Column) -> str:
 def results_text(table: DataFrame) -> DataFrame:
     """The instability records as report lines, rounded half-even to two digits."""
     def two(name: str) -> Column:
-        return F.bround(name, 2).cast("string")
+        return (F.bround(name, 2) + F.lit(0.0)).cast("string")
 
     lines = F.array(
         F.concat(F.lit("Sample: "), "sample"), F.concat(F.lit("Mode: "), F.col("mode").cast("string")),
