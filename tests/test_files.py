@@ -50,6 +50,15 @@ def test_single_file_path(spark, folder):
     assert {(r["sample"], r["grp"]) for r in rows.collect()} == {("t_d0", "Day0"), ("day42_1", "treated")}
 
 
+def test_named_files_need_no_known_extension(spark, folder, tmp_path):
+    other = tmp_path / "more"
+    other.mkdir()
+    (other / "x_d0.dat").write_text("1,2\n2,3\n")
+    rows = files.read_histograms(spark, [str(other / "x_d0.dat"), folder])
+    assert {"x_d0", "s1_d0"} <= {r["sample"] for r in rows.collect()}
+    assert "notes" not in {r["sample"] for r in rows.collect()}
+
+
 def test_delta_files(spark, tmp_path):
     (tmp_path / "strict.csv").write_text('"repeat length","Day0_a, b",delta\n2,1,0.5\n1,1,-0.25\n3,9,\n')
     (tmp_path / "loose a.csv").write_text("len, Delta \n5,1e-3\n")

@@ -9,6 +9,7 @@ offset, so no file has to fit into one row.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,23 +39,42 @@ def _paths(paths: str | Sequence[str]) -> list[str]:
     return [paths] if isinstance(paths, str) else list(paths)
 
 
+def _is_file(spark: SparkSession, path: str) -> bool:
+    """Whether a path names one existing file, on whatever file system it lives."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.exists(target) and system.getFileStatus(target).isFile()
+
+
 def numbered_lines(spark: SparkSession, paths: str | Sequence[str], glob: str = TABLE_GLOB,
                    nested: bool = False, whole_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
-    """path, file, line_no (from 0) and line of every file below the paths."""
-    size = F.col("_metadata.file_size")
+    """path, file, line_no (from 0) and line of every file.
 
-    def source(whole: bool) -> DataFrame:
-        reader = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", nested)
-        return reader.text(_paths(paths), wholetext=whole)
-
-    small = source(True).filter(size <= whole_bytes).select(
+    Folders give the files whose names match the pattern; files named one by one are all read.
+    """
+    size = F.col("_metadata.file_size")
+    named = [p for p in _paths(paths) if _is_file(spark, p)]
+    folders = [p for p in _paths(paths) if p not in named]
+
+    def source(whole: bool, columns: list[Column]) -> DataFrame:
+        wanted = size <= whole_bytes if whole else size > whole_bytes
+        frames = []
+        for group, pattern in ((folders, glob), (named, "*")):
+            if group:
+                reader = spark.read.option("pathGlobFilter", pattern).option(
+                    "recursiveFileLookup", nested)
+                frames.append(reader.text(group, wholetext=whole).filter(wanted).select(*columns))
+        return reduce(DataFrame.unionByName, frames)
+
+    small = source(True, [
         F.col("_metadata.file_path").alias("path"),
-        F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
-    large = source(False).filter(size > whole_bytes).select(
+        F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line")])
+    large = source(False, [
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_id"), F.lit(1).alias("_one"),
-        F.rtrim("value").alias("line"))
+        F.rtrim("value").alias("line")])
     # lines are counted inside each block and moved on by the blocks before it
     counted = running_sums(large, ["path"], "_id", "_block", ["_one"], few_buckets=False)
     placed = counted.select("path", (F.col("cum__one") - 1).cast("int").alias("line_no"), "line")
