@@ -13,6 +13,7 @@ from tractwise.operators import (bins, centers, clusters, delta, evaluate, featu
                                  histograms, reads, series, smoothers, split)
 from tractwise.params import BIN_TAU, FEATURES, NEUTRAL_TAU, SEGMENT_TAU
 from tractwise.plans.curves import curve_batch
+from tractwise.plans.profiles import profile_batch
 from tractwise.plans.tree import tree_batch
 from tractwise.session import scratch_path, settle
 from tractwise.sources import files, sinks
@@ -544,24 +545,23 @@ def model_roundtrip(spark, sf):
     return clusters.bin_predictions(points, clusters.load_model(spark, path))
 
 
-@query
-def cluster_test_metrics(spark, sf):
+def _trained(spark, sf, method, **options):
     """Train on the training files, score the test files."""
     parts = split.stratified_split(_classes(spark, sf).withColumn(
         "file", F.col("vec_id").cast("string")), "file")
     points = _file_series(spark, sf)
-    model = clusters.train_model(split.members(points, parts, "train", "file"), "kmeans")
-    bins_out = settle(clusters.bin_predictions(split.members(points, parts, "test", "file"), model))
-    sides = bins_out.withColumn("y_exp", col.proxy_label(F.col("y_bin"), BIN_TAU)).withColumn(
-        "y_con", col.proxy_label(F.col("y_bin"), BIN_TAU, "contraction")).withColumn(
-        "minus", -F.col("y_pred"))
-    exp = evaluate.auc(sides, ["file"], "y_exp", "y_pred").select("file", F.col("auc").alias("auc_exp"))
-    con = evaluate.auc(sides, ["file"], "y_con", "minus").select("file", F.col("auc").alias("auc_con"))
-    assigned = bins_out.select("file", F.col("cluster").alias("assigned_cluster"),
-                               "cluster_type").distinct()
-    return assigned.join(exp, "file").join(con, "file").select(
-        "file", F.lit(model.method).alias("method"), F.lit(model.k).alias("K"),
-        F.lit(model.tau).alias("tau"), "assigned_cluster", "cluster_type", "auc_exp", "auc_con")
+    return profile_batch(split.members(points, parts, "train", "file"),
+                         split.members(points, parts, "test", "file"), method, **options)
+
+
+@query
+def cluster_test_metrics(spark, sf):
+    return _trained(spark, sf, "kmeans").metrics
+
+
+@query
+def cluster_overall_auc(spark, sf):
+    return _trained(spark, sf, "gmm", k=3, auto_select_k=False).overall
 
 
 @query
