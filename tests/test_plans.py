@@ -25,10 +25,10 @@ def test_profile_batch(spark, method):
     assert set(rows) == {"b0", "b1", "b2", "b3"}
     assert all(r["auc_exp"] == 1.0 and r["auc_con"] == 1.0 for r in rows.values())
     assert rows["b0"]["assigned_cluster"] == rows["b1"]["assigned_cluster"] != rows["b2"]["assigned_cluster"]
-    overall = {r["side"]: r for r in batch.overall.collect()}
+    overall = {r["side"]: r for r in batch.overall().collect()}
     assert overall["expansion"]["auc"] == overall["contraction"]["auc"] == 1.0
     assert overall["expansion"]["n_pos"] == 12
-    ends = batch.overall_curve.filter("side = 'expansion'").orderBy("fpr", "tpr").collect()
+    ends = batch.overall_curve().filter("side = 'expansion'").orderBy("fpr", "tpr").collect()
     assert (ends[0]["fpr"], ends[0]["tpr"]) == (0, 0) and (ends[-1]["fpr"], ends[-1]["tpr"]) == (1, 1)
     assert batch.assignments.count() == 16 and batch.centers.count() == 2
 

@@ -561,7 +561,7 @@ def cluster_test_metrics(spark, sf):
 
 @query
 def cluster_overall_auc(spark, sf):
-    return _trained(spark, sf, "gmm", k=3, auto_select_k=False).overall
+    return _trained(spark, sf, "gmm", k=3, auto_select_k=False).overall()
 
 
 @query

@@ -18,6 +18,7 @@ from pyspark.storagelevel import StorageLevel
 
 from tractwise.operators.bins import BinGrid, bin_means, fit_grid, scale_vectors, vector_stats
 from tractwise.params import (BIN_TAU, BIN_WIDTH, MAX_CLUSTERS, MAX_ITER, N_CLUSTERS, N_START)
+from tractwise.session import settle
 
 # covariance families, simplest first; the first one wins a tie
 FAMILIES = ["EII", "VII", "EEI", "VEI", "EVI", "VVI"]
@@ -265,7 +266,7 @@ def train_model(points: DataFrame, method: str = "gmm", k: int = N_CLUSTERS,
                 seed: int = 42, key: str = "file", **options) -> ClusterModel:
     """Bins, scales and clusters the training files (long form: key, x, delta)."""
     grid = fit_grid(points, bin_width)
-    vectors = bin_means(points, grid, key)
+    vectors = settle(bin_means(points, grid, key))
     stats = sorted(vector_stats(vectors).collect(), key=lambda r: r["bin"])
     mean = np.array([r["mean"] for r in stats])
     sd = np.array([r["sd"] for r in stats])

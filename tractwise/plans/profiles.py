@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -22,13 +23,26 @@ class ProfileBatch:
     centers: DataFrame
     predictions: DataFrame
     metrics: DataFrame
-    overall: DataFrame
-    overall_curve: DataFrame
+    sides: DataFrame
+
+    def overall(self) -> DataFrame:
+        """Pooled areas over all test bins, one row per side."""
+        return self._pooled(auc)
+
+    def overall_curve(self) -> DataFrame:
+        """Pooled ROC points of both sides."""
+        return self._pooled(roc_points)
+
+    def _pooled(self, make: Callable[..., DataFrame]) -> DataFrame:
+        exp = make(self.sides, [], "y_exp", "y_pred").withColumn("side", F.lit(EXPANSION))
+        con = make(self.sides, [], "y_con", "minus").withColumn("side", F.lit(CONTRACTION))
+        return exp.unionByName(con)
 
 
 def profile_batch(train: DataFrame, test: DataFrame, method: str = "gmm", **options) -> ProfileBatch:
     """All tables of the batch. Both inputs are long: file, x, delta."""
     spark = train.sparkSession
+    train = settle(train.select("file", "x", "delta"))
     model = train_model(train, method, **options)
     predictions = settle(bin_predictions(test, model))
     observed = F.col("y_bin")
@@ -41,13 +55,5 @@ def profile_batch(train: DataFrame, test: DataFrame, method: str = "gmm", **opti
     metrics = assigned.join(areas[0], "file").join(areas[1], "file").select(
         "file", F.lit(method).alias("method"), F.lit(model.k).alias("K"),
         F.lit(float(model.tau)).alias("tau"), "assigned_cluster", "cluster_type", "auc_exp", "auc_con")
-
-    def pooled(make) -> DataFrame:
-        exp, con = make("y_exp", "y_pred"), make("y_con", "minus")
-        return exp.withColumn("side", F.lit(EXPANSION)).unionByName(
-            con.withColumn("side", F.lit(CONTRACTION)))
-
-    return ProfileBatch(
-        model, train_assignments(train, model), center_frame(spark, model), predictions, metrics,
-        pooled(lambda label, score: auc(sides, [], label, score)),
-        pooled(lambda label, score: roc_points(sides, [], label, score)))
+    return ProfileBatch(model, train_assignments(train, model), center_frame(spark, model),
+                        predictions, metrics, sides)
