@@ -13,7 +13,7 @@ import numpy as np
 WHITE = " \t\n\r\x0b\x0c\x85\xa0  -     　"
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-MEMO = 400_000  # entries of each memo of a worker
+MEMO = 600_000  # entries of each memo of a worker
 LONGEST = 64  # characters of a remembered string
 
 
@@ -64,11 +64,13 @@ class Encoder:
             hidden = [b for b in range(256) if b not in set(shown)]
             table = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
             self._table = {b: c for b, c in table.items() if chr(b) != c}
+            self._space = table[32]
             self._words = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-            pieces = regex.compile(SPLIT)
+            self._pieces = regex.compile(SPLIT).findall
             self._piece = _Memo(self._merge)
-            piece = self._piece.__getitem__
-            self._word = _Memo(lambda word: b"".join(map(piece, pieces.findall(word))))
+            self._word = _Memo(self._join)
+            # what follows a space; None where the space may belong to a longer run of white space
+            self._spaced = _Memo(lambda rest: self._join(" " + rest) if rest and rest == rest.strip() else None)
 
     def _pack(self, ids) -> bytes:
         packed = array(self._code, ids)
@@ -77,14 +79,28 @@ class Encoder:
         return packed.tobytes()
 
     def _merge(self, piece: str) -> bytes:
-        shown = piece.encode().decode("latin-1").translate(self._table)
+        if piece.isascii() and piece[1:].isalpha():
+            shown = self._space + piece[1:] if piece[0] == " " else piece
+        else:
+            shown = piece.encode().decode("latin-1").translate(self._table)
         return self._pack([t.id for t in self.tokenizer.model.tokenize(shown)])
 
+    def _join(self, word: str) -> bytes:
+        if word[:1] == " " and word[1:].isalpha():
+            return self._merge(word)
+        return b"".join(map(self._piece.__getitem__, self._pieces(word)))
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if not self._split or any(a in text for a in self._added):
             return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        first, *rest = text.split(" ")
+        try:
+            if first and first == first.strip():
+                return self._word[first] + b"".join(map(self._spaced.__getitem__, rest))
+        except TypeError:  # some spaces stand together or beside other white space
+            pass
         return b"".join(map(self._word.__getitem__, self._words.findall(text)))
 
     def pack(self, token: int) -> bytes:
