@@ -1,0 +1,199 @@
+"""Secret scan: fixed patterns, and assignment-aware lexing of source and configuration syntax."""
+
+from __future__ import annotations
+
+import math
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# The patterns every scan has to report, and the least length of what they find.
+ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ACCESS = r"AKIA[A-Z0-9]+"
+HEX = r"[0-9a-f]+"
+ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 12, 18, 16
+
+KINDS = ("assign", "access", "hex", "literal")  # in the order of spans that start together
+
+#: Parts of a target's name and how much each says that its value is a secret.
+SENSITIVE = {
+    "password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.9,
+    "apikey": 1.0, "api_key": 1.0, "access_key": 1.0, "private_key": 1.0, "client_secret": 1.0,
+    "credential": 0.9, "credentials": 0.9, "auth": 0.6, "bearer": 0.8, "signing_key": 0.9, "encryption_key": 0.9,
+    "connection_string": 0.7, "dsn": 0.6,
+}
+#: What a document must hold, in lower case, for its syntax to be read at all.
+STEMS = (b"pass", b"pwd", b"secret", b"token", b"key", b"credential", b"auth", b"bearer", b"connection", b"dsn")
+PLACEHOLDERS = ("example", "changeme", "change_me", "placeholder", "your", "dummy", "sample", "xxxx", "****", "none",
+                "null", "true", "false", "todo", "redacted", "undefined")
+LEAST_SCORE = 0.6
+SPANS = "array<struct<kind: string, start: long, end: long, score: double>>"
+_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
+
+# A name, perhaps quoted or at the end of a path of members, an assignment sign, and what follows.
+PAIR = r"""(?<![\w$])(?:--|\$)?(?P<name>[A-Za-z_][\w.\-]{0,80}(?:\[["'][\w.\-]{1,80}["']\])?)["']?[ \t]{0,20}(?::=|=>|==?|:(?!:))[ \t]{0,20}(?=\S)"""
+STRING = r"""[bfruBFRU]{0,2}(?:"(?P<d>(?:[^"\\\n]|\\.){0,4096})"|'(?P<s>(?:[^'\\\n]|\\.){0,4096})'|`(?P<b>[^`\n]{0,4096})`)"""
+BARE = r"""[^\s,;"'`<>(){}\[\]&|#]+"""
+PLUS = r"""[ \t]*(?:\+|\.(?=[ \t]*["'])|(?=["']))[ \t]*"""
+INNER = r"\$\{(\w+)\}|\{(\w+)\}|%\((\w+)\)s|\$(\w+)"
+
+
+def base_spans(text: str) -> list[tuple[str, int, int, float]]:
+    """Leftmost matches of each fixed pattern that are long enough."""
+    found = []
+    for m in re.finditer(ASSIGN, text, re.IGNORECASE | re.ASCII):
+        if len(m[2]) >= ASSIGN_LEAST:
+            found.append(("assign", *m.span(), 1.0))
+    for m in re.finditer(ACCESS, text):
+        if len(m[0]) >= ACCESS_LEAST:
+            found.append(("access", *m.span(), 1.0))
+    # a run of the characters is one match, so the long runs are those with that many in a row
+    for m in re.finditer(HEX.replace("+", "{%d,}" % HEX_LEAST), text):
+        found.append(("hex", *m.span(), 1.0))
+    return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
+
+
+def name_score(name: str) -> float:
+    """The largest weight of the name's last parts, in snake, kebab, dotted or camel case."""
+    parts = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", name).lower()
+    parts = [p for p in re.split(r"[^a-z0-9]+", parts) if p]
+    best = 0.0
+    for i in range(len(parts)):
+        for j in range(i + 1, min(len(parts), i + 2) + 1):
+            weight = SENSITIVE.get("_".join(parts[i:j]), 0.0)
+            best = max(best, weight * (1.0 if j == len(parts) else 0.6))
+    return best
+
+
+def value_score(value: str) -> float:
+    """How far a literal looks like a generated value and not like a word or a placeholder."""
+    low = value.lower()
+    if len(value) < 8 or any(p in low for p in PLACEHOLDERS) or re.fullmatch(r"[<\[{$%].*", value) or len(set(value)) < 4:
+        return 0.0
+    n = len(value)
+    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
+    classes = sum(bool(re.search(c, value)) for c in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9\s]"))
+    spaces = value.count(" ") / n
+    return max(0.0, min(1.0, 0.25 * min(entropy, 4.0) + 0.1 * (classes - 1) - 2.0 * spaces - (0.4 if classes == 1 else 0.0)))
+
+
+class Literal:
+    """The text of a value and the places in the document that it was put together from."""
+
+    def __init__(self, text: str, spans: tuple[tuple[int, int], ...]):
+        self.text, self.spans = text, spans
+
+
+def _expression(text: str, at: int, known: dict[str, Literal]) -> tuple[Literal | None, int]:
+    """A sum of string literals and known names, from ``at`` on."""
+    parts, spans = [], []
+    string, bare, plus = re.compile(STRING), re.compile(BARE), re.compile(PLUS)
+    while True:
+        m = string.match(text, at)
+        if m:
+            kind = m.lastgroup
+            value = m[kind]
+            parts.append(re.sub(INNER, lambda x: _text(known, x), value))
+            if value:
+                spans.append(m.span(kind))
+            spans += [s for x in re.finditer(INNER, value) for s in _spans(known, x)]
+        else:
+            m = bare.match(text, at)
+            if not m:
+                break
+            value = m[0].rstrip(".:")
+            name = value.removeprefix("$")
+            if name in known:
+                parts.append(known[name].text)
+                spans += known[name].spans
+            elif not parts:
+                parts.append(value)
+                spans.append((m.start(), m.start() + len(value)))
+            else:
+                break
+        at = m.end()
+        more = plus.match(text, at)
+        if not more or len(parts) >= 64:
+            break
+        at = more.end()
+    return (Literal("".join(parts), tuple(dict.fromkeys(spans))) if parts else None), at
+
+
+def _text(known: dict[str, Literal], m: re.Match) -> str:
+    name = next(g for g in m.groups() if g)
+    return known[name].text if name in known else m[0]
+
+
+def _spans(known: dict[str, Literal], m: re.Match) -> tuple[tuple[int, int], ...]:
+    name = next(g for g in m.groups() if g)
+    return known[name].spans if name in known else ()
+
+
+def literal_spans(text: str) -> list[tuple[str, int, int, float]]:
+    """Literals that reach a target with a sensitive name, directly or over other names."""
+    known: dict[str, Literal] = {}
+    found: dict[tuple[int, int], float] = {}
+    for m in re.finditer(PAIR, text):
+        literal, _ = _expression(text, m.end(), known)
+        if literal is None:
+            continue
+        name = m["name"]
+        short = re.split(r"[.\[]", name)[-1].strip("\"']")
+        known[name] = known[short] = Literal(literal.text[:4096], literal.spans[:64])
+        weight = max(name_score(name), name_score(short))
+        points = weight * value_score(literal.text) if weight else 0.0
+        if points >= LEAST_SCORE:
+            for span in literal.spans:
+                found[span] = max(found.get(span, 0.0), round(points, 6))
+    return [("literal", s, e, p) for (s, e), p in found.items()]
+
+
+def find(text: str | None, raw: bytes | None = None) -> list[tuple[str, int, int, float]]:
+    """All spans, in order; a literal inside a span of a fixed assignment isn't told twice."""
+    if not text:
+        return []
+    base = base_spans(text)
+    low = (raw if raw is not None else text.encode()).lower()
+    if (b"=" not in low and b":" not in low) or not any(s in low for s in STEMS):
+        return base
+    held = [(s, e) for k, s, e, _ in base if k == "assign"]
+    own = [x for x in literal_spans(text) if not any(s <= x[1] and x[2] <= e for s, e in held)]
+    return sorted(base + own, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """doc_id and the spans (kind, start, end in code points, score) of every document.
+
+    Null and empty texts have no spans; repeated rows are each scanned; other columns are ignored.
+    Names and values that syntax may hold have length limits far beyond any in use; texts have none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text in batch.column(1):
+                text = text.as_py()
+                out.append([dict(zip(("kind", "start", "end", "score"), x)) for x in find(text)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, _SPANS)], names=["doc_id", "spans"])
+
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return plain.mapInArrow(run, f"doc_id long, spans {SPANS}")
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of all documents, told by kind and joined."""
+    found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda x: x.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    def told(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x.kind, x.start.cast("string"), x.end.cast("string"))), ",")
+
+    base = F.filter("spans", lambda x: x.kind != "literal")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"),
+                        F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
