@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from tractwise.llm.decontaminate import OP3_SQL, op3_benchmark_decontamination
+from tractwise.llm.nearest import op4_one_bit_neighbours
 from tractwise.llm.packing import op5_packing
 from tractwise.llm.records import op1_binary_records
 from tractwise.llm.rules import op10_rule_ensemble
-from tractwise.llm.secrets import op8_secret_scan
+from tractwise.llm.secret_scan import op8_secret_scan
 from tractwise.llm.urls import op2_url_language_model
 
 QUERIES = {
     "op1_binary_records": op1_binary_records,
     "op2_url_language_model": op2_url_language_model,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_one_bit_neighbours": op4_one_bit_neighbours,
     "op5_packing": op5_packing,
     "op8_secret_scan": op8_secret_scan,
     "op10_rule_ensemble": op10_rule_ensemble,
