@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from tractwise.llm.decontaminate import OP3_SQL, op3_benchmark_decontamination
+from tractwise.llm.lines import OP9_SQL, op9_segment_edit_join
 from tractwise.llm.nearest import op4_one_bit_neighbours
+from tractwise.llm.ngram_join import OP6_SQL, op6_parity_sketch_join
 from tractwise.llm.packing import op5_packing
 from tractwise.llm.records import op1_binary_records
 from tractwise.llm.rules import op10_rule_ensemble
@@ -16,8 +18,14 @@ QUERIES = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_one_bit_neighbours": op4_one_bit_neighbours,
     "op5_packing": op5_packing,
+    "op6_parity_sketch_join": op6_parity_sketch_join,
     "op8_secret_scan": op8_secret_scan,
+    "op9_segment_edit_join": op9_segment_edit_join,
     "op10_rule_ensemble": op10_rule_ensemble,
 }
 
-ORACLES = {"op3_benchmark_decontamination": OP3_SQL}
+ORACLES = {
+    "op3_benchmark_decontamination": OP3_SQL,
+    "op6_parity_sketch_join": OP6_SQL,
+    "op9_segment_edit_join": OP9_SQL,
+}
