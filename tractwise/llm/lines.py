@@ -143,16 +143,32 @@ def within(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
     return cut.filter(F.getbit(last, at) == 1).select(*pairs.columns)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, least: int, edits: int) -> DataFrame:
-    """The hashes h of lines that have a line o of their pairs within ``edits`` edits."""
-    ids = pairs.select(F.explode(F.array("h", "o")).alias("h"))
+def _texts(docs: DataFrame, ids: DataFrame, least: int) -> DataFrame:
+    """h and line of the lines with those hashes (and a few more)."""
     wanted = passes("h", fixed_filter(ids, "h"))
-    texts = settle(line_table(docs, least, None).select("h", "line").filter(wanted).distinct())
+    return settle(line_table(docs, least, None).select("h", "line").filter(wanted).distinct())
+
+
+def _verified(texts: DataFrame, pairs: DataFrame, edits: int) -> DataFrame:
+    """The hashes h of lines that have a line o of their pairs within ``edits`` edits."""
     both = pairs.join(texts.withColumnRenamed("line", "a"), "h").join(
         texts.select(F.col("h").alias("o"), F.col("line").alias("b")), "o")
     return within(both.select("h", "a", "b"), "a", "b", edits).select("h").distinct()
 
 
+def parity(parts: Column) -> Column:
+    """64 bits, of which every part flips one."""
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(c), F.lit(64)))
+    return F.aggregate(parts, F.lit(0).cast("long"), lambda s, c: s.bitwiseXOR(bit(c)))
+
+
+def _sketched(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Parity sketches of characters and of pairs of them: an edit flips no more than 2 and 4 bits."""
+    own = texts.join(ids.select("h").distinct(), "h", "left_semi").withColumn("chars", once(F.split("line", "")))
+    pairs = F.transform("chars", lambda c, i: F.concat(c, F.coalesce(F.get("chars", i + 1), F.lit(""))))
+    return settle(own.select("h", parity(F.col("chars")).alias("ones"), parity(pairs).alias("twos")))
+
+
 def near_lines(docs: DataFrame, least: int = LEAST_CHARS, edits: int = EDITS) -> tuple[DataFrame, DataFrame]:
     """All distinct lines with the place of their first occurrence; and the hashes of those that go
     because an earlier line is near them.
@@ -178,13 +194,22 @@ def near_lines(docs: DataFrame, least: int = LEAST_CHARS, edits: int = EDITS) ->
     first = led.select("h", F.when(F.col("own"), F.col("any_h")).otherwise(F.col("own_h")).alias("o"), "place",
                        F.when(F.col("own"), F.col("any_place")).otherwise(F.col("own_place")).alias("o_place"))
     first = settle(first.filter("o_place < place AND o <> h").select("h", "o").distinct())
-    gone = settle(_verified(docs, first, least, edits))
+    texts = _texts(docs, rows.select("h"), least)
+    gone = settle(_verified(texts, first, edits))
 
+    # Two lines that the sketches hold apart never become a row, however many share a bucket.
     left = led.join(gone, "h", "left_anti").filter("own_place < place OR (own AND any_place < place)")
-    others = rows.select("key", F.col("h").alias("o"), F.col("place").alias("o_place"), F.col("own").alias("o_own"))
-    second = left.select("key", "h", "place", "own").join(others, "key").filter("(own OR o_own) AND o_place < place AND o <> h")
+    left = left.join(rows.groupBy("key").agg(F.count("*").alias("all")).filter("all > 2").select("key"), "key", "left_semi")
+    left = settle(left.select("key", "h", "place", "own"))
+    others = rows.join(left.select("key").distinct(), "key", "left_semi")
+    marks = _sketched(texts, others)
+    others = others.join(marks, "h").select("key", F.col("h").alias("o"), F.col("place").alias("o_place"),
+                                            F.col("own").alias("o_own"), F.struct("ones", "twos").alias("y"))
+    near = (F.bit_count(F.col("ones").bitwiseXOR(F.col("y.ones"))) <= 2 * edits) & (
+        F.bit_count(F.col("twos").bitwiseXOR(F.col("y.twos"))) <= 4 * edits)
+    second = left.join(marks, "h").join(others, "key").filter("(own OR o_own) AND o_place < place AND o <> h").filter(near)
     second = settle(second.select("h", "o").distinct().join(first, ["h", "o"], "left_anti"))
-    return distinct.select("h", "n", "place"), settle(gone.unionByName(_verified(docs, second, least, edits)).distinct())
+    return distinct.select("h", "n", "place"), settle(gone.unionByName(_verified(texts, second, edits)).distinct())
 
 
 def removed(docs: DataFrame, least: int = LEAST_CHARS, edits: int = EDITS) -> DataFrame:
