@@ -10,6 +10,7 @@ from tractwise.llm.packing import op5_packing
 from tractwise.llm.records import op1_binary_records
 from tractwise.llm.rules import op10_rule_ensemble
 from tractwise.llm.secret_scan import op8_secret_scan
+from tractwise.llm.substrings import op7_suffix_dedup
 from tractwise.llm.urls import op2_url_language_model
 
 QUERIES = {
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_one_bit_neighbours": op4_one_bit_neighbours,
     "op5_packing": op5_packing,
     "op6_parity_sketch_join": op6_parity_sketch_join,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_secret_scan": op8_secret_scan,
     "op9_segment_edit_join": op9_segment_edit_join,
     "op10_rule_ensemble": op10_rule_ensemble,
