@@ -3,16 +3,12 @@
 from __future__ import annotations
 
 import math
-import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +16,10 @@ from tractwise.llm.arrow import text_bytes
 from tractwise.session import settle
 
 THRESHOLD = 0.3
-TREES, DEPTH, SEED = 24, 4, 11
+TREES, DEPTH, SEED = 16, 4, 11
+LEAST_ROWS = 5  # on either side of a split
 LASSO = 0.0005
+SAMPLE = 20_000  # labelled rows that the rules and weights are learned from
 FOLDS = 5
 
 #: Statistics of a text, all finite.
@@ -119,56 +117,86 @@ def holds(rule: Rule, stats: Column) -> Column:
     return out
 
 
-def paths(printed: str) -> set[Rule]:
-    """The conjunctions of all nodes below the roots, from the printed form of the trees."""
-    found: set[Rule] = set()
-    way: list[tuple[int, str, float]] = []
-    for line in printed.splitlines():
-        m = re.match(r"(\s*)(If|Else) \(feature (\d+) (<=|>) (-?[\d.Ee+-]+|-?Infinity)\)", line)
-        if not m:
-            if line.lstrip().startswith("Tree"):
-                way = []
-            continue
-        if not way:
-            root = len(m[1])
-        way = way[:len(m[1]) - root] + [(int(m[3]), m[4], float(m[5]))]
-        bounds: dict[int, list[float]] = {}
-        for i, sign, value in way:
-            own = bounds.setdefault(i, [-math.inf, math.inf])
-            if sign == "<=":
-                own[1] = min(own[1], value)
-            else:
-                own[0] = max(own[0], value)
-        found.add(tuple((i, a, b) for i, (a, b) in sorted(bounds.items())))
-    return found
-
-
-def fit(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, lasso: float = LASSO) -> RuleModel:
-    """Learn from all rows of ``stats`` (array) and ``label`` (0 or 1; other rows are ignored).
-
-    Trees of a random forest give the rules, a logistic regression with a lasso penalty their
-    weights; both are fitted by Spark over all labelled rows. Without rows the score is 0.5; with
-    labels of one kind it is their share, smoothed by one row of each kind.
+def grow(bins: np.ndarray, edges: list[np.ndarray], label: np.ndarray, rows: np.ndarray, depth: int,
+         rng: np.random.Generator, bounds: dict[int, tuple[float, float]], found: set[Rule]) -> None:
+    """Split some rows at the best of a few random statistics, again and again; note every node's path."""
+    n, good = len(rows), int(label[rows].sum())
+    if not depth or n < 2 * LEAST_ROWS or good in (0, n):
+        return
+    best = (1e-9, 0, 0)
+    for i in rng.choice(len(edges), size=max(1, len(edges) // 3), replace=False).tolist():
+        own = bins[rows, i]
+        all_ = np.bincount(own, minlength=len(edges[i]) + 1).cumsum()[:-1]
+        ones = np.bincount(own, weights=label[rows], minlength=len(edges[i]) + 1).cumsum()[:-1]
+        fine = (all_ >= LEAST_ROWS) & (n - all_ >= LEAST_ROWS)
+        if fine.any():
+            left, right = np.maximum(all_, 1), np.maximum(n - all_, 1)
+            gain = ones ** 2 / left + (good - ones) ** 2 / right - good ** 2 / n
+            at = int(np.argmax(np.where(fine, gain, -1.0)))
+            best = max(best, (float(gain[at]), i, at))
+    if best[0] <= 1e-9:
+        return
+    _, i, at = best
+    cut, (low, high) = float(edges[i][at]), bounds.get(i, (-math.inf, math.inf))
+    below = bins[rows, i] <= at
+    for side, limits in ((rows[below], (low, min(high, cut))), (rows[~below], (max(low, cut), high))):
+        own = {**bounds, i: limits}
+        found.add(tuple((j, *own[j]) for j in sorted(own)))
+        grow(bins, edges, label, side, depth - 1, rng, own, found)
+
+
+def lasso_weights(x: np.ndarray, label: np.ndarray, penalty: float, rounds: int = 400) -> tuple[float, np.ndarray]:
+    """Intercept and weights of a logistic regression with an absolute penalty, by accelerated gradient steps."""
+    n, k = x.shape
+    step = 4.0 / (1.0 + float((x.astype(np.float64) ** 2).sum(axis=1).max()))
+    share = min(max(float(label.mean()), 1e-6), 1 - 1e-6)
+    weights, intercept = np.zeros(k), math.log(share / (1 - share))
+    ahead, ahead0, pace = weights, intercept, 1.0
+    for _ in range(rounds):
+        off = 1 / (1 + np.exp(-np.clip(x @ ahead.astype(np.float32) + ahead0, -30, 30))) - label
+        moved = ahead - step * (off.astype(np.float32) @ x) / n
+        moved = np.sign(moved) * np.maximum(np.abs(moved) - step * penalty, 0)
+        moved0 = ahead0 - step * float(off.mean())
+        faster = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
+        ahead = moved + (pace - 1) / faster * (moved - weights)
+        ahead0 = moved0 + (pace - 1) / faster * (moved0 - intercept)
+        weights, intercept, pace = moved, moved0, faster
+    return intercept, weights
+
+
+def fit(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, lasso: float = LASSO, sample: int = SAMPLE) -> RuleModel:
+    """Learn from the rows of ``stats`` (array) and ``label`` (0 or 1; other rows are ignored).
+
+    Trees over random rows and statistics give the rules, a logistic regression with a lasso penalty
+    their weights. Of more than ``sample`` labelled rows, about so many, chosen by hash, are learned
+    from, on the driver. Without rows the score is 0.5; with labels of one kind it is their share,
+    smoothed by one row of each kind.
     """
-    rows = labelled.filter(F.col("label").isin(0, 1)).select(
-        F.col("label").cast("double").alias("label"), *[F.col("stats").getItem(i).alias(f"s{i}") for i in range(len(STATISTICS))])
-    rows = settle(rows)
-    seen = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if len(seen) < 2:
-        good, bad = seen.get(1.0, 0) + 1, seen.get(0.0, 0) + 1
-        return RuleModel(math.log(good / bad))
-    vectors = VectorAssembler(inputCols=[f"s{i}" for i in range(len(STATISTICS))], outputCol="features").transform(rows)
-    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED, maxBins=64, subsamplingRate=0.7,
-                                    minInstancesPerNode=5).fit(vectors.select("label", "features"))
-    found = sorted(paths(forest.toDebugString))
+    rows = settle(labelled.filter(F.col("label").isin(0, 1)).select("stats", F.col("label").cast("double").alias("label")))
+    total = rows.count()
+    if total > sample:
+        rows = rows.filter(F.pmod(F.xxhash64("stats"), F.lit(total)) < sample)
+    taken = rows.orderBy("stats", "label").collect()
+    label = np.array([r["label"] for r in taken])
+    if len(set(label.tolist())) < 2:
+        return RuleModel(math.log((label.sum() + 1) / ((1 - label).sum() + 1)))
+    values = np.array([r["stats"] for r in taken])
+    edges = [np.unique(np.quantile(values[:, i], np.linspace(0, 1, 65)[1:-1])) for i in range(values.shape[1])]
+    bins = np.stack([np.searchsorted(e, values[:, i], side="left") for i, e in enumerate(edges)], axis=1)
+    rng, found = np.random.default_rng(SEED), set()
+    for _ in range(trees):
+        grow(bins, edges, label, rng.integers(0, len(label), size=len(label)), depth, rng, {}, found)
     if not found:
-        return RuleModel(math.log(seen[1.0] / seen[0.0]))
-    stats = F.array(*[F.col(f"s{i}") for i in range(len(STATISTICS))])
-    held = rows.select("label", stats.alias("stats"))
-    held = held.select("label", array_to_vector(F.array(*[holds(r, F.col("stats")).cast("double") for r in found])).alias("features"))
-    model = LogisticRegression(regParam=lasso, elasticNetParam=1.0, standardization=False, maxIter=100).fit(held)
-    weights = model.coefficients.toArray()
-    return RuleModel(float(model.intercept), {r: float(w) for r, w in zip(found, weights) if abs(w) > 1e-6})
+        return RuleModel(math.log(label.sum() / (1 - label).sum()))
+    columns = {}
+    for rule in sorted(found, key=lambda r: (len(r), r)):  # of rules that hold for the same rows, the shortest
+        on = np.ones(len(label), bool)
+        for i, low, high in rule:
+            on &= (values[:, i] > low) & (values[:, i] <= high)
+        columns.setdefault(np.packbits(on).tobytes(), (rule, on))
+    x = np.stack([on for _, on in columns.values()], axis=1).astype(np.float32)
+    intercept, weights = lasso_weights(x, label, lasso)
+    return RuleModel(float(intercept), {r: float(w) for (r, _), w in zip(columns.values(), weights) if abs(w) > 1e-6})
 
 
 def fit_tables(stats: DataFrame, labels: DataFrame) -> RuleModel:
