@@ -54,4 +54,22 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, "settled")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_path = path
+    return out
+
+
+def release(*settled: DataFrame) -> None:
+    """Delete settled frames that no later plan reads, and let Spark drop the shuffles behind them.
+
+    Shuffle files stay until the driver's garbage collector finds their plans gone, which can take
+    long on a driver with little garbage, so it is asked to run.
+    """
+    for df in settled:
+        path = df.__dict__.pop("_settled_path", None)
+        if path:
+            jvm, spark = df.sparkSession._jvm, df.sparkSession
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    if settled:
+        settled[0].sparkSession._jvm.System.gc()
