@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tractwise.session import settle
+from tractwise.session import release, settle
 
 
 def _stars(edges: DataFrame, larger: bool) -> DataFrame:
@@ -39,6 +39,9 @@ def components(edges: DataFrame) -> DataFrame:
         if before == tuple(seen):
             break
         before = tuple(seen)
-        state = settle(_stars(settle(_stars(state, True)), False))
+        large = settle(_stars(state, True))
+        small = settle(_stars(large, False))
+        release(state, large)
+        state = small
     parts = state.select(F.col("b").alias("node"), F.col("a").alias("component"))
     return parts.unionByName(state.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tractwise.session import settle
+from tractwise.session import release, settle
 
 EDITS = 2
 LEAST_CHARS = 20  # shorter lines (headings, brackets, blank lines) always stay
@@ -209,13 +209,16 @@ def near_lines(docs: DataFrame, least: int = LEAST_CHARS, edits: int = EDITS) ->
         F.bit_count(F.col("twos").bitwiseXOR(F.col("y.twos"))) <= 4 * edits)
     second = left.join(marks, "h").join(others, "key").filter("(own OR o_own) AND o_place < place AND o <> h").filter(near)
     second = settle(second.select("h", "o").distinct().join(first, ["h", "o"], "left_anti"))
-    return distinct.select("h", "n", "place"), settle(gone.unionByName(_verified(texts, second, edits)).distinct())
+    all_ = settle(gone.unionByName(_verified(texts, second, edits)).distinct())
+    release(shared, rows, first, texts, gone, left, marks, second)
+    return distinct, all_
 
 
 def removed(docs: DataFrame, least: int = LEAST_CHARS, edits: int = EDITS) -> DataFrame:
     """doc_id, pos and h of every line that goes."""
     distinct, gone = near_lines(docs, least, edits)
-    fate = settle(distinct.join(gone.withColumn("near", F.lit(True)), "h", "left"))
+    fate = settle(distinct.select("h", "n", "place").join(gone.withColumn("near", F.lit(True)), "h", "left"))
+    release(distinct, gone)
     lines = line_table(docs, least, None).select("doc_id", "pos", "h", "n", "place")
     own = lines.join(fate.withColumnRenamed("place", "first"), ["h", "n"])
     return own.filter("near OR place > first").select("doc_id", "pos", "h")

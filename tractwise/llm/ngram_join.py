@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tractwise.llm.arrow import text_bytes
 from tractwise.llm.components import components
-from tractwise.session import settle
+from tractwise.session import release, settle
 
 WORDS = 4
 SIMILAR = (85, 100)
@@ -282,7 +282,9 @@ def verify(docs: DataFrame, pairs: DataFrame, words: int, similar: tuple[int, in
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
-    return joined.mapInArrow(run, "a long, b long").distinct()
+    out = settle(joined.mapInArrow(run, "a long, b long").distinct())
+    release(sets)
+    return out
 
 
 def _close(pairs: DataFrame, table: DataFrame, similar: tuple[int, int]) -> DataFrame:
@@ -368,11 +370,12 @@ def link(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] = SIMILAR
         F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
     buckets = settle(buckets.filter("first < last"))
     rows = settle(members(known, buckets).join(buckets.drop("last"), "key"))
+    release(buckets)
     stars = rows.filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
     near = settle(_close(stars, known, similar))
-    links = near.filter("same").select("a", "b").unionByName(
-        verify(docs, near.filter("NOT same").select("a", "b"), words, similar))
-    parts = settle(components(links))
+    verified = verify(docs, near.filter("NOT same").select("a", "b"), words, similar)
+    parts = settle(components(near.filter("same").select("a", "b").unionByName(verified)))
+    release(near, verified)
 
     placed = rows.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
         "component", F.coalesce("component", "doc_id"))
@@ -380,12 +383,16 @@ def link(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] = SIMILAR
     open_ = placed.filter("doc_id <> first AND n > 2").join(mixed.select("key"), "key", "left_semi")
     open_ = open_.join(known.select("doc_id", "n_shingles", "sketch"), "doc_id")
     pairs = settle(bucket_pairs(open_, similar))
-    more = settle(verify(docs, pairs, words, similar))
+    release(rows)
+    more = verify(docs, pairs, words, similar)
     if more.limit(1).count():
         star = parts.select(F.col("component").alias("a"), F.col("node").alias("b"))
-        parts = settle(components(star.unionByName(more)))
-    return table.select("doc_id", "n_shingles").join(
-        parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select(
+        wider = settle(components(star.unionByName(more)))
+        release(parts)
+        parts = wider
+    sizes = settle(table.select("doc_id", "n_shingles"))
+    release(table, pairs, more)
+    return sizes.join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 

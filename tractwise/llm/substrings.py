@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tractwise.llm.arrow import text_bytes
 from tractwise.llm.ngram_join import fixed_filter, mix, passes
-from tractwise.session import settle
+from tractwise.session import release, settle
 
 LENGTH = 100
 GRAM = 32  # bytes of an anchor
@@ -323,7 +323,9 @@ def repeated(docs: DataFrame) -> DataFrame:
     alike = sides.groupBy("side").agg(F.count("*").alias("c")).filter("c > 1").select("side")
     partial = sorted_repeats(sides.join(alike, "side", "left_semi").select(*[c.split()[0] for c in CONTEXTS.split(", ")]))
     whole = table.filter("repeat").select("doc_id", "start", "n").unionByName(copies.select("doc_id", "start", "n"))
-    return settle(whole.unionByName(partial))
+    out = settle(whole.unionByName(partial))
+    release(table, rows, classes, sides)
+    return out
 
 
 CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
