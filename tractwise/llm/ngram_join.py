@@ -17,7 +17,7 @@ from tractwise.session import release, settle
 WORDS = 4
 SIMILAR = (85, 100)
 BAND = 1.384  # the ratio of sizes within a band; over the square root of any step between partners
-SKETCH_BITS = 1024
+SKETCH_BITS = 1024  # of the shortest parity sketch
 GROUP = 256  # members of a bucket that are held against one another at a time
 FILTER_BITS = 1 << 25  # of the fixed-size filters that only save shuffling
 CHUNK = 4 << 20
@@ -170,11 +170,22 @@ def segment_keys(grams: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def parity_sketch(grams: np.ndarray) -> bytes:
-    """Every shingle flips one bit, so two sketches differ in no more bits than the sets in shingles."""
-    flips = np.bincount((grams & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    """Every shingle flips one bit, so two sketches differ in no more bits than the sets in shingles.
+
+    Larger sets have longer sketches; a longer one, its parts laid over one another, is the shorter one.
+    """
+    bits = SKETCH_BITS
+    while bits < 1.5 * len(grams) and bits < 64 * SKETCH_BITS:
+        bits *= 2
+    flips = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8)).tobytes()
 
 
+def folded(sketch: bytes, size: int) -> np.ndarray:
+    """A sketch of ``size`` bytes, as 64-bit words."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint64).reshape(-1, size // 8), axis=0)
+
+
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -296,10 +307,18 @@ def _close(pairs: DataFrame, table: DataFrame, similar: tuple[int, int]) -> Data
     same = (F.col("x.n_shingles") == F.col("y.n_shingles")) & (F.col("x.f") == F.col("y.f")) & (F.col("x.g") == F.col("y.g"))
     total = F.col("x.n_shingles") + F.col("y.n_shingles")
     sized = den * F.least("x.n_shingles", "y.n_shingles") >= num * F.greatest("x.n_shingles", "y.n_shingles")
-    apart = sum((F.bit_count(F.conv(F.hex(F.substring("x.sketch", 1 + 7 * i, 7)), 16, 10).cast("long").bitwiseXOR(
-        F.conv(F.hex(F.substring("y.sketch", 1 + 7 * i, 7)), 16, 10).cast("long"))) for i in range(-(-SKETCH_BITS // 56))),
-        F.lit(0))
-    return joined.filter(sized & (apart * (den + num) <= (den - num) * total)).select("a", "b", same.alias("same"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y, n in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5))):
+                size = min(len(x), len(y))
+                far = int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum(dtype=np.int64))
+                keep.append(far * (den + num) <= (den - num) * n)
+            yield batch.select([0, 1, 2]).filter(pa.array(keep, pa.bool_()))
+
+    return joined.filter(sized).select("a", "b", same.alias("same"), "x.sketch", F.col("y.sketch").alias("other"),
+                                       total.alias("n")).mapInArrow(run, "a long, b long, same boolean")
 
 
 def bucket_pairs(rows: DataFrame, similar: tuple[int, int]) -> DataFrame:
@@ -320,7 +339,9 @@ def bucket_pairs(rows: DataFrame, similar: tuple[int, int]) -> DataFrame:
 
     def pairs_of(group: pa.Table) -> list[tuple[int, int]]:
         p, q, own, doc, comp, n = (group.column(i).to_numpy() for i in range(1, 7))
-        sketch = np.frombuffer(b"".join(group.column(7).to_pylist()), np.uint8).reshape(len(doc), -1).view(np.uint64)
+        raw = group.column(7).to_pylist()
+        least = min(map(len, raw))
+        sketch = np.stack([folded(r, least) for r in raw])
         out = []
         for i in range(len(doc) - 1):
             far = np.bitwise_count(sketch[i + 1:] ^ sketch[i]).sum(axis=1, dtype=np.int64)
