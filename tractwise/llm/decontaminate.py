@@ -130,8 +130,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, name: str = "hits", window: int
     """
     spark = docs.sparkSession
     keep = docs.columns if keep is None else keep
-    state, first = docs, True
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    if name in keep:
+        raise ValueError(f"the documents have a column {name} of their own; give another name")
+    state, first = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"])]), True
+    kinds = {f.name: f.dataType.simpleString() for f in state.schema.fields}
     pending: DataFrame | None = None
     for items in blocks(benchmark, block_bytes):
         if pending is not None:
