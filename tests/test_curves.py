@@ -131,3 +131,23 @@ def test_batch_tables(spark):
     assert {r["source"] for r in segs} == {"consensus", "GAM", "PELT"}
     panel = batch.panel.filter("dataset = 'wave'").collect()
     assert len(panel) == 80 and {r["band"] for r in panel} == {None, "expansion", "contraction"}
+
+
+def test_areas_are_the_same_on_lazy_and_settled_inputs(spark):
+    from tractwise.operators.series import segment_areas, segment_counts, segment_curves
+    from tractwise.session import settle
+
+    pred = spark.createDataFrame(
+        [(f"d{i}", s, float(10 * k), float(10 * k + 8), 0.1 * k + 0.01 * i) for i in range(20)
+         for s in ("expansion", "contraction") for k in range(1, 4)],
+        "dataset string, label string, start_rl double, end_rl double, score double")
+    truth = pred.filter("start_rl > 10").select("dataset", "label", "start_rl", "end_rl")
+    pred = pred.withColumn("mean_delta", F.col("score")) if "mean_delta" not in pred.columns else pred
+    sets = pred.select("dataset").distinct()
+
+    def areas(p, t, d):
+        return sorted(map(tuple, segment_areas(segment_curves(p, t, d), segment_counts(p, t, d)).collect()))
+
+    lazy, settled = areas(pred, truth, sets), areas(settle(pred), settle(truth), settle(sets))
+    assert lazy == settled and len(lazy) == 40
+    assert all(r[-1] is not None for r in lazy)

@@ -125,3 +125,16 @@ def test_results_text_rounds_half_even_and_appends(spark, tmp_path):
 def test_csv_sink(spark, tmp_path):
     path = sinks.write_csv(hist(spark), str(tmp_path / "t"))
     assert spark.read.option("header", True).csv(path).count() == 20
+
+
+def test_line_ends_and_numbers(spark, tmp_path):
+    from tractwise.functions.columns import to_number
+    from tractwise.sources.files import numbered_lines
+    from pyspark.sql import functions as F
+
+    (tmp_path / "a.csv").write_bytes(b"1,2\r3,4\r5,6 \r\n7,8")
+    for limit in (1 << 20, 0):
+        rows = numbered_lines(spark, str(tmp_path), whole_bytes=limit).collect()
+        assert [r.line for r in sorted(rows, key=lambda r: r.line_no)] == ["1,2", "3,4", "5,6", "7,8"]
+    texts = spark.createDataFrame([("12d",), ("1f",), (" 1.5e3 ",), ("-2",), ("x",)], "t string")
+    assert [r[0] for r in texts.select(to_number(F.col("t"))).collect()] == [None, None, 1500.0, -2.0, None]

@@ -16,7 +16,9 @@ def is_finite(value: Column) -> Column:
 
 def to_number(text: Column) -> Column:
     """Text to double; NULL where it is not a number."""
-    number = F.trim(text).try_cast("double")
+    plain = F.trim(text)
+    shown = plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$") | F.lower(plain).rlike(r"^[+-]?inf(inity)?$")
+    number = F.when(shown, plain.try_cast("double"))
     return F.when(~F.isnan(number), number)
 
 

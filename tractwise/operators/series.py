@@ -103,12 +103,11 @@ def segment_iou(pred: DataFrame, truth: DataFrame) -> DataFrame:
 
 def segment_counts(pred: DataFrame, truth: DataFrame, datasets: DataFrame) -> DataFrame:
     """Predicted and true segments of every dataset and side, zero included."""
-    both = pred.select("dataset", "label", F.lit(1).alias("p"), F.lit(0).alias("t")).unionByName(
-        truth.select("dataset", "label", F.lit(0).alias("p"), F.lit(1).alias("t")))
-    found = both.groupBy("dataset", "label").agg(
-        F.sum("p").alias("n_pred"), F.sum("t").alias("n_truth"))
     grid = datasets.select("dataset", F.explode(F.array(*map(F.lit, SIDES))).alias("label"))
-    return grid.join(found, ["dataset", "label"], "left").na.fill(0, ["n_pred", "n_truth"])
+    n_pred = pred.groupBy("dataset", "label").agg(F.count("*").alias("n_pred"))
+    n_truth = truth.groupBy("dataset", "label").agg(F.count("*").alias("n_truth"))
+    keys = ["dataset", "label"]
+    return grid.join(n_pred, keys, "left").join(n_truth, keys, "left").na.fill(0, ["n_pred", "n_truth"])
 
 
 def segment_curves(pred: DataFrame, truth: DataFrame, datasets: DataFrame,
@@ -132,7 +131,8 @@ def segment_curves(pred: DataFrame, truth: DataFrame, datasets: DataFrame,
         .select("dataset", "label", "score", F.lit(0).alias("tp"), F.lit(0).alias("fp"),
                 F.lit(1).alias("found"))
     )
-    at_score = verdicts.unionByName(found).groupBy("dataset", "label", "score").agg(
+    # dealt out anew: a union may claim its parts' partitioning, which later keyed steps would trust
+    at_score = verdicts.unionByName(found).repartition("dataset", "label").groupBy("dataset", "label", "score").agg(
         F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("found").alias("found"))
     down = Window.partitionBy("dataset", "label").orderBy(F.col("score").desc())
     upto = down.rowsBetween(Window.unboundedPreceding, 0)
@@ -161,7 +161,8 @@ def segment_curves(pred: DataFrame, truth: DataFrame, datasets: DataFrame,
                 F.when(F.col("step") == 1, 1.0).otherwise(
                     F.col("n_truth") / (F.col("n_truth") + 1e-9)).alias("precision"))
     )
-    return measured.unionByName(fixed, allowMissingColumns=True).withColumn("tpr", F.col("recall"))
+    both = measured.unionByName(fixed, allowMissingColumns=True).repartition("dataset", "label")
+    return both.withColumn("tpr", F.col("recall"))
 
 
 def segment_areas(curves: DataFrame, counts: DataFrame) -> DataFrame:

@@ -39,8 +39,8 @@ def curve_batch(series: DataFrame, tau: float = SEGMENT_TAU, min_len: int = MIN_
     changes = changepoint_labels(usable, tau, smooth_k, max_length, standardize)
     points = settle(consensus(fits, changes))
 
-    agreed = segments(points, "label", "fit", min_len)
-    truth = truth_segments(usable, tau, min_len, smooth_k)
+    agreed = settle(segments(points, "label", "fit", min_len))
+    truth = settle(truth_segments(usable, tau, min_len, smooth_k))
     found = agreed.withColumn("source", F.lit("consensus")).unionByName(
         segments(points, "label_fit", "fit", min_len).withColumn("source", F.lit("GAM"))).unionByName(
         segments(points, "label_cp", "yf", min_len).withColumn("source", F.lit("PELT")))

@@ -69,7 +69,7 @@ def numbered_lines(spark: SparkSession, paths: str | Sequence[str], glob: str =
 
     small = source(True, [
         F.col("_metadata.file_path").alias("path"),
-        F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line")])
+        F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("line_no", "line")]).withColumn("line", F.rtrim("line"))
     large = source(False, [
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("_block"),
