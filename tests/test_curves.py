@@ -140,9 +140,8 @@ def test_areas_are_the_same_on_lazy_and_settled_inputs(spark):
     pred = spark.createDataFrame(
         [(f"d{i}", s, float(10 * k), float(10 * k + 8), 0.1 * k + 0.01 * i) for i in range(20)
          for s in ("expansion", "contraction") for k in range(1, 4)],
-        "dataset string, label string, start_rl double, end_rl double, score double")
+        "dataset string, label string, start_rl double, end_rl double, mean_eff double")
     truth = pred.filter("start_rl > 10").select("dataset", "label", "start_rl", "end_rl")
-    pred = pred.withColumn("mean_delta", F.col("score")) if "mean_delta" not in pred.columns else pred
     sets = pred.select("dataset").distinct()
 
     def areas(p, t, d):
