@@ -126,7 +126,7 @@ def test_cluster_names_by_rank(spark):
 
 def test_kmeans_finds_the_blobs(spark):
     x = blobs()
-    fit = cl.kmeans_fit(vectors(spark, x, "z").repartition(3), 3, n_start=10, id_col="id")
+    fit = cl.kmeans_fit(vectors(spark, x, "z").repartition(3), 3, n_start=10)
     truth = np.repeat([0, 1, 2], (30, 20, 10))
     means = np.array([x[truth == c].mean(0) for c in range(3)])
     order = np.argsort(fit.means[:, 0])
@@ -144,7 +144,7 @@ def dense_loglik(x, m):
 
 def test_mixture_selects_three_and_likelihood_rises(spark):
     x = blobs(1)
-    fits = cl.mixture_fits(vectors(spark, x, "z").repartition(2), range(1, 6), id_col="id")
+    fits = cl.mixture_fits(vectors(spark, x, "z").repartition(2), range(1, 6))
     assert max(fits, key=lambda m: m.bic).k == 3
     for m in fits:
         assert (np.diff(m.history) >= -1e-6 * (1 + np.abs(m.history[-1]))).all(), (m.family, m.k)
@@ -211,3 +211,23 @@ def test_model_save_load_and_predict(spark, tmp_path, method):
         assert first["y_pred"] == pytest.approx(x[:12, 1].mean())
     wide = cl.center_frame(spark, model)
     assert wide.columns == [f"bin_{i}" for i in range(1, 6)] + ["cluster", "cluster_type"]
+
+
+def test_starts_come_from_distinct_vectors(spark):
+    rows = [(i, [0.0, 0.0]) for i in range(800)] + [(1000 + i, [float(i), float(i * i % 7)]) for i in range(1, 31)]
+    frame = spark.createDataFrame(rows, "id long, z array<double>")
+    assert cl.kmeans_fit(frame, 3, n_start=2).k == 3
+    fits = cl.mixture_fits(frame, range(1, 4), families=("EII",), n_start=2, max_iter=3)
+    assert [m.k for m in fits] == [1, 2, 3]
+
+
+def test_every_number_of_clusters_is_reported(spark):
+    frame = spark.createDataFrame([(i, [float(i % 2)]) for i in range(20)], "id long, z array<double>")
+    fits = cl.mixture_fits(frame, range(1, 5), families=("EII",), n_start=2)
+    status = {r["k"]: r["status"] for r in cl.bic_table(spark, fits).collect()}
+    assert set(status) == {1, 2, 3, 4}
+    assert status[3] == status[4] == "fewer distinct vectors"
+    cut = cl.mixture_fits(spark.createDataFrame(
+        [(i, [float(i), float(i * i % 11)]) for i in range(40)], "id long, z array<double>"),
+        [3], families=("VVI",), n_start=1, max_iter=1)
+    assert [m.status for m in cut] == ["not converged"]

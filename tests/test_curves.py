@@ -150,3 +150,13 @@ def test_areas_are_the_same_on_lazy_and_settled_inputs(spark):
     lazy, settled = areas(pred, truth, sets), areas(settle(pred), settle(truth), settle(sets))
     assert lazy == settled and len(lazy) == 40
     assert all(r[-1] is not None for r in lazy)
+
+
+def test_repeated_lengths_do_not_multiply(spark):
+    from tractwise.operators.smoothers import changepoint_labels, consensus, spline_fit
+
+    rows = [("d", float(x), 0.01 * x) for x in range(30)] + [("d", 7.0, 0.5)]
+    series = spark.createDataFrame(rows, "dataset string, x double, delta double")
+    both = consensus(spline_fit(series), changepoint_labels(series))
+    assert both.count() == len(rows)
+    assert sorted(r["delta"] for r in both.filter("x = 7").collect()) == [0.07, 0.5]

@@ -138,3 +138,53 @@ def test_line_ends_and_numbers(spark, tmp_path):
         assert [r.line for r in sorted(rows, key=lambda r: r.line_no)] == ["1,2", "3,4", "5,6", "7,8"]
     texts = spark.createDataFrame([("12d",), ("1f",), (" 1.5e3 ",), ("-2",), ("x",)], "t string")
     assert [r[0] for r in texts.select(to_number(F.col("t"))).collect()] == [None, None, 1500.0, -2.0, None]
+
+
+@pytest.mark.parametrize("whole_bytes", [files.WHOLE_FILE_BYTES, 0])
+def test_blank_lines_do_not_count(spark, tmp_path, whole_bytes):
+    head = "h\n\n\nh\n\nh\n"
+    (tmp_path / "s_d0.rest.histogram").write_text(head + "\n10\t1\n\n11\t5\nx\t1\n \n12\t3\n")
+    rows = files.read_histograms(spark, str(tmp_path), whole_bytes=whole_bytes)
+    got = sorted((r["pos"], r["repeat_length"], r["reads"]) for r in rows.collect())
+    assert got == [(0, 10.0, 1.0), (1, 11.0, 5.0), (3, 12.0, 3.0)]
+    assert abs(histograms.instability(rows).first()["instability_index"] - (-1 * 1 + 2 * 3) / 9) < 1e-12
+
+
+@pytest.mark.parametrize("whole_bytes", [files.WHOLE_FILE_BYTES, 0])
+def test_delta_header_is_the_first_line_not_blank(spark, tmp_path, whole_bytes):
+    (tmp_path / "a.csv").write_text("\n\nlen,delta\n\n2,1\n1,0.5\n")
+    (tmp_path / "b.csv").write_text("len,other\n2,1\n3,1\n")
+    read = files.read_delta_files(spark, str(tmp_path), whole_bytes=whole_bytes)
+    assert sorted((r["pos"], r["x"], r["delta"]) for r in files.delta_series(read).collect()) == [
+        (1, 2.0, 1.0), (2, 1.0, 0.5)]
+    assert [r["file"] for r in files.skipped_files(read).collect()] == ["b.csv"]
+
+
+def test_blank_delta_file_is_skipped_by_name(spark, tmp_path):
+    (tmp_path / "none.csv").write_text("\n \n")
+    read = files.read_delta_files(spark, str(tmp_path))
+    assert [r["file"] for r in files.skipped_files(read).collect()] == ["none.csv"]
+
+
+@pytest.mark.parametrize("names, samples", [
+    (["s1_d0.rest.histogram", "s1_d0.per.histogram"], {"s1_d0.rest.histogram", "s1_d0.per.histogram"}),
+    (["a.csv", "a.tsv"], {"a.csv", "a.tsv"}),
+    (["x/a.csv", "y/a.csv"], None),
+    (["a.csv", "b.csv"], {"a", "b"}),
+])
+def test_every_file_is_a_sample(spark, tmp_path, names, samples):
+    for i, name in enumerate(names):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        sep = "," if name.endswith(".csv") else "\t"
+        head = "h\n" * 6 if name.endswith(".histogram") else ""
+        (tmp_path / name).write_text(head + f"1{sep}2\n2{sep}{i + 4}\n")
+    rows = files.read_histograms(spark, str(tmp_path), nested=True)
+    per_sample = {r["sample"]: r["count"] for r in rows.groupBy("sample").count().collect()}
+    assert list(per_sample.values()) == [2, 2]
+    assert samples is None or set(per_sample) == samples
+
+
+def test_small_files_need_no_shuffle(spark, folder, capsys):
+    read = files.whole_files(spark, folder)
+    read.explain()
+    assert "Exchange" not in capsys.readouterr().out

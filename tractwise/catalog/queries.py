@@ -523,7 +523,7 @@ def kmeans_train(spark, sf):
 def gmm_bic(spark, sf):
     vectors = bins.scale_vectors(*_emb_stats(spark, sf)).select("vec_id", "z")
     return clusters.bic_table(spark, clusters.mixture_fits(
-        settle(vectors), range(1, 10), id_col="vec_id"))
+        settle(vectors), range(1, 10)))
 
 
 def _emb_stats(spark, sf):

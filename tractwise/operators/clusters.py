@@ -38,6 +38,7 @@ class _Candidate:
     bic: float = -np.inf
     done: bool = False
     failed: bool = False
+    status: str = "ok"
     history: list[float] = field(default_factory=list)
 
     @property
@@ -88,14 +89,17 @@ def _pass(vectors: DataFrame, vec: str, models: Sequence[_Candidate]) -> dict[in
         if sums:
             yield pd.DataFrame({"model": list(sums), "sums": list(sums.values())})
 
-    total = F.aggregate("all", F.array_repeat(F.lit(0.0), F.size(F.col("all")[0])),
-                        lambda acc, s: F.zip_with(acc, s, lambda a, b: a + b))
+    # summed per position, so partial sums combine on the map side and no cell grows with the tasks
     rows = (
         vectors.select(vec).mapInPandas(partial, "model int, sums array<double>")
-        .groupBy("model").agg(F.collect_list("sums").alias("all"))
-        .select("model", total.alias("sums")).collect()
+        .select("model", F.posexplode("sums").alias("pos", "value"))
+        .groupBy("model", "pos").agg(F.sum("value").alias("value")).toArrow()
     )
-    flats = {r["model"]: np.asarray(r["sums"]) for r in rows}
+    name, pos, value = (rows.column(c).to_numpy() for c in ("model", "pos", "value"))
+    flats = {}
+    for m in models:
+        own = name == m.name
+        flats[m.name] = value[own][np.argsort(pos[own])]
     out = {}
     for m in models:
         flat, k, p = flats[m.name], m.k, m.means.shape[1]
@@ -104,11 +108,11 @@ def _pass(vectors: DataFrame, vec: str, models: Sequence[_Candidate]) -> dict[in
     return out
 
 
-def _start_rows(vectors: DataFrame, id_col: str, vec: str, size: int, seed: int) -> np.ndarray:
-    """A reproducible pool of start rows: the smallest hashes of the id, ``size`` at most."""
-    order = F.xxhash64(F.col(id_col).cast("string"), F.lit(seed))
-    rows = vectors.select(vec).orderBy(order, id_col).limit(size).collect()
-    return np.unique(np.array([r[vec] for r in rows], dtype=float), axis=0)
+def _start_rows(vectors: DataFrame, vec: str, size: int, seed: int) -> np.ndarray:
+    """A reproducible pool of start rows: the distinct vectors of smallest hashes, ``size`` at most."""
+    order = F.xxhash64(F.col(vec), F.lit(seed))
+    rows = vectors.select(vec).distinct().orderBy(order, vec).limit(size).collect()
+    return np.array([r[vec] for r in rows], dtype=float)
 
 
 def _run_kmeans(vectors: DataFrame, vec: str, starts: list[np.ndarray], max_iter: int) -> list[_Candidate]:
@@ -127,11 +131,10 @@ def _run_kmeans(vectors: DataFrame, vec: str, starts: list[np.ndarray], max_iter
 
 
 def kmeans_fit(vectors: DataFrame, k: int = N_CLUSTERS, n_start: int = N_START,
-               max_iter: int = MAX_ITER, seed: int = 42, id_col: str = "file",
-               vec: str = "z") -> _Candidate:
+               max_iter: int = MAX_ITER, seed: int = 42, vec: str = "z") -> _Candidate:
     """Best of ``n_start`` starts by the within-cluster sum of squares."""
     k = max(2, min(k, vectors.count()))
-    pool = _start_rows(vectors, id_col, vec, n_start * k, seed)
+    pool = _start_rows(vectors, vec, n_start * k, seed)
     if len(pool) < k:
         raise ValueError("more clusters than distinct vectors")
     rng = np.random.default_rng(seed)
@@ -181,18 +184,22 @@ def _maximise(m: _Candidate, size, sums, squares) -> None:
         variances = family_variances(m.family, size, scatter)
     if size.min() <= TINY or not np.isfinite(variances).all() or variances.min() <= TINY:
         m.failed = m.done = True
-        m.bic = -np.inf
+        m.status, m.bic = "failed", -np.inf
         return
     m.means, m.variances, m.weights = means, variances, size / size.sum()
 
 
 def mixture_fits(vectors: DataFrame, ks: Sequence[int], families: Sequence[str] = FAMILIES,
                  n_start: int = 5, tol: float = 1e-5, max_iter: int = 500, seed: int = 42,
-                 id_col: str = "file", vec: str = "z") -> list[_Candidate]:
-    """EM for every number of clusters and family, started from k-means partitions."""
-    n = vectors.count()
-    pool = _start_rows(vectors, id_col, vec, n_start * max(ks), seed)
-    ks = [k for k in ks if k <= len(pool)]
+                 vec: str = "z") -> list[_Candidate]:
+    """EM for every number of clusters and family, started from k-means partitions.
+
+    Every asked number has its models in the result. ``status`` says what became of each: ok,
+    failed, not converged (after ``max_iter`` passes) or fewer distinct vectors than clusters.
+    """
+    n, asked = vectors.count(), list(ks)
+    pool = _start_rows(vectors, vec, n_start * max(ks), seed)
+    ks = [k for k in asked if k <= len(pool)]
     rng = np.random.default_rng(seed)
     starts = [pool[rng.choice(len(pool), k, replace=False)] for k in ks for _ in range(n_start)]
     runs = _run_kmeans(vectors, vec, starts, 100)
@@ -215,6 +222,7 @@ def mixture_fits(vectors: DataFrame, ks: Sequence[int], families: Sequence[str]
             m.history.append(loglik)
             if not np.isfinite(loglik):
                 m.failed = m.done = True
+                m.status = "failed"
                 continue
             m.bic = 2 * loglik - family_parameters(m.family, m.k, p) * np.log(n)
             if abs(loglik - m.goal) / (1 + abs(loglik)) < tol:
@@ -223,12 +231,18 @@ def mixture_fits(vectors: DataFrame, ks: Sequence[int], families: Sequence[str]
             else:
                 m.goal = loglik
                 _maximise(m, size, sums, squares)
+    for m in models:
+        if not m.done:
+            m.status = "not converged"
+    models += [_Candidate(-1, np.empty((k, 0)), family, done=True, failed=True,
+                          status="fewer distinct vectors")
+               for k in asked if k > len(pool) for family in families]
     return models
 
 
 def bic_table(spark: SparkSession, models: Sequence[_Candidate]) -> DataFrame:
     rows = [(m.family, m.k, None if m.failed else float(m.goal), None if m.failed else float(m.bic),
-             "failed" if m.failed else "ok") for m in models]
+             m.status) for m in models]
     return spark.createDataFrame(rows, "family string, k int, loglik double, bic double, status string")
 
 
@@ -275,13 +289,13 @@ def train_model(points: DataFrame, method: str = "gmm", k: int = N_CLUSTERS,
     try:
         n = scaled.count()
         if method == "kmeans":
-            fit = kmeans_fit(scaled, k, seed=seed, id_col=key, **options)
+            fit = kmeans_fit(scaled, k, seed=seed, **options)
         elif method == "gmm":
             top = max(2, min(MAX_CLUSTERS, n - 1))
             ks = range(1, top + 1) if auto_select_k else [max(2, min(k, n - 1))]
-            fits = mixture_fits(scaled, list(ks), seed=seed, id_col=key, **options)
-            fit = max(fits, key=lambda m: m.bic)
-            if fit.failed:
+            fits = mixture_fits(scaled, list(ks), seed=seed, **options)
+            fit = max(fits, key=lambda m: m.bic, default=None)
+            if fit is None or fit.failed:
                 raise ValueError("no mixture could be fitted")
         else:
             raise ValueError(f"unknown method: {method}")

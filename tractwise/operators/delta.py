@@ -130,10 +130,13 @@ def overlay(groups: DataFrame, view: tuple[float, float] = FULL_VIEW) -> DataFra
 def wide_delta(hist: DataFrame, samples: Sequence[str], method: str = "minmax") -> DataFrame:
     """One column per sample, the two averages and delta last, at the aligned lengths.
 
-    ``samples`` names the columns (``<grp>_<sample>``), so the pivot needs no extra job.
+    ``samples`` names the columns (``<grp>_<sample>``), so the pivot needs no extra job. A sample
+    that it leaves out fails the query, as the averages would hold what no column shows.
     """
     norm = normalise(hist, method)
-    columns = _per_length(norm).withColumn("_col", F.concat_ws("_", "grp", "sample"))
+    name = F.concat_ws("_", "grp", "sample")
+    columns = _per_length(norm).withColumn("_col", F.when(name.isin(list(samples)), name).otherwise(
+        F.raise_error(F.concat(F.lit("sample without a column: "), name))))
     pivoted = columns.groupBy("dataset", "x").pivot("_col", list(samples)).agg(F.first("y"))
     groups = aligned_groups(norm).select("dataset", "x", "day0_avg", "treated_avg", "delta")
     return pivoted.join(groups, ["dataset", "x"]).select(

@@ -115,7 +115,12 @@ def _same_lengths(batch: pd.DataFrame) -> Iterator[tuple[np.ndarray, list[int]]]
         yield lengths[rows[0]], rows
 
 
-FIT_SCHEMA = ("dataset string, x double, delta double, yf double, fit double, se double, "
+def _copies(x: np.ndarray) -> np.ndarray:
+    """How many earlier points of a sorted series have the same length."""
+    return np.arange(len(x)) - np.searchsorted(x, x)
+
+
+FIT_SCHEMA = ("dataset string, x double, copy int, delta double, yf double, fit double, se double, "
               "lower double, upper double, k_spline int, edf double, log_lambda double, status string")
 
 
@@ -154,14 +159,14 @@ def spline_fit(series: DataFrame, k_spline: int = K_SPLINE, smooth_k: int = SMOO
                     status = f"no fit: {problem}"
                 for c, i in enumerate(rows):
                     parts.append(pd.DataFrame({
-                        "dataset": batch["dataset"].iloc[i], "x": x, "delta": raw[:, c],
+                        "dataset": batch["dataset"].iloc[i], "x": x, "copy": _copies(x), "delta": raw[:, c],
                         "yf": y[:, c], "fit": fitted[:, c], "se": se[:, c], "lower": low[:, c],
                         "upper": high[:, c], "k_spline": k, "edf": edf[c], "log_lambda": lam[c],
                         "status": status}))
             if parts:
                 yield pd.concat(parts)
 
-    packed = _series_arrays(smooth(series, smooth_k, max_length), "delta", "yf")
+    packed = _series_arrays(smooth(series, smooth_k, max_length), "yf", "delta")
     fits = packed.mapInPandas(fit, FIT_SCHEMA)
     numbers = ("fit", "se", "lower", "upper", "edf", "log_lambda")
     clean = fits.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in numbers})
@@ -223,9 +228,9 @@ def changepoint_labels(series: DataFrame, tau: float = SEGMENT_TAU, smooth_k: in
                 for c, i in enumerate(rows):
                     size = np.bincount(segment[:, c])
                     mean = np.bincount(segment[:, c], weights=y[:, c]) / size
+                    x = np.asarray(batch["x"].iloc[i], float)
                     parts.append(pd.DataFrame({
-                        "dataset": batch["dataset"].iloc[i],
-                        "x": np.asarray(batch["x"].iloc[i], float),
+                        "dataset": batch["dataset"].iloc[i], "x": x, "copy": _copies(x),
                         "yf": np.asarray(batch["yf"].iloc[i], float), "y3": y[:, c],
                         "cp_segment": segment[:, c] + 1, "cp_mean": mean[segment[:, c]]}))
             if parts:
@@ -233,12 +238,12 @@ def changepoint_labels(series: DataFrame, tau: float = SEGMENT_TAU, smooth_k: in
 
     smoothed = rolling_mean(smooth(series, smooth_k, max_length), "yf", "y3", 3, "extend")
     rows = _series_arrays(smoothed, "yf", "y3").mapInPandas(
-        label, "dataset string, x double, yf double, y3 double, cp_segment int, cp_mean double")
+        label, "dataset string, x double, copy int, yf double, y3 double, cp_segment int, cp_mean double")
     return rows.withColumn("label_cp", tau_label(F.col("cp_mean"), tau))
 
 
 def consensus(fits: DataFrame, changes: DataFrame) -> DataFrame:
-    """Both labels of every point and their agreement."""
-    both = fits.join(changes.select("dataset", "x", "cp_segment", "cp_mean", "label_cp"),
-                     ["dataset", "x"])
+    """Both labels of every point and their agreement. Points of one length pair by their order."""
+    both = fits.join(changes.select("dataset", "x", "copy", "cp_segment", "cp_mean", "label_cp"),
+                     ["dataset", "x", "copy"]).drop("copy")
     return both.withColumn("label", agreed_label(F.col("label_fit"), F.col("label_cp")))
