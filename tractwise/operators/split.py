@@ -32,6 +32,8 @@ def stratified_split(features: DataFrame, id_col: str = "dataset", label: str =
     quota = F.when(F.col(label) == EXPANSION, k_exp).when(
         F.col(label) == CONTRACTION, k_con).otherwise(k_neu)
     ranked = hash_rank(rows, [label], id_col, "_rank", salt)
+    if short <= 0:
+        return ranked.select(id_col, label, F.when(F.col("_rank") <= quota, "train").otherwise("test").alias("split"))
     drawn = ranked.filter(F.col("_rank") <= quota).withColumn("split", F.lit("train"))
     rest = hash_rank(ranked.filter(F.col("_rank") > quota), [], id_col, "_again", salt)
     topped = rest.withColumn(
