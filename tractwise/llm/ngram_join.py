@@ -21,9 +21,11 @@ SKETCH_BITS = 1024  # of the shortest parity sketch
 GROUP = 256  # members of a bucket that are held against one another at a time
 FILTER_BITS = 1 << 25  # of the fixed-size filters that only save shuffling
 CHUNK = 4 << 20
+KEY_BYTES = 6  # of a segment key; keys that are equal by chance only cost a comparison
+PART_KEYS = 1 << 23  # keys looked through at a time for those that occur twice
 PRIME = 0x9E3779B97F4A7C15
 
-SKETCHES = "doc_id long, n_shingles long, f long, g long, keys array<long>, sketch binary"
+SKETCHES = "doc_id long, n_shingles long, f long, g long, n_keys long, keys binary, sketch binary"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -166,7 +168,18 @@ def segment_keys(grams: np.ndarray, bands: Bands) -> np.ndarray:
         own = running[cuts[take + 1]] ^ running[cuts[take]]
         tag = mix(np.full(len(take), level * 0x10001 + 7, np.uint64) * np.uint64(PRIME) + take.astype(np.uint64))
         keys.append(mix(own ^ tag))
-    return np.concatenate(keys)
+    return np.concatenate(keys) & np.uint64((1 << 8 * KEY_BYTES) - 1)
+
+
+def pack(values: np.ndarray, size: int) -> bytes:
+    """The low ``size`` bytes of each 64-bit value."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
+
+
+def unpack(raw: bytes, size: int) -> np.ndarray:
+    wide = np.zeros((len(raw) // size, 8), np.uint8)
+    wide[:, :size] = np.frombuffer(raw, np.uint8).reshape(-1, size)
+    return wide.view("<u8").ravel()
 
 
 def parity_sketch(grams: np.ndarray) -> bytes:
@@ -202,13 +215,12 @@ def sketches(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] = SIM
                 keys = [segment_keys(s, bands) for s in sets]
                 f = np.array([np.bitwise_xor.reduce(s) if len(s) else 0 for s in sets], np.uint64)
                 g = np.array([(mix(s) * np.uint64(PRIME)).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64)
-                ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-                flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(s) for s in sets], pa.int64()), signed(f), signed(g),
-                     pa.ListArray.from_arrays(pa.array(ends), signed(flat)),
+                     pa.array([len(k) for k in keys], pa.int64()),
+                     pa.array([pack(k, KEY_BYTES) for k in keys], pa.binary()),
                      pa.array([parity_sketch(s) for s in sets], pa.binary())],
-                    names=["doc_id", "n_shingles", "f", "g", "keys", "sketch"])
+                    names=["doc_id", "n_shingles", "f", "g", "n_keys", "keys", "sketch"])
 
     return _plain(docs).mapInArrow(run, SKETCHES)
 
@@ -233,17 +245,57 @@ def passes(values: np.ndarray, words: np.ndarray) -> np.ndarray:
     return (words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 
+def shared_keys(table: DataFrame) -> DataFrame:
+    """Every ``key`` that occurs more than once.
+
+    Keys travel as bytes, sorted into as many ranges as their number asks for. A task sends a key
+    twice at most however often it has it, so a key of very many documents is no burden on its range.
+    """
+    total = table.agg(F.sum("n_keys")).first()[0] or 0
+    parts = max(32, -(-total // PART_KEYS))
+
+    def ranges(raw: list[bytes]) -> pa.RecordBatch:
+        keys = np.sort(unpack(b"".join(raw), KEY_BYTES))
+        keys = keys[np.concatenate([np.ones(min(2, len(keys)), bool), keys[2:] != keys[:-2]])]
+        part = ((keys >> np.uint64(16)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        used, at = np.unique(part, return_index=True)
+        cuts = [*at.tolist(), len(keys)]
+        pieces = [pack(keys[x:y], KEY_BYTES) for x, y in zip(cuts[:-1], cuts[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(used), pa.array(pieces, pa.binary())], names=["part", "keys"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                held.append(raw)
+                size += len(raw)
+                if size >= KEY_BYTES * CHUNK:
+                    yield ranges(held)
+                    held, size = [], 0
+        if held:
+            yield ranges(held)
+
+    def repeated(group: pa.Table) -> pa.Table:
+        keys = np.sort(unpack(b"".join(group.column("keys").to_pylist()), KEY_BYTES))
+        return pa.table({"key": signed(np.unique(keys[1:][keys[1:] == keys[:-1]]))})
+
+    pieces = table.select("keys").mapInArrow(cut, "part long, keys binary")
+    return pieces.groupBy("part").applyInArrow(repeated, "key long")
+
+
 def members(table: DataFrame, shared: DataFrame) -> DataFrame:
     """(key, doc_id) of all keys that the fixed-size filter of the shared keys lets pass."""
     bits = fixed_filter(shared, "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            keys = lists.flatten().to_numpy()
-            docs = np.repeat(batch.column(0).to_numpy(), np.diff(lists.offsets.to_numpy()))
-            keep = passes(keys, bits.value)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(docs[keep])], names=["key", "doc_id"])
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                raw = part.column(1).to_pylist()
+                keys = unpack(b"".join(raw), KEY_BYTES).view(np.int64)
+                docs = np.repeat(part.column(0).to_numpy(), [len(r) // KEY_BYTES for r in raw])
+                keep = passes(keys, bits.value)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(docs[keep])], names=["key", "doc_id"])
 
     return table.select("doc_id", "keys").mapInArrow(run, "key long, doc_id long")
 
@@ -258,23 +310,13 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             part = batch.filter(keep)
             sets = []
             for at in range(0, part.num_rows, 1024):
-                sets += [_short(s) for s in shingle_sets(text_bytes(part.column(1).slice(at, 1024)), words)]
+                sets += [pack(s >> np.uint64(24), 5) for s in shingle_sets(text_bytes(part.column(1).slice(at, 1024)), words)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["doc_id", "set"])
 
     plain = _plain(docs).filter("doc_id IS NOT NULL")
     return plain.withColumn("h", F.xxhash64("doc_id")).mapInArrow(run, "doc_id long, set binary")
 
 
-def _short(grams: np.ndarray) -> bytes:
-    return (grams >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-
-
-def _long(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // 5, 8), np.uint8)
-    wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return wide.view("<u8").ravel()
-
-
 def verify(docs: DataFrame, pairs: DataFrame, words: int, similar: tuple[int, int]) -> DataFrame:
     """Those of the pairs (a, b) whose sets are similar enough, by the sets themselves."""
     num, den = similar
@@ -287,7 +329,7 @@ def verify(docs: DataFrame, pairs: DataFrame, words: int, similar: tuple[int, in
         for batch in batches:
             keep = []
             for a, b in zip(batch.column(2), batch.column(3)):
-                x, y = _long(a.as_py()), _long(b.as_py())
+                x, y = unpack(a.as_py(), 5), unpack(b.as_py(), 5)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(den * both >= num * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -387,11 +429,11 @@ def link(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] = SIMILAR
     """
     table = settle(sketches(docs, words, similar))
     known = table.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    buckets = known.select(F.explode("keys").alias("key"), "doc_id").groupBy("key").agg(
-        F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
-    buckets = settle(buckets.filter("first < last"))
-    rows = settle(members(known, buckets).join(buckets.drop("last"), "key"))
-    release(buckets)
+    shared = settle(shared_keys(known))
+    held = settle(members(known, shared))
+    buckets = held.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    rows = settle(held.join(buckets.filter("first < last").drop("last"), "key"))
+    release(shared, held)
     stars = rows.filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
     near = settle(_close(stars, known, similar))
     verified = verify(docs, near.filter("NOT same").select("a", "b"), words, similar)
