@@ -25,6 +25,15 @@ def _stars(edges: DataFrame, larger: bool) -> DataFrame:
     return moved.filter("x <> m").select(F.col("m").alias("a"), F.col("x").alias("b")).distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has either links to larger nodes only or one link, to a smaller node."""
+    ends = edges.select(F.explode(F.array(
+        F.struct(F.col("a").alias("node"), F.lit(1).alias("centre"), F.lit(0).alias("leaf")),
+        F.struct(F.col("b").alias("node"), F.lit(0).alias("centre"), F.lit(1).alias("leaf")))).alias("e")).select("e.*")
+    nodes = ends.groupBy("node").agg(F.max("centre").alias("centre"), F.sum("leaf").alias("leaf"))
+    return nodes.agg(F.max(F.col("centre") + F.col("leaf"))).first()[0] in (None, 1)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``component``, the smallest node it can reach, of every node of a link.
 
@@ -32,13 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     state = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     state = settle(state)
-    before = None
-    while True:
-        seen = state.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"),
-                         F.sum(F.col("a").cast("decimal(38,0)")).alias("s")).first()
-        if before == tuple(seen):
-            break
-        before = tuple(seen)
+    while not _are_stars(state):
         large = settle(_stars(state, True))
         small = settle(_stars(large, False))
         release(state, large)
