@@ -226,6 +226,34 @@ def test_urls(spark):
     assert urls.judge(frame.limit(0)).count() == 0
 
 
+def test_every_window_of_a_url_has_its_own_score(spark):
+    rng = np.random.default_rng(6)
+    made = [("\x01" * 4 + "".join(map(chr, rng.integers(97, 123, 30))), ("allow", "block", None)[i % 3]) for i in range(300)]
+    made += [("\x01" * 4 + "www.same.com/" + str(i), "allow") for i in range(300)] + [("\x01" * 4, "allow")]
+    frame = spark.createDataFrame(made, "padded string, train string")
+    seen = {}
+    for text, train in made:
+        for i in range(4, len(text)):
+            for k in range(5):
+                for key in (text[i - k:i + 1], (text[i - k:i],)):
+                    seen[key, train] = seen.get((key, train), 0) + 1
+
+    def delta(window):
+        p = {}
+        for c in ("allow", "block"):
+            p[c] = 1 / urls.SYMBOLS
+            for k in range(5):
+                p[c] = (seen.get((window[4 - k:], c), 0) + urls.WEIGHT * p[c]) / (seen.get(((window[4 - k:4],), c), 0) + urls.WEIGHT)
+        return np.log(p["allow"]) - np.log(p["block"])
+
+    table = urls.score_table(frame)
+    windows = {t[i - 4:i + 1] for t, _ in made for i in range(4, len(t))}
+    assert table.count() == len(windows) and table.filter(f"n > 9000 / {urls.COMMON}").count() < len(windows)
+    found = {r.padded: r.score for r in urls.scores(frame.select("padded"), table).collect()}
+    assert found.keys() == {t for t, _ in made if len(t) > 4}
+    assert all(abs(found[t] - np.mean([delta(t[i - 4:i + 1]) for i in range(4, len(t))])) < 1e-9 for t in found)
+
+
 def test_rules_learn(spark, docs, none):
     rng = np.random.default_rng(4)
     made = [(i, " ".join(("ab%% " if i % 3 == 0 else "abc ") + str(x) for x in rng.integers(0, 9, 40))) for i in range(300)]

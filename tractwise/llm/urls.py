@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tractwise.session import settle
+from tractwise.session import release, settle
 
 #: (verdict, rule); a rule is a host, which stands for its subdomains too, and the begin of a path.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
          ("block", "net/es/"), ("block", "net/fr/"))
 
 CONTEXT = 4  # characters of the longest context
-SLOTS = 1 << 18  # slots of the score table: bounds what reaches every task to 2 MB
+COMMON = 4096  # a window of more than one in so many is sent to every task: there are fewer than that
 WEIGHT = 2.0  # of the next shorter context, in counts
 SYMBOLS = 256
 BINS = 2000  # of scores, on either side of zero, for the calibration
@@ -52,16 +52,19 @@ def _places(padded: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
 
 
+def _windows() -> Column:
+    """A row for every window of ``padded``."""
+    return F.explode(F.transform(_places(F.col("padded")), lambda i: F.substring(F.col("padded"), i, CONTEXT + 1)))
+
+
 def score_table(urls: DataFrame) -> DataFrame:
-    """Log-likelihood difference (accepted minus rejected) of a character behind its context, by slot.
+    """window, n, delta: log-likelihood difference (accepted minus rejected) of a character behind its context.
 
-    ``urls`` has ``padded`` and ``train`` (allow, block or null). Every window of all URLs gets a
-    score: the probability of its last character is smoothed from the longest context down to a
-    uniform one, each order weighing ``WEIGHT`` counts. Windows whose hashes share a slot share
-    their mean score. The result always has ``SLOTS`` rows.
+    ``urls`` has ``padded`` and ``train`` (allow, block or null). Every distinct window of all URLs has
+    one row: the probability of its last character is smoothed from the longest context down to a
+    uniform one, each order weighing ``WEIGHT`` counts. The table grows with the windows.
     """
-    window = F.explode(F.transform(_places(F.col("padded")), lambda i: F.substring(F.col("padded"), i, CONTEXT + 1)))
-    grams = urls.select("train", window.alias("window")).groupBy("window").agg(
+    grams = urls.select("train", _windows().alias("window")).groupBy("window").agg(
         F.count("*").alias("n"),
         F.count_if(F.col("train") == "allow").cast("double").alias("allow"),
         F.count_if(F.col("train") == "block").cast("double").alias("block"))
@@ -82,23 +85,27 @@ def score_table(urls: DataFrame) -> DataFrame:
         table = table.select("window", "n", *[
             ((F.col(f"g_{c}") + WEIGHT * F.col(f"p_{c}")) / (F.col(f"c_{c}") + WEIGHT)).alias(f"p_{c}")
             for c in ("allow", "block")])
-    scored = table.select(F.pmod(F.xxhash64("window"), F.lit(SLOTS)).alias("slot"), "n",
-                          (F.log("p_allow") - F.log("p_block")).alias("delta"))
-    by_slot = scored.groupBy("slot").agg((F.sum(F.col("delta") * F.col("n")) / F.sum("n")).alias("delta"))
-    every = urls.sparkSession.range(SLOTS).withColumnRenamed("id", "slot")
-    return settle(every.join(by_slot, "slot", "left").select("slot", F.coalesce("delta", F.lit(0.0)).alias("delta")))
+    scored = settle(table.select("window", "n", (F.log("p_allow") - F.log("p_block")).alias("delta")))
+    release(grams)
+    return scored
 
 
 def scores(urls: DataFrame, table: DataFrame) -> DataFrame:
     """Mean score of the characters of every distinct ``padded`` URL that has any.
 
-    The table is broadcast: it has ``SLOTS`` rows, whatever the data. The mean of a URL's windows
-    stays the same however often the URL occurs, and is mostly taken before the shuffle.
+    A URL's windows meet the table by the window itself, in a shuffled join; how often the URL
+    occurs changes nothing. Windows that would gather in one task, of which there are fewer than
+    ``COMMON`` whatever the data, get their scores before.
     """
-    slot = F.explode(F.transform(_places(F.col("padded")), lambda i: F.pmod(
-        F.xxhash64(F.substring(F.col("padded"), i, CONTEXT + 1)), F.lit(SLOTS))))
-    return urls.select("padded", slot.alias("slot")).join(F.broadcast(table), "slot").groupBy("padded").agg(
+    every = settle(urls.select("padded").distinct().withColumn("id", F.monotonically_increasing_id()))
+    common = F.col("n") > F.lit((table.agg(F.sum("n")).first()[0] or 0) / COMMON)
+    windows = every.select("id", _windows().alias("window")).join(
+        F.broadcast(table.filter(common).select("window", "delta")), "window", "left")
+    rest = windows.filter("delta IS NULL").select("id", "window").join(
+        table.filter(~common).select("window", "delta"), "window").select("id", "delta")
+    means = windows.filter("delta IS NOT NULL").select("id", "delta").unionByName(rest).groupBy("id").agg(
         F.avg("delta").alias("score"))
+    return every.join(means, "id").select("padded", "score")
 
 
 def calibrate(scored: DataFrame) -> float:
