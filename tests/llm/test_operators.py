@@ -185,6 +185,31 @@ def test_secrets(docs, none):
     assert secret_scan.find("token=short1 token=abcdefghijkl") == [("assign", 13, 31, 1.0)]
 
 
+def test_secrets_of_any_length_and_over_lines():
+    rng = np.random.default_rng(8)
+
+    def value(n):
+        return "".join(map(chr, rng.choice([*range(48, 58), *range(65, 91), *range(97, 123)], n)))
+
+    def told(text):
+        return [text[s:e] for kind, s, e, _ in secret_scan.find(text) if kind == "literal"]
+
+    long, parts, body = "~" + "Zk3_" * 2000, [f"~{value(3)}" for _ in range(100)], "\n".join(value(64) for _ in range(9))
+    pem = f"-----BEGIN KEY-----\n{body}\n-----END KEY-----"
+    assert told(f"secret = '{long}'") == [long]
+    assert told("x = " + " + ".join(f"'{p}'" for p in parts) + "\nsecret = x") == parts
+    assert told("".join(f"a{i} = '{p}'\n" for i, p in enumerate(parts)) + f"b = '{long}'\nsecret = "
+                + " + ".join(f"a{i}" for i in range(100)) + " + b") == [*parts, long]
+    assert told("x" * 90 + "_secret" + " " * 40 + "=" + " " * 40 + "'~Zk3vbnQ77zz9'") == ["~Zk3vbnQ77zz9"]
+    for before, after in (('"""', '"""'), ("'''", "'''"), ('"', '"'), ("", ""), ("`", "`"), ('r"""\n', '\n"""')):
+        assert [x.strip() for x in told(f"private_key = {before}{pem}{after}\nother = 1")] == [pem]
+    block = pem.replace("\n", "\n    ")
+    assert told(f"a:\n  private_key: |-  # mine\n    {block}\n  other: 1\n") == [block]
+    start = "x = '~Zk3vbnQ77zz9'\n" + "x = x + x\n" * 3000 + "secret = x"
+    assert told(start) == ["~Zk3vbnQ77zz9"]
+    assert told("a." * 100000 + " " * 100000) == []
+
+
 def test_lines(docs, none):
     kept = {r.doc_id: r.text for r in lines.dedup_lines(docs).collect()}
     texts = {r[0]: r[1] for r in rows()}

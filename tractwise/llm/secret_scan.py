@@ -34,9 +34,14 @@ LEAST_SCORE = 0.6
 SPANS = "array<struct<kind: string, start: long, end: long, score: double>>"
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
-# A name, perhaps quoted or at the end of a path of members, an assignment sign, and what follows.
-PAIR = r"""(?<![\w$])(?:--|\$)?(?P<name>[A-Za-z_][\w.\-]{0,80}(?:\[["'][\w.\-]{1,80}["']\])?)["']?[ \t]{0,20}(?::=|=>|==?|:(?!:))[ \t]{0,20}(?=\S)"""
-STRING = r"""[bfruBFRU]{0,2}(?:"(?P<d>(?:[^"\\\n]|\\.){0,4096})"|'(?P<s>(?:[^'\\\n]|\\.){0,4096})'|`(?P<b>[^`\n]{0,4096})`)"""
+# A name, perhaps quoted or at the end of a path of members, and, where one follows, an assignment sign. A name without
+# a sign is passed over whole, as no later part of it can have one: that keeps the scan linear.
+PAIR = r"""(?<![\w$])(?:--|\$)?(?P<name>[A-Za-z_][\w.\-]*+(?:\[["'][\w.\-]++["']\])?+)(?P<sign>["']?[ \t]*+(?::=|=>|==?|:(?!:))[ \t]*+(?=\S))?"""
+TRIPLE = r"""[bfruBFRU]{0,2}(?:\"\"\"(?P<td>[^"\\]*+(?:(?:\\[\s\S]|"(?!""))[^"\\]*+)*+)\"\"\"|'''(?P<ts>[^'\\]*+(?:(?:\\[\s\S]|'(?!''))[^'\\]*+)*+)''')"""
+STRING = r"""[bfruBFRU]{0,2}(?:"(?P<d>[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+)"|'(?P<s>[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+)'|`(?P<b>[^`]*+)`)"""
+KEY = r"-----BEGIN [^\n-]*+-----[^-]*+(?:-(?!----)[^-]*+)*+-----END [^\n-]*+-----"
+PEM = rf"""(?P<q>["'])(?P<pem>{KEY})(?:\\n|\s)*+(?P=q)|(?P<plain>{KEY})"""
+BLOCK = r"""[|>][-+0-9]{0,2}[ \t]*+(?:#[^\n]*+)?\r?\n"""  # the head of a block scalar
 BARE = r"""[^\s,;"'`<>(){}\[\]&|#]+"""
 PLUS = r"""[ \t]*(?:\+|\.(?=[ \t]*["'])|(?=["']))[ \t]*"""
 INNER = r"\$\{(\w+)\}|\{(\w+)\}|%\((\w+)\)s|\$(\w+)"
@@ -69,38 +74,87 @@ def name_score(name: str) -> float:
     return best
 
 
+class Summary:
+    """What the score of a text depends on, so that sums need not be put together: they can double with every line."""
+
+    EDGE = max(map(len, PLACEHOLDERS)) - 1
+
+    def __init__(self, text: str = ""):
+        low = text.lower()
+        self.n, self.counts, self.first = len(text), Counter(text), text[:1]
+        self.dull, self.begin, self.end = any(p in low for p in PLACEHOLDERS), low[:self.EDGE], low[-self.EDGE:]
+
+    def add(self, other: Summary) -> None:
+        """Put the other text behind this one."""
+        across = self.end + other.begin
+        self.dull = self.dull or other.dull or any(p in across for p in PLACEHOLDERS)
+        self.n, self.first = self.n + other.n, self.first or other.first
+        self.counts.update(other.counts)
+        self.begin = (self.begin + other.begin)[:self.EDGE] if len(self.begin) < self.EDGE else self.begin
+        self.end = (self.end + other.end)[-self.EDGE:]
+
+    def score(self) -> float:
+        """How far a literal looks like a generated value and not like a word or a placeholder."""
+        open_ = self.first and self.first in "<[{$%" and "\n" not in self.counts
+        if self.n < 8 or self.dull or open_ or len(self.counts) < 4:
+            return 0.0
+        shares = [c / self.n for c in self.counts.values()]
+        entropy = -sum(x * math.log2(x) for x in shares if x)
+        every = "".join(self.counts)
+        classes = sum(bool(re.search(c, every)) for c in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9\s]"))
+        spaces = self.counts[" "] / self.n
+        return max(0.0, min(1.0, 0.25 * min(entropy, 4.0) + 0.1 * (classes - 1) - 2.0 * spaces - (0.4 if classes == 1 else 0.0)))
+
+
 def value_score(value: str) -> float:
-    """How far a literal looks like a generated value and not like a word or a placeholder."""
-    low = value.lower()
-    if len(value) < 8 or any(p in low for p in PLACEHOLDERS) or re.fullmatch(r"[<\[{$%].*", value) or len(set(value)) < 4:
-        return 0.0
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    classes = sum(bool(re.search(c, value)) for c in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9\s]"))
-    spaces = value.count(" ") / n
-    return max(0.0, min(1.0, 0.25 * min(entropy, 4.0) + 0.1 * (classes - 1) - 2.0 * spaces - (0.4 if classes == 1 else 0.0)))
+    return Summary(value).score()
 
 
 class Literal:
-    """The text of a value and the places in the document that it was put together from."""
-
-    def __init__(self, text: str, spans: tuple[tuple[int, int], ...]):
-        self.text, self.spans = text, spans
+    """A value: pieces of the document and earlier literals, in their order, and the places of its own.
 
+    Earlier literals are links, not copies, so what a name holds needs no limit.
+    """
 
-def _expression(text: str, at: int, known: dict[str, Literal]) -> tuple[Literal | None, int]:
+    def __init__(self):
+        self.parts: list[tuple[int, int] | Literal] = []
+        self.spans: list[tuple[int, int]] = []
+        self.points, self._summary = 0.0, None
+
+    def summary(self, text: str) -> Summary:
+        waiting = [self]
+        while waiting:
+            at = waiting[-1]
+            missing = [x for x in at.parts if isinstance(x, Literal) and x._summary is None] if at._summary is None else []
+            if missing:
+                waiting += missing
+                continue
+            if at._summary is None:
+                own = Summary()
+                for x in at.parts:
+                    own.add(x._summary if isinstance(x, Literal) else Summary(text[x[0]:x[1]]))
+                at._summary = own
+            waiting.pop()
+        return self._summary
+
+
+def _expression(text: str, at: int, known: dict[str, Literal]) -> Literal | None:
     """A sum of string literals and known names, from ``at`` on."""
-    parts, spans = [], []
-    string, bare, plus = re.compile(STRING), re.compile(BARE), re.compile(PLUS)
+    out = Literal()
+    triple, pem, string, bare, plus = map(re.compile, (TRIPLE, PEM, STRING, BARE, PLUS))
     while True:
-        m = string.match(text, at)
+        m = triple.match(text, at) or string.match(text, at) or pem.match(text, at)
         if m:
-            kind = m.lastgroup
-            value = m[kind]
-            parts.append(re.sub(INNER, lambda x: _text(known, x), value))
-            if value:
-                spans.append(m.span(kind))
-            spans += [s for x in re.finditer(INNER, value) for s in _spans(known, x)]
+            start, end = m.span(m.lastgroup)
+            if start < end:
+                out.spans.append((start, end))
+            done = start
+            for x in re.compile(INNER).finditer(text, start, end):
+                name = next(g for g in x.groups() if g)
+                if name in known:
+                    out.parts += [(done, x.start()), known[name]]
+                    done = x.end()
+            out.parts.append((done, end))
         else:
             m = bare.match(text, at)
             if not m:
@@ -108,47 +162,66 @@ def _expression(text: str, at: int, known: dict[str, Literal]) -> tuple[Literal
             value = m[0].rstrip(".:")
             name = value.removeprefix("$")
             if name in known:
-                parts.append(known[name].text)
-                spans += known[name].spans
-            elif not parts:
-                parts.append(value)
-                spans.append((m.start(), m.start() + len(value)))
+                out.parts.append(known[name])
+            elif not out.parts:
+                out.parts.append((m.start(), m.start() + len(value)))
+                out.spans.append((m.start(), m.start() + len(value)))
             else:
                 break
-        at = m.end()
-        more = plus.match(text, at)
-        if not more or len(parts) >= 64:
+        more = plus.match(text, m.end())
+        if not more:
             break
         at = more.end()
-    return (Literal("".join(parts), tuple(dict.fromkeys(spans))) if parts else None), at
-
-
-def _text(known: dict[str, Literal], m: re.Match) -> str:
-    name = next(g for g in m.groups() if g)
-    return known[name].text if name in known else m[0]
-
-
-def _spans(known: dict[str, Literal], m: re.Match) -> tuple[tuple[int, int], ...]:
-    name = next(g for g in m.groups() if g)
-    return known[name].spans if name in known else ()
+    return out if out.parts else None
+
+
+def _block(text: str, key: int, at: int) -> Literal | None:
+    """The block scalar whose head stands at ``at``: the lines indented deeper than the line of its key."""
+    head = re.compile(BLOCK).match(text, at)
+    if not head:
+        return None
+    line = text.rfind("\n", 0, key) + 1
+    depth = re.compile(r"[ \t]*+(?:-[ \t]++)*+").match(text, line).end() - line
+    out, at, row = Literal(), head.end(), re.compile(r"([ \t]*+)([^\n]*+)\n?")
+    while at < len(text):
+        m = row.match(text, at)
+        if m[2].strip():
+            if len(m[1]) <= depth:
+                break
+            out.parts.append((m.start(2), m.end()))
+            last = m.start(2) + len(m[2].rstrip())
+        at = m.end()
+    if out.parts:
+        out.parts[-1] = (out.parts[-1][0], last)
+        out.spans.append((out.parts[0][0], last))
+    return out if out.parts else None
 
 
 def literal_spans(text: str) -> list[tuple[str, int, int, float]]:
     """Literals that reach a target with a sensitive name, directly or over other names."""
     known: dict[str, Literal] = {}
-    found: dict[tuple[int, int], float] = {}
+    literals: list[Literal] = []
     for m in re.finditer(PAIR, text):
-        literal, _ = _expression(text, m.end(), known)
+        if m["sign"] is None:
+            continue
+        literal = (_block(text, m.start(), m.end()) if ":" in m["sign"] else None) or _expression(text, m.end(), known)
         if literal is None:
             continue
+        literals.append(literal)
         name = m["name"]
         short = re.split(r"[.\[]", name)[-1].strip("\"']")
-        known[name] = known[short] = Literal(literal.text[:4096], literal.spans[:64])
+        known[name] = known[short] = literal
         weight = max(name_score(name), name_score(short))
-        points = weight * value_score(literal.text) if weight else 0.0
-        if points >= LEAST_SCORE:
+        points = weight * literal.summary(text).score() if weight else 0.0
+        literal.points = round(points, 6) if points >= LEAST_SCORE else 0.0
+    found: dict[tuple[int, int], float] = {}
+    for literal in reversed(literals):  # links lead to earlier ones only
+        if literal.points:
             for span in literal.spans:
-                found[span] = max(found.get(span, 0.0), round(points, 6))
+                found[span] = max(found.get(span, 0.0), literal.points)
+            for x in literal.parts:
+                if isinstance(x, Literal):
+                    x.points = max(x.points, literal.points)
     return [("literal", s, e, p) for (s, e), p in found.items()]
 
 
@@ -169,7 +242,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id and the spans (kind, start, end in code points, score) of every document.
 
     Null and empty texts have no spans; repeated rows are each scanned; other columns are ignored.
-    Names and values that syntax may hold have length limits far beyond any in use; texts have none.
+    Neither texts nor names, values, sums and constants have limits. Triple-quoted strings, template
+    strings, block scalars and PEM keys may go over lines; other quotes end on their line.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
