@@ -165,6 +165,30 @@ def test_substrings(docs, none):
     assert substrings.dedup_substrings(none).count() == 0
 
 
+def test_common_substrings_are_dealt_by_their_windows(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    near = [bytes(rng.integers(97, 100, 90).astype(np.uint8)).decode() for _ in range(6)]
+    texts = [near[i % 6] + PASSAGE[:140] + near[(i * 5 + 1 + i // 6) % 6] + str(i) for i in range(60)] + [PASSAGE * 2, None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen, expected = set(), {}
+    for d, t in enumerate(texts):
+        raw = (t or "").encode()
+        gone = np.zeros(len(raw), bool)
+        for x in range(len(raw) - 99):
+            if raw[x:x + 100] in seen:
+                gone[x:x + 100] = True
+            seen.add(raw[x:x + 100])
+        expected[d] = bytes(b for b, o in zip(raw, gone) if not o)
+    most, dealt, plain = [], substrings.dealt_repeats, substrings.sorted_repeats
+    monkeypatch.setattr(substrings, "sorted_repeats", lambda rows: most.append(
+        rows.groupBy("side").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0) or plain(rows))
+    taken = []
+    monkeypatch.setattr(substrings, "dealt_repeats", lambda rows: taken.append(rows.count()) or dealt(rows))
+    for hot in (0, 100):
+        assert {r.doc_id: bytes(r.kept) for r in substrings.dedup_substrings(frame, hot).collect()} == expected
+        assert most.pop() <= hot and taken.pop() > 0
+
+
 def test_suffix_sort_is_a_sort():
     rng = np.random.default_rng(3)
     flat = rng.integers(97, 99, 600).astype(np.uint8)

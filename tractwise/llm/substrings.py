@@ -3,7 +3,7 @@
 Every such window is assigned to an anchor, the least hashed short string inside it, so equal windows
 have equal anchors at equal places. Anchors that occur once need no more work. Runs of windows
 around equal anchors with equal surroundings are repeats as a whole; where the surroundings differ, the
-windows are sorted as suffixes, compared by hash.
+windows are sorted as suffixes, compared by hash; around very common strings they are grouped by hash.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ GRAM = 32  # bytes of an anchor
 SPAN = LENGTH - GRAM + 1  # anchors that a window can choose from
 BASE = 0x9E3779B97F4A7C15
 CHUNK = 1 << 20  # windows of a long text that are looked at at a time
+HOT = 1 << 18  # windows around one 64-byte string that one task sorts; those of more are dealt by their own bytes
 LAST = 2 ** 63 - 1  # stands for a missing id, which comes last
 
 ANCHORS = "doc_id long, gram long, around long, start long, n long, repeat boolean"
@@ -299,7 +300,61 @@ def sorted_repeats(rows: DataFrame, batch_bytes: int = 4 << 20) -> DataFrame:
     return spread.mapInArrow(run, "doc_id long, start long, n long")
 
 
-def repeated(docs: DataFrame) -> DataFrame:
+def windows_of(rows: DataFrame, wanted=None) -> DataFrame:
+    """key, doc_id and start of every window under the contexts; its bytes too, of those whose key may be ``wanted``.
+
+    The key is a hash of the window, its place and its 64-byte string.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                side, doc, start, shift, n = (part.column(i).to_numpy().astype(np.int64) for i in range(5))
+                pieces = part.column(5).to_pylist()
+                flat = np.frombuffer(b"".join(pieces), np.uint8)
+                begins = np.concatenate([[0], np.cumsum([len(p) for p in pieces])[:-1]]).astype(np.int64)
+                owner = np.repeat(np.arange(len(doc)), n)
+                step = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+                places = begins[owner] + step
+                wide = doubled(flat)[1]
+                key = mix(wide[places]) + mix(wide[places + LENGTH - 64] + np.uint64(1)) * np.uint64(3)
+                key = mix(key + mix(side[owner].view(np.uint64) + np.uint64(2)) * np.uint64(5))
+                key = mix(key + (shift[owner] - step).astype(np.uint64) * np.uint64(BASE)).view(np.int64)
+                columns = [key, doc[owner], start[owner] + step]
+                if wanted is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "doc_id", "start"])
+                    continue
+                own = np.flatnonzero(passes(key, wanted.value))
+                data = np.ascontiguousarray(flat[places[own][:, None] + np.arange(LENGTH)])
+                ends = np.arange(len(own) + 1, dtype=np.int32) * np.int32(LENGTH)
+                held = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c[own]) for c in columns), held], names=["key", "doc_id", "start", "bytes"])
+
+    return rows.mapInArrow(run, "key long, doc_id long, start long" + (", bytes binary" if wanted else ""))
+
+
+def dealt_repeats(rows: DataFrame) -> DataFrame:
+    """The same as ``sorted_repeats``, window by window, for strings that have any number of windows.
+
+    The earliest window of each key is found by a partial aggregate; all others are compared with
+    its bytes, in a join that Spark can split.
+    """
+    place = F.col("doc_id").cast("decimal(19,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("start")
+    place = place.cast("decimal(38,0)").alias("place")
+    least = windows_of(rows).select("key", place).groupBy("key").agg(F.min("place").alias("least"), F.count("*").alias("c"))
+    least = settle(least.filter("c > 1").select("key", "least"))
+    same = windows_of(rows, fixed_filter(least, "key")).select("*", place).join(least, "key")
+    same = settle(same.select("key", "doc_id", "start", "bytes", (F.col("place") > F.col("least")).alias("later")))
+    first = settle(same.filter("NOT later").groupBy("key").agg(F.first("bytes").alias("first")))
+    fine = F.when(F.col("bytes") == F.col("first"), F.lit(True)).otherwise(
+        F.raise_error(F.lit("hashes of different strings are equal; choose another base")).cast("boolean"))
+    out = settle(same.filter("later").join(first, "key").filter(fine).select("doc_id", "start", F.lit(1).cast("long").alias("n")))
+    release(least, same, first)
+    return out
+
+
+def repeated(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, start and n: runs of n windows from start on that also start earlier.
 
     Documents come in the order of their ids; one without an id comes last; rows that repeat an id
@@ -320,24 +375,33 @@ def repeated(docs: DataFrame) -> DataFrame:
     copies = rows.join(classes.filter("c > 1"), ["gram", "around"]).filter("doc_id > first")
     heads = rows.join(classes, ["gram", "around"]).filter("doc_id = first").join(mixed, "gram", "left_semi")
     sides = settle(contexts(docs, settle(heads.select("doc_id", "start").distinct())))
-    alike = sides.groupBy("side").agg(F.count("*").alias("c")).filter("c > 1").select("side")
-    partial = sorted_repeats(sides.join(alike, "side", "left_semi").select(*[c.split()[0] for c in CONTEXTS.split(", ")]))
+    alike = settle(sides.groupBy("side").agg(F.count("*").alias("c"), F.sum("n").alias("windows")).filter("c > 1"))
+    fields = [c.split()[0] for c in CONTEXTS.split(", ")]
+    many, rest = alike.filter(F.col("windows") > hot).select("side"), sides
+    if not many.isEmpty():
+        # there is at most one such string for every ``hot`` windows
+        rest = sides.join(F.broadcast(many), "side", "left_anti")
+        dealt = dealt_repeats(sides.join(F.broadcast(many), "side", "left_semi").select(*fields))
+    else:
+        dealt = None
+    partial = sorted_repeats(rest.join(alike.select("side"), "side", "left_semi").select(*fields))
+    partial = partial if dealt is None else partial.unionByName(dealt)
     whole = table.filter("repeat").select("doc_id", "start", "n").unionByName(copies.select("doc_id", "start", "n"))
     out = settle(whole.unionByName(partial))
-    release(table, rows, classes, sides)
+    release(table, rows, classes, sides, alike, *([] if dealt is None else [dealt]))
     return out
 
 
 CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def dedup_substrings(docs: DataFrame) -> DataFrame:
+def dedup_substrings(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the bytes that stay, of every document.
 
     Null and empty texts have no bytes; texts of fewer than ``LENGTH`` bytes stay whole; other columns
     are ignored. What stays need not be valid UTF-8.
     """
-    runs = repeated(docs)
+    runs = repeated(docs, hot)
     bits = fixed_filter(runs.select(F.xxhash64("doc_id").alias("h")), "h")
     grouped = runs.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias("runs"))
 
