@@ -315,3 +315,15 @@ def test_rules_learn(spark, docs, none):
     assert rules.accepted(docs, model).columns == docs.columns and rules.accepted(none, model).count() == 0
     nothing = rules.fit_tables(rules.with_statistics(none, "stats", ["doc_id"]), labels.limit(0))
     assert nothing.intercept == 0.0 and not nothing.weights
+
+
+def test_rules_sample_copies_one_by_one(spark):
+    rows = [(i, [1.0] * 3 if i % 3 else [float(i)] * 3, 1.0) for i in range(3000)] + [(7, [2.0] * 3, 0.0)] * 3000
+    frame = spark.createDataFrame(rows, "doc_id long, stats array<double>, label double")
+    for part, total in ((frame.filter("label = 1"), 3000), (frame, 6000)):
+        assert rules.sampled(part, total, 10_000).count() == total
+        assert 0 < rules.sampled(part, total, 300).count() <= 300
+    taken = rules.sampled(frame.filter("label = 1"), 3000, 300).collect()
+    assert 230 < len(taken) and 0.5 < np.mean([r.stats[0] == 1.0 for r in taken]) < 0.8
+    again = rules.sampled(frame.filter("label = 1").repartition(7), 3000, 300).collect()
+    assert sorted(taken) == sorted(again)

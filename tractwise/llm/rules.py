@@ -164,19 +164,29 @@ def lasso_weights(x: np.ndarray, label: np.ndarray, penalty: float, rounds: int
     return intercept, weights
 
 
+def sampled(rows: DataFrame, total: int, sample: int) -> DataFrame:
+    """At most ``sample`` of the ``total`` rows, chosen by a hash of ``doc_id``, so that copies of a text count one by one.
+
+    The filter leaves little more than the sample, and the limit holds however often an id occurs.
+    """
+    if total <= sample:
+        return rows
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(total))
+    return rows.withColumn("place", place).filter(F.col("place") < sample).orderBy(
+        "place", "doc_id", "stats", "label").limit(sample).drop("place")
+
+
 def fit(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, lasso: float = LASSO, sample: int = SAMPLE) -> RuleModel:
-    """Learn from the rows of ``stats`` (array) and ``label`` (0 or 1; other rows are ignored).
+    """Learn from the rows of ``doc_id``, ``stats`` (array) and ``label`` (0 or 1; other rows are ignored).
 
     Trees over random rows and statistics give the rules, a logistic regression with a lasso penalty
-    their weights. Of more than ``sample`` labelled rows, about so many, chosen by hash, are learned
-    from, on the driver. Without rows the score is 0.5; with labels of one kind it is their share,
+    their weights. Of more than ``sample`` labelled rows, no more than so many, chosen by hash, are
+    learned from, on the driver. Without rows the score is 0.5; with labels of one kind it is their share,
     smoothed by one row of each kind.
     """
-    rows = settle(labelled.filter(F.col("label").isin(0, 1)).select("stats", F.col("label").cast("double").alias("label")))
-    total = rows.count()
-    if total > sample:
-        rows = rows.filter(F.pmod(F.xxhash64("stats"), F.lit(total)) < sample)
-    taken = rows.orderBy("stats", "label").collect()
+    rows = settle(labelled.filter(F.col("label").isin(0, 1)).select(
+        "doc_id", "stats", F.col("label").cast("double").alias("label")))
+    taken = sampled(rows, rows.count(), sample).orderBy("stats", "label").select("stats", "label").collect()
     label = np.array([r["label"] for r in taken])
     if len(set(label.tolist())) < 2:
         return RuleModel(math.log((label.sum() + 1) / ((1 - label).sum() + 1)))
@@ -202,7 +212,7 @@ def fit(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, lasso: floa
 def fit_tables(stats: DataFrame, labels: DataFrame) -> RuleModel:
     """Learn the quality label from rows of ``doc_id`` and ``stats`` outside the held-out fold."""
     known = labels.select(F.col("doc_id").alias("doc_id"), F.col("quality").alias("label")).filter(fold(F.col("doc_id")) != 0)
-    return fit(stats.join(known, "doc_id").select("label", "stats"))
+    return fit(stats.join(known, "doc_id").select("doc_id", "label", "stats"))
 
 
 def accepted(docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD) -> DataFrame:
