@@ -123,7 +123,7 @@ def read_fasta(spark, sf):
     mark = F.when(F.col("grp") == "Day0", "d0").otherwise("treated")
     file = F.concat(F.col("dataset"), F.lit("_"), mark, F.lit(".fasta"))
     path = sinks.write_fasta(fx.reads(spark, sf), scratch_path(spark, "fasta"), file)
-    return files.read_fasta(spark, path, nested=True)
+    return files.read_fasta(spark, path, nested=True).select("file", "grp", "read_id", "seq")
 
 
 @query
