@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,8 @@ from tractwise.session import release, settle
 WORDS = 4
 SIMILAR = (85, 100)
 BAND = 1.384  # the ratio of sizes within a band; over the square root of any step between partners
-SKETCH_BITS = 1024  # of the shortest parity sketch
+SKETCH_BITS = 1024  # of the shortest parity sketch; others have at least 3 for each shingle
+CODE_BITS = 512  # of the shortest code that a bucket's members are held against one another by; others have one for each shingle at least
 GROUP = 256  # members of a bucket that are held against one another at a time
 FILTER_BITS = 1 << 25  # of the fixed-size filters that only save shuffling
 CHUNK = 4 << 20
@@ -45,12 +47,12 @@ def _word_hashes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(starts):
         return starts, np.zeros(0, np.uint64)
     sizes = ends - starts
-    powers = np.ones(int(sizes.max()), dtype=np.uint64)
-    np.multiply.accumulate(np.full(len(powers) - 1, PRIME, np.uint64), out=powers[1:])
+    # A scrambled factor for each place: with powers of one number some long words would be told apart by nothing.
+    factors = mix(np.arange(1, int(sizes.max()) + 1, dtype=np.uint64) * np.uint64(PRIME))
     letters = text[inside].astype(np.uint64)
     begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     place = np.arange(len(letters)) - np.repeat(begins, sizes)
-    sums = np.add.reduceat(letters * powers[place], begins)
+    sums = np.add.reduceat(letters * factors[place], begins)
     return starts, mix(sums + sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -188,7 +190,7 @@ def parity_sketch(grams: np.ndarray) -> bytes:
     Larger sets have longer sketches; a longer one, its parts laid over one another, is the shorter one.
     """
     bits = SKETCH_BITS
-    while bits < 1.5 * len(grams) and bits < 64 * SKETCH_BITS:
+    while bits < 3 * len(grams):
         bits *= 2
     flips = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8)).tobytes()
@@ -203,20 +205,23 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def sketches(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """Set size, two fingerprints of the set, segment keys and parity sketch of every document."""
+def fingerprint(grams: np.ndarray) -> np.ndarray:
+    """128 bits of a sorted set, as two values: sets with equal ones are taken for equal."""
+    return np.frombuffer(blake2b(grams.tobytes(), digest_size=16).digest(), np.int64)
+
+
+def sketches(docs: DataFrame, words: int, keys_of: Callable[[list[np.ndarray]], list[np.ndarray]]) -> DataFrame:
+    """Set size, fingerprint of the set, bucket keys and parity sketch of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(similar)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 sets = shingle_sets(text_bytes(part.column(1)), words)
-                keys = [segment_keys(s, bands) for s in sets]
-                f = np.array([np.bitwise_xor.reduce(s) if len(s) else 0 for s in sets], np.uint64)
-                g = np.array([(mix(s) * np.uint64(PRIME)).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64)
+                keys = keys_of(sets)
+                prints = np.stack([fingerprint(s) for s in sets])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), signed(f), signed(g),
+                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]),
                      pa.array([len(k) for k in keys], pa.int64()),
                      pa.array([pack(k, KEY_BYTES) for k in keys], pa.binary()),
                      pa.array([parity_sketch(s) for s in sets], pa.binary())],
@@ -301,7 +306,7 @@ def members(table: DataFrame, shared: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """Shingle sets, 40 bits of each shingle's hash, of the documents with those ids (and a few more)."""
+    """Shingle sets, the sorted hashes as bytes, of the documents with those ids (and a few more)."""
     bits = fixed_filter(ids.select(F.xxhash64("doc_id").alias("h")), "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,7 +315,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             part = batch.filter(keep)
             sets = []
             for at in range(0, part.num_rows, 1024):
-                sets += [pack(s >> np.uint64(24), 5) for s in shingle_sets(text_bytes(part.column(1).slice(at, 1024)), words)]
+                sets += [s.tobytes() for s in shingle_sets(text_bytes(part.column(1).slice(at, 1024)), words)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["doc_id", "set"])
 
     plain = _plain(docs).filter("doc_id IS NOT NULL")
@@ -329,7 +334,7 @@ def verify(docs: DataFrame, pairs: DataFrame, words: int, similar: tuple[int, in
         for batch in batches:
             keep = []
             for a, b in zip(batch.column(2), batch.column(3)):
-                x, y = unpack(a.as_py(), 5), unpack(b.as_py(), 5)
+                x, y = (np.frombuffer(s.as_py(), np.uint64) for s in (a, b))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(den * both >= num * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -341,59 +346,105 @@ def verify(docs: DataFrame, pairs: DataFrame, words: int, similar: tuple[int, in
 
 
 def _close(pairs: DataFrame, table: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """Add to pairs whether the sets are equal; drop those whose sizes or sketches are too far apart."""
+    """Drop the pairs whose sizes or sketches are too far apart."""
     num, den = similar
-    left = table.select(F.col("doc_id").alias("a"), F.struct("n_shingles", "f", "g", "sketch").alias("x"))
-    right = table.select(F.col("doc_id").alias("b"), F.struct("n_shingles", "f", "g", "sketch").alias("y"))
+    left = table.select(F.col("doc_id").alias("a"), F.struct("n_shingles", "sketch").alias("x"))
+    right = table.select(F.col("doc_id").alias("b"), F.struct("n_shingles", "sketch").alias("y"))
     joined = pairs.join(left, "a").join(right, "b")
-    same = (F.col("x.n_shingles") == F.col("y.n_shingles")) & (F.col("x.f") == F.col("y.f")) & (F.col("x.g") == F.col("y.g"))
     total = F.col("x.n_shingles") + F.col("y.n_shingles")
     sized = den * F.least("x.n_shingles", "y.n_shingles") >= num * F.greatest("x.n_shingles", "y.n_shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y, n in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5))):
+            for x, y, n in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
                 size = min(len(x), len(y))
                 far = int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum(dtype=np.int64))
                 keep.append(far * (den + num) <= (den - num) * n)
-            yield batch.select([0, 1, 2]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return joined.filter(sized).select("a", "b", "x.sketch", F.col("y.sketch").alias("other"), total.alias("n")).mapInArrow(run, "a long, b long")
+
 
-    return joined.filter(sized).select("a", "b", same.alias("same"), "x.sketch", F.col("y.sketch").alias("other"),
-                                       total.alias("n")).mapInArrow(run, "a long, b long, same boolean")
+def short_codes(table: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and the sketch, folded to a bit or two for each shingle."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = []
+            for n, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                size = CODE_BITS // 8
+                while 8 * size < n:
+                    size *= 2
+                codes.append(folded(raw, size).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(codes, pa.binary())],
+                                             names=["doc_id", "n_shingles", "sketch"])
+
+    return table.select("doc_id", "n_shingles", "sketch").mapInArrow(run, "doc_id long, n_shingles long, sketch binary")
 
-def bucket_pairs(rows: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """Pairs of a bucket's members of different components whose sizes and sketches allow a link.
 
-    ``rows`` has key, n (members of the key), doc_id, component, n_shingles and sketch. A bucket
-    of more than ``GROUP`` members is cut into blocks, and each pair of blocks is one group, so no
-    group and no task grows with the bucket. Pairs that the sketches rule out never become rows.
+def mixed_buckets(placed: DataFrame) -> DataFrame:
+    """Those rows of key, doc_id and component whose key has several components; of keys with the same members, one.
+
+    Near copies share most of their keys, so their buckets are often the same ones over and over.
+    """
+    marks = [F.bit_xor(F.xxhash64("doc_id", F.lit(i))).alias(f"m{i}") for i in range(2)]
+    keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), *marks)
+    one = keys.filter("low < high").groupBy("n", "m0", "m1").agg(F.min("key").alias("key")).select("key")
+    return placed.join(one, "key", "left_semi").select("key", "doc_id", "component")
+
+
+def spread_blocks(rows: DataFrame) -> DataFrame:
+    """Deal every bucket's rows to groups (key, p, q) in which all that may meet do meet.
+
+    ``rows`` has key, doc_id, component, n_shingles and sketch. The rows of a bucket's largest
+    component have nothing to look for among one another; they are cut into blocks, the other rows into
+    blocks of their own, and each of these meets every block. So a large component with a few others
+    beside it costs a few copies of its rows.
+    """
+    parts = rows.groupBy("key", "component").agg(F.count("*").alias("c"))
+    tops = parts.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("top"), F.max("c").alias("most"), F.sum("c").alias("n"))
+    tops = tops.filter("most < n").select("key", "top", F.ceil(F.col("most") / GROUP).cast("long").alias("large"),
+                                          F.ceil((F.col("n") - F.col("most")) / GROUP).cast("long").alias("small"))
+    inside = F.col("component") == F.col("top")
+    hashed = F.xxhash64("doc_id", F.lit(3))
+    own = F.when(inside, F.col("small") + F.pmod(hashed, F.col("large"))).otherwise(F.pmod(hashed, F.col("small")))
+    others = F.sequence(F.lit(0).cast("long"), F.col("small") + F.when(inside, F.lit(0)).otherwise(F.col("large")) - 1)
+    dealt = rows.join(tops, "key").withColumn("own", own).withColumn("other", F.explode(others))
+    dealt = dealt.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own",
+                         "doc_id", "component", "n_shingles", "sketch")
+    return dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+
+
+def bucket_pairs(rows: DataFrame, similar: tuple[int, int], limit: int) -> DataFrame:
+    """a, b and cut: pairs of a bucket's rows of different components whose sizes and sketches allow a link.
+
+    Within a group a row looks for partners in components that have more rows there than its own, and
+    takes the ``limit`` nearest by sketch; ``cut`` says that it left others. No row is made for pairs
+    that the sketches rule out.
     """
     num, den = similar
-    blocks = F.ceil(F.col("n") / GROUP).cast("long")
-    own = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("blocks"))
-    spread = rows.withColumn("blocks", blocks).withColumn("own", own).withColumn(
-        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    spread = spread.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own",
-                           "doc_id", "component", "n_shingles", "sketch")
-    spread = spread.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-
-    def pairs_of(group: pa.Table) -> list[tuple[int, int]]:
+
+    def pairs_of(group: pa.Table) -> list[tuple[int, int, bool]]:
         p, q, own, doc, comp, n = (group.column(i).to_numpy() for i in range(1, 7))
+        names, at, sizes = np.unique(comp, return_inverse=True, return_counts=True)
+        if len(names) == 1:
+            return []
         raw = group.column(7).to_pylist()
         least = min(map(len, raw))
         sketch = np.stack([folded(r, least) for r in raw])
+        weight = np.argsort(np.lexsort((names, sizes)))[at]
         out = []
-        for i in range(len(doc) - 1):
-            far = np.bitwise_count(sketch[i + 1:] ^ sketch[i]).sum(axis=1, dtype=np.int64)
-            total = n[i + 1:] + n[i]
-            ok = (comp[i + 1:] != comp[i]) & (far * (den + num) <= (den - num) * total)
-            ok &= den * np.minimum(n[i + 1:], n[i]) >= num * np.maximum(n[i + 1:], n[i])
-            ok &= (own[i + 1:] != own[i]) | (p[0] == q[0])
-            for j in np.flatnonzero(ok).tolist():
-                a, b = int(doc[i]), int(doc[i + 1 + j])
-                out.append((min(a, b), max(a, b)))
+        for i in range(len(doc)):
+            ok = (weight > weight[i]) & (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i])) & ((own != own[i]) | (p[0] == q[0]))
+            found = np.flatnonzero(ok)
+            if not len(found):
+                continue
+            far = np.bitwise_count(sketch[found] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+            near = far * (den + num) <= (den - num) * (n[found] + n[i])
+            found, far = found[near], far[near]
+            for j in found[np.argsort(far, kind="stable")[:limit]].tolist():
+                out.append((min(int(doc[i]), int(doc[j])), max(int(doc[i]), int(doc[j])), len(found) > limit))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -408,53 +459,79 @@ def bucket_pairs(rows: DataFrame, similar: tuple[int, int]) -> DataFrame:
             table = pa.Table.from_batches(held)
             yield _pairs(table, [0, table.num_rows], pairs_of)
 
-    return spread.mapInArrow(run, "a long, b long").distinct()
+    return spread_blocks(rows).mapInArrow(run, "a long, b long, cut boolean").groupBy("a", "b").agg(F.max("cut").alias("cut"))
 
 
 def _pairs(table: pa.Table, cuts: list[int], pairs_of) -> pa.RecordBatch:
     """Pairs of all groups between the cuts."""
     found = [x for a, b in zip(cuts[:-1], cuts[1:]) if b - a > 1 for x in pairs_of(table.slice(a, b - a))]
-    a, b = zip(*found) if found else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    columns = zip(*found) if found else ((), (), ())
+    kinds = (pa.int64(), pa.int64(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["a", "b", "cut"])
 
 
 def link(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document.
+    """doc_id, n_shingles and component_id of every document, by the segments of parity sketches.
+
+    See ``linked`` for what it does with odd rows.
+    """
+
+    def keys_of(sets: list[np.ndarray]) -> list[np.ndarray]:
+        bands = Bands(similar)
+        return [segment_keys(s, bands) for s in sets]
+
+    return linked(docs, keys_of, words, similar)
+
+
+def linked(docs: DataFrame, keys_of: Callable[[list[np.ndarray]], list[np.ndarray]], words: int, similar: tuple[int, int]) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document; documents that share a bucket key are compared.
 
     Null and empty texts have no shingles and link with nothing; rows without an id are returned
     without a component; rows that repeat an id are one document, which all its texts' links reach.
-    Every bucket of a segment key first links its members to its smallest id; members that this
-    leaves in different components are then compared with one another, so no link between
-    components is lost and none within a component has to be looked for.
+    Documents with equal sets are one, the smallest id, before anything is joined. Every bucket first
+    links its members to its smallest id. Members that this leaves in different components are
+    compared with one another, nearest first, in rounds that let each take more partners than the
+    last, until none has left any: no link between components is lost, and few within them are looked for.
     """
-    table = settle(sketches(docs, words, similar))
+    table = settle(sketches(docs, words, keys_of))
     known = table.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    shared = settle(shared_keys(known))
-    held = settle(members(known, shared))
-    buckets = held.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    sets = settle(known.groupBy("n_shingles", "f", "g").agg(F.min("doc_id").alias("doc_id")))
+    first = settle(known.join(sets, ["doc_id", "n_shingles", "f", "g"], "left_semi").select("doc_id", "n_shingles", "n_keys", "keys", "sketch"))
+    copies = known.select("doc_id", "n_shingles", "f", "g").join(sets.withColumnRenamed("doc_id", "a"), ["n_shingles", "f", "g"]).filter(
+        "doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+
+    shared = settle(shared_keys(first))
+    held = settle(members(first, shared))
+    buckets = held.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     rows = settle(held.join(buckets.filter("first < last").drop("last"), "key"))
     release(shared, held)
     stars = rows.filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
-    near = settle(_close(stars, known, similar))
-    verified = verify(docs, near.filter("NOT same").select("a", "b"), words, similar)
-    parts = settle(components(near.filter("same").select("a", "b").unionByName(verified)))
-    release(near, verified)
-
-    placed = rows.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
-        "component", F.coalesce("component", "doc_id"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    open_ = placed.filter("doc_id <> first AND n > 2").join(mixed.select("key"), "key", "left_semi")
-    open_ = open_.join(known.select("doc_id", "n_shingles", "sketch"), "doc_id")
-    pairs = settle(bucket_pairs(open_, similar))
-    release(rows)
-    more = verify(docs, pairs, words, similar)
-    if more.limit(1).count():
-        star = parts.select(F.col("component").alias("a"), F.col("node").alias("b"))
-        wider = settle(components(star.unionByName(more)))
-        release(parts)
-        parts = wider
+    near = settle(_close(stars, first, similar))
+    verified = verify(docs, near, words, similar)
+    parts = settle(components(copies.unionByName(verified)))
+    release(sets, near, verified)
+
+    codes, tried, limit = settle(short_codes(first)), None, 4
+    while True:
+        # Each key's first has met all others already.
+        placed = rows.filter("doc_id <> first").select("key", "doc_id").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
+            "component", F.coalesce("component", "doc_id"))
+        pairs = bucket_pairs(mixed_buckets(placed).join(codes, "doc_id"), similar, limit)
+        pairs = settle(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        left = pairs.agg(F.max(F.col("cut").cast("int"))).first()[0]
+        if left is not None:
+            near = settle(_close(pairs.select("a", "b"), first, similar))
+            more = verify(docs, near, words, similar)
+            star = parts.select(F.col("component").alias("a"), F.col("node").alias("b"))
+            wider = settle(components(star.unionByName(more)))
+            release(parts, near, more)
+            parts = wider
+        if not left:
+            break
+        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
+        limit *= 8
     sizes = settle(table.select("doc_id", "n_shingles"))
-    release(table, pairs, more)
+    release(table, first, rows, codes, pairs)
     return sizes.join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
