@@ -366,6 +366,19 @@ def _close(pairs: DataFrame, table: DataFrame, similar: tuple[int, int]) -> Data
     return joined.filter(sized).select("a", "b", "x.sketch", F.col("y.sketch").alias("other"), total.alias("n")).mapInArrow(run, "a long, b long")
 
 
+def of_ids(table: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:
+    """Columns (doc_id first) of the rows with those ids, and of a few others, without a shuffle."""
+    bits = fixed_filter(ids.select(F.xxhash64("doc_id").alias("h")), "h")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = pa.array(passes(batch.column(batch.num_columns - 1).to_numpy(), bits.value))
+            yield batch.select(list(range(batch.num_columns - 1))).filter(keep)
+
+    plain = table.select(*columns)
+    return plain.withColumn("h", F.xxhash64("doc_id")).mapInArrow(run, plain.schema)
+
+
 def short_codes(table: DataFrame) -> DataFrame:
     """doc_id, n_shingles and the sketch, folded to a bit or two for each shingle."""
 
@@ -417,7 +430,7 @@ def spread_blocks(rows: DataFrame) -> DataFrame:
 
 
 def bucket_pairs(rows: DataFrame, similar: tuple[int, int], limit: int) -> DataFrame:
-    """a, b and cut: pairs of a bucket's rows of different components whose sizes and sketches allow a link.
+    """key, a, b and cut: pairs of a bucket's rows of different components whose sizes and sketches allow a link.
 
     Within a group a row looks for partners in components that have more rows there than its own, and
     takes the ``limit`` nearest by sketch; ``cut`` says that it left others. No row is made for pairs
@@ -425,8 +438,8 @@ def bucket_pairs(rows: DataFrame, similar: tuple[int, int], limit: int) -> DataF
     """
     num, den = similar
 
-    def pairs_of(group: pa.Table) -> list[tuple[int, int, bool]]:
-        p, q, own, doc, comp, n = (group.column(i).to_numpy() for i in range(1, 7))
+    def pairs_of(group: pa.Table) -> list[tuple[int, int, int, bool]]:
+        key, p, q, own, doc, comp, n = (group.column(i).to_numpy() for i in range(7))
         names, at, sizes = np.unique(comp, return_inverse=True, return_counts=True)
         if len(names) == 1:
             return []
@@ -444,7 +457,7 @@ def bucket_pairs(rows: DataFrame, similar: tuple[int, int], limit: int) -> DataF
             near = far * (den + num) <= (den - num) * (n[found] + n[i])
             found, far = found[near], far[near]
             for j in found[np.argsort(far, kind="stable")[:limit]].tolist():
-                out.append((min(int(doc[i]), int(doc[j])), max(int(doc[i]), int(doc[j])), len(found) > limit))
+                out.append((int(key[0]), min(int(doc[i]), int(doc[j])), max(int(doc[i]), int(doc[j])), len(found) > limit))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -459,15 +472,15 @@ def bucket_pairs(rows: DataFrame, similar: tuple[int, int], limit: int) -> DataF
             table = pa.Table.from_batches(held)
             yield _pairs(table, [0, table.num_rows], pairs_of)
 
-    return spread_blocks(rows).mapInArrow(run, "a long, b long, cut boolean").groupBy("a", "b").agg(F.max("cut").alias("cut"))
+    return spread_blocks(rows).mapInArrow(run, "key long, a long, b long, cut boolean")
 
 
 def _pairs(table: pa.Table, cuts: list[int], pairs_of) -> pa.RecordBatch:
     """Pairs of all groups between the cuts."""
     found = [x for a, b in zip(cuts[:-1], cuts[1:]) if b - a > 1 for x in pairs_of(table.slice(a, b - a))]
-    columns = zip(*found) if found else ((), (), ())
-    kinds = (pa.int64(), pa.int64(), pa.bool_())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["a", "b", "cut"])
+    columns = zip(*found) if found else ((), (), (), ())
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["key", "a", "b", "cut"])
 
 
 def link(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] = SIMILAR) -> DataFrame:
@@ -496,7 +509,7 @@ def linked(docs: DataFrame, keys_of: Callable[[list[np.ndarray]], list[np.ndarra
     table = settle(sketches(docs, words, keys_of))
     known = table.filter("doc_id IS NOT NULL AND n_shingles > 0")
     sets = settle(known.groupBy("n_shingles", "f", "g").agg(F.min("doc_id").alias("doc_id")))
-    first = settle(known.join(sets, ["doc_id", "n_shingles", "f", "g"], "left_semi").select("doc_id", "n_shingles", "n_keys", "keys", "sketch"))
+    first = of_ids(known, sets, ["doc_id", "n_shingles", "n_keys", "keys", "sketch"])
     copies = known.select("doc_id", "n_shingles", "f", "g").join(sets.withColumnRenamed("doc_id", "a"), ["n_shingles", "f", "g"]).filter(
         "doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
 
@@ -512,26 +525,30 @@ def linked(docs: DataFrame, keys_of: Callable[[list[np.ndarray]], list[np.ndarra
     release(sets, near, verified)
 
     codes, tried, limit = settle(short_codes(first)), None, 4
+    open_ = rows.filter("doc_id <> first").select("key", "doc_id")  # each key's first has met all others already
     while True:
-        # Each key's first has met all others already.
-        placed = rows.filter("doc_id <> first").select("key", "doc_id").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
+        placed = open_.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
             "component", F.coalesce("component", "doc_id"))
-        pairs = bucket_pairs(mixed_buckets(placed).join(codes, "doc_id"), similar, limit)
+        found = settle(bucket_pairs(mixed_buckets(placed).join(codes, "doc_id"), similar, limit))
+        pairs = found.select("a", "b").distinct()
         pairs = settle(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        left = pairs.agg(F.max(F.col("cut").cast("int"))).first()[0]
-        if left is not None:
-            near = settle(_close(pairs.select("a", "b"), first, similar))
+        if found.limit(1).count():
+            near = settle(_close(pairs, first, similar))
             more = verify(docs, near, words, similar)
             star = parts.select(F.col("component").alias("a"), F.col("node").alias("b"))
             wider = settle(components(star.unionByName(more)))
             release(parts, near, more)
             parts = wider
-        if not left:
+        more_keys = found.filter("cut").select("key").distinct()
+        if not more_keys.limit(1).count():
             break
-        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        wider = settle(open_.join(more_keys, "key", "left_semi"))
+        release(open_, found)
+        open_ = wider
         limit *= 8
     sizes = settle(table.select("doc_id", "n_shingles"))
-    release(table, first, rows, codes, pairs)
+    release(table, rows, codes, open_, found, pairs)
     return sizes.join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
