@@ -24,8 +24,8 @@ SHARE = (50, 100)  # of a candidate's occurrences inside a longer one, from whic
 TOP = 2000
 MILLION = 1_000_000
 CHUNK = 4 << 20  # bytes of text counted at a time
-HELD = 3 << 20  # distinct triples a task gathers before it sends them
-WORD_BITS = 21  # of a word's number in a task; CHUNK bytes and HELD triples have fewer words
+HELD = 4 << 20  # triples a task gathers before it counts and sends them
+WORD_BITS = 21  # of a word's number; a chunk has fewer than 2^20 words, and no more chunks follow once there are as many
 SALTS = 64
 #: Lower case, tabs to spaces, and what ends a piece to a line feed.
 PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"\n" * 9)
@@ -48,14 +48,15 @@ class TripleCounts:
         self.words: defaultdict[bytes, int] = defaultdict()
         self.words.default_factory = self.words.__len__
         self.words[b""], self.words[b"\n"]
-        self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys: list[np.ndarray] = []
+        self.held = 0
 
     def add(self, part: bytes) -> None:
         self.parts.append(part)
         self.size += len(part)
 
     def count(self) -> None:
-        """Take the triples of the gathered parts into the counts."""
+        """Turn the gathered parts into triples of word numbers."""
         data = b"".join(self.parts).translate(PLAIN).replace(b"\n", b" \n ").split(b" ")
         self.parts, self.size = [], 0
         found = [*self.carry, *filter(None, data)]
@@ -65,30 +66,30 @@ class TripleCounts:
         a, b, c = ids[:-2], ids[1:-1], ids[2:]
         b = np.where(b == 1, 0, b)
         c = np.where((b == 0) | (c == 1), 0, c)
-        new = ((a << 2 * WORD_BITS) | (b << WORD_BITS) | c)[a != 1]
-        keys = np.concatenate([self.keys, new])
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], np.concatenate([self.counts, np.ones(len(new), np.int64)])[order]
-        first = np.flatnonzero(np.diff(keys, prepend=-1))
-        self.keys, self.counts = keys[first], np.add.reduceat(counts, first) if len(first) else counts
+        self.keys.append(((a << 2 * WORD_BITS) | (b << WORD_BITS) | c)[a != 1])
+        self.held += len(self.keys[-1])
 
     def rows(self, lang: str) -> Iterator[pa.RecordBatch]:
-        """The counted triples in the order of their words; then start anew."""
+        """The triples in the order of their words, with their counts; then start anew."""
         words = pa.array(list(self.words), pa.binary()).cast(pa.string())
         order = pc.sort_indices(words).to_numpy().astype(np.int64)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        low = (1 << WORD_BITS) - 1
-        a, b, c = (rank[(self.keys >> shift) & low] for shift in (2 * WORD_BITS, WORD_BITS, 0))
-        sorted_ = np.lexsort((c, b, a))
-        a, b, c, counts = a[sorted_], b[sorted_], c[sorted_], self.counts[sorted_]
         words = words.take(pa.array(order))
+        low = (1 << WORD_BITS) - 1
+        keys = np.concatenate([np.zeros(0, np.int64), *self.keys])
         self.reset()
-        for at in range(0, len(a), 1 << 16):
-            own = slice(at, at + (1 << 16))
-            gram = pc.binary_join_element_wise(*(words.take(pa.array(x[own])) for x in (a, b, c)), " ")
+        keys = (rank[keys >> 2 * WORD_BITS] << 2 * WORD_BITS) | (rank[(keys >> WORD_BITS) & low] << WORD_BITS) | rank[keys & low]
+        keys.sort()
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        counts = np.diff(first, append=len(keys))
+        keys = keys[first]
+        for at in range(0, len(keys), 1 << 16):
+            own = keys[at:at + (1 << 16)]
+            parts = (own >> 2 * WORD_BITS, (own >> WORD_BITS) & low, own & low)
+            gram = pc.binary_join_element_wise(*(words.take(pa.array(x)) for x in parts), " ")
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(gram), pa.string()), gram, pa.array(counts[own])], names=["lang", "gram", "c"])
+                [pa.array([lang] * len(gram), pa.string()), gram, pa.array(counts[at:at + (1 << 16)])], names=["lang", "gram", "c"])
 
 
 def _slices(text: bytes) -> Iterator[bytes]:
@@ -116,7 +117,7 @@ def triples(docs: DataFrame) -> DataFrame:
         def send() -> Iterator[pa.RecordBatch]:
             for lang, counts in held.items():
                 counts.count()
-                if len(counts.words) > 1 << (WORD_BITS - 1) or sum(len(x.keys) for x in held.values()) > HELD:
+                if len(counts.words) > 1 << (WORD_BITS - 1) or sum(x.held for x in held.values()) > HELD:
                     yield from counts.rows(lang)
 
         for batch in batches:
