@@ -231,3 +231,45 @@ def test_every_number_of_clusters_is_reported(spark):
         [(i, [float(i), float(i * i % 11)]) for i in range(40)], "id long, z array<double>"),
         [3], families=("VVI",), n_start=1, max_iter=1)
     assert [m.status for m in cut] == ["not converged"]
+
+
+def drawn(merges, n):
+    """Leaf order by recursion over the merge table."""
+    tree = {i: (0.0, 1, i, [i]) for i in range(1, n + 1)}
+    for r in merges:
+        one, two = sorted((tree[r["a"]], tree.pop(r["b"])), key=lambda t: t[:3])
+        tree[r["into"]] = (r["height"], r["size"], r["into"], one[3] + two[3])
+    return tree[1][3]
+
+
+@pytest.mark.parametrize("kind", ["random", "chain", "ties"])
+def test_leaf_order_equals_the_recursive_one(spark, kind):
+    rng = np.random.default_rng(5)
+    x = {"random": rng.normal(size=(37, 3)), "chain": np.array([[1.7 ** i] for i in range(20)]),
+         "ties": np.array([[float(i % 4), float(i // 4)] for i in range(16)])}[kind]
+    points = vectors(spark, x)
+    merges = hi.ward_merges(points, "vec")
+    rows = sorted(merges.collect(), key=lambda r: (r["height"], r["size"]))
+    first = min(r["id"] for r in points.collect())
+    shifted = [{**r.asDict(), **{c: r[c] - first + 1 for c in ("a", "b", "into")}} for r in rows]
+    found = sorted(hi.leaf_order(merges, points).collect(), key=lambda r: r["rank"])
+    assert [r["rank"] for r in found] == list(range(1, len(x) + 1))
+    assert [r["id"] - first + 1 for r in found] == drawn(shifted, len(x))
+
+
+def test_rounds_keep_partners_and_give_the_same_tree(spark):
+    x = np.random.default_rng(8).normal(size=(60, 4))
+    rounds = []
+    ours = hi.ward_merges(vectors(spark, x), "vec", 1, 16, rounds).collect()
+    local = hi.ward_merges(vectors(spark, x), "vec").collect()
+    key = lambda r: (r["a"], r["b"], r["size"], round(r["height"], 9))
+    assert sorted(map(key, ours)) == sorted(map(key, local))
+    assert rounds[0][1:] == (60, 3600) and sum(done for *_, done in rounds[1:]) < 0.8 * sum(n * n for _, n, _ in rounds[1:])
+
+
+def test_complete_linkage_order():
+    from tractwise.plans.tree import complete_linkage_order
+
+    x = np.array([0.0, 10.0, 1.0, 11.5, 4.0])  # (1, 3) at 1.5 is lower than ((0, 2), 4) at 4; in that, the point comes first
+    assert complete_linkage_order(np.abs(x[:, None] - x)) == [1, 3, 4, 0, 2]
+    assert complete_linkage_order(np.zeros((1, 1))) == [0] and complete_linkage_order(np.zeros((0, 0))) == []

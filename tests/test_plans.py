@@ -42,3 +42,31 @@ def test_fasta_to_index(spark, tmp_path):
     row = instability(hist).first()
     assert (row["sample"], row["grp"], row["mode"]) == ("s1_d0", "Day0", 20.0)
     assert row["instability_index"] == pytest.approx((4 - 2) / 16)
+
+
+def test_a_batch_counts_only_when_whole(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tractwise.sources import sinks
+
+    path = str(tmp_path / "out")
+    one = spark.createDataFrame([("a, \"b\"", 1.5, None), ("line\ntwo", None, 3)], "name string, x double, n long")
+    sinks.write_batch({"metrics.csv": one, "none.csv": one.limit(0)}, path)
+    broken = one.withColumn("x", F.raise_error(F.lit("lost")).cast("double"))
+    with pytest.raises(Exception):
+        sinks.write_batch({"metrics.csv": one.limit(1), "segments.csv": broken}, path)
+    found = sinks.read_batch(spark, path)
+    assert set(found) == {"metrics.csv", "none.csv"} and found["none.csv"].count() == 0
+    assert found["metrics.csv"].schema == one.schema
+    assert {r["name"]: (r["x"], r["n"]) for r in found["metrics.csv"].collect()} == {'a, "b"': (1.5, None), "line\ntwo": (None, 3)}
+
+
+def test_no_valid_file_fails_in_the_plan(spark):
+    from tractwise.operators import delta
+
+    rows = [("d", g, f"{g}_{r}", float(x), reads, x) for g in ("Day0", "treated") for r in range(2) for x, reads in ((1, 4.0), (2, 4.0))]
+    junk = spark.createDataFrame(rows, "dataset string, grp string, sample string, repeat_length double, reads double, pos int")
+    with pytest.raises(Exception, match="No valid files"):
+        delta.delta_table(junk, strict=True).collect()
+    good = junk.withColumn("reads", junk.reads + junk.repeat_length)
+    assert delta.delta_table(good, strict=True).collect() == delta.delta_table(good).collect() != []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from tractwise.operators import (bins, centers, clusters, delta, evaluate, featu
 from tractwise.params import BIN_TAU, FEATURES, NEUTRAL_TAU, SEGMENT_TAU
 from tractwise.plans.curves import curve_batch
 from tractwise.plans.profiles import profile_batch
+from tractwise.plans.tree import heatmap_matrix as tree_heatmap
 from tractwise.plans.tree import tree_batch
 from tractwise.session import scratch_path, settle
 from tractwise.sources import files, sinks
@@ -579,6 +581,64 @@ def hca_result_table(spark, sf):
     return tree_batch(_named_series(spark, sf)).results
 
 
+def _robust_points(spark, sf):
+    """Standardised robust features of all datasets, numbered."""
+    rows = settle(_robust(spark, sf))
+    stats = split.column_stats(split.members(rows, split.stratified_split(rows), "train"), ROBUST)
+    z = split.standardise(rows, stats, ROBUST)
+    return settle(hierarchy.number_ids(z.select("dataset", F.array(*ROBUST).alias("vec")), "dataset"))
+
+
+@query
+def hca_merges_by_rounds(spark, sf):
+    """The tree of all datasets, every merge of it made by the distributed rounds."""
+    merges = hierarchy.ward_merges(_robust_points(spark, sf), "vec", local_limit=1)
+    return merges.select("a", "b", "into", r6("height"), "size")
+
+
+@query
+def hca_rounds(spark, sf):
+    """Clusters and comparisons of every round of that tree."""
+    rounds: list[tuple[int, int, int]] = []
+    hierarchy.ward_merges(_robust_points(spark, sf), "vec", local_limit=1, rounds=rounds)
+    return spark.createDataFrame(rounds, "round int, clusters long, compared long")
+
+
+@query
+def hca_leaf_order(spark, sf):
+    """Where every dataset stands in the drawing of that tree."""
+    points = _robust_points(spark, sf)
+    return points.select("id", "dataset").join(hierarchy.leaf_order(hierarchy.ward_merges(points), points), "id")
+
+
+@query
+def heatmap_matrix(spark, sf):
+    batch = tree_batch(_named_series(spark, sf))
+    return tree_heatmap(batch.z_all, FEATURES).select(
+        "dataset", "split_label", "feature", r6("z"), F.col("row_rank"), F.col("col_rank"))
+
+
+def _saved(spark, tables, name):
+    path = sinks.write_batch(tables, scratch_path(spark, name))
+    parts = [t.select(F.lit(n).alias("file"), F.to_json(F.struct("*")).alias("line")) for n, t in sinks.read_batch(spark, path).items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def curve_outputs(spark, sf):
+    return _saved(spark, curve_batch(fx.series(spark, sf)).outputs(), "curves")
+
+
+@query
+def profile_outputs(spark, sf):
+    return _saved(spark, _trained(spark, sf, "kmeans").outputs(), "profiles")
+
+
+@query
+def tree_outputs(spark, sf):
+    return _saved(spark, tree_batch(_named_series(spark, sf)).outputs(), "tree")
+
+
 # --- evaluation -----------------------------------------------------------------------------
 
 @query

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tractwise.operators.histograms import normalise
+from tractwise.operators.histograms import guarded, normalise
 from tractwise.operators.reads import SAMPLE
 from tractwise.params import BIN_SIZE, DAY0, FULL_VIEW, TREATED
 
@@ -59,9 +59,11 @@ def aligned_groups(norm: DataFrame) -> DataFrame:
     )
 
 
-def delta_table(hist: DataFrame, method: str = "minmax") -> DataFrame:
-    return aligned_groups(normalise(hist, method)).select(
-        "dataset", "x", "day0_avg", "treated_avg", "delta")
+def delta_table(hist: DataFrame, method: str = "minmax", strict: bool = False) -> DataFrame:
+    """Group means and their difference per length; ``strict`` makes the plan fail on input without a valid file."""
+    norm = normalise(hist, method)
+    rows = aligned_groups(norm).select("dataset", "x", "day0_avg", "treated_avg", "delta")
+    return guarded(rows, norm) if strict else rows
 
 
 def replicate_error(groups: DataFrame, mode: str = "sd", compat: bool = True) -> DataFrame:

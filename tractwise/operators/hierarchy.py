@@ -11,11 +11,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tractwise.functions.ranks import hash_rank
-from tractwise.session import settle
+from tractwise.session import release, settle
 
 TILE = 256
 
@@ -27,13 +27,14 @@ def _block_size(n: int) -> int:
 
 def _block_pairs(points: DataFrame, columns: list[str], n: int, block: int | None,
                  compare: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
-                 schema: str) -> DataFrame:
-    """Run ``compare`` on every ordered pair of hash blocks."""
+                 schema: str, some: DataFrame | None = None) -> DataFrame:
+    """Run ``compare`` on every ordered pair of hash blocks; the first ones only hold ``some`` of the points, if given."""
     blocks = max(1, -(-n // (block or _block_size(n))))
     home = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     base = points.select(*columns, home.alias("_home"))
-    left = base.withColumn("_a", F.col("_home")).withColumn("_b", every)
+    part = base if some is None else some.select(*columns, home.alias("_home"))
+    left = part.withColumn("_a", F.col("_home")).withColumn("_b", every)
     right = base.withColumn("_b", F.col("_home")).withColumn("_a", every)
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -111,28 +112,30 @@ def _ward_costs(ca, na, cb, nb) -> np.ndarray:
 
 
 def _nearest_in_block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-    """Best partner of every cluster of block a inside block b; ties go to the lower id."""
+    """Best partner of every cluster of block a inside block b, and the other way round; ties go to the lower id."""
     if a.empty or b.empty:
         return pd.DataFrame({"id": [], "partner": [], "cost": []})
-    b = b.sort_values("id")
+    a, b = a.sort_values("id"), b.sort_values("id")
     ida, idb = a["id"].to_numpy(), b["id"].to_numpy()
     left, right = _matrix(a["vec"]), _matrix(b["vec"])
     na, nb = a["size"].to_numpy(float), b["size"].to_numpy(float)
-    best = np.full(len(a), np.inf)
-    who = np.full(len(a), -1, dtype=np.int64)
+    best = [np.full(len(ids), np.inf) for ids in (ida, idb)]
+    who = [np.full(len(ids), -1, dtype=np.int64) for ids in (ida, idb)]
     for i in range(0, len(a), TILE):
         rows = slice(i, i + TILE)
         for j in range(0, len(b), TILE):
             cols = slice(j, j + TILE)
             cost = _ward_costs(left[rows], na[rows], right[cols], nb[cols])
             cost[ida[rows, None] == idb[None, cols]] = np.inf
-            at = cost.argmin(1)
-            value = cost[np.arange(len(at)), at]
-            better = value < best[rows]
-            best[rows] = np.where(better, value, best[rows])
-            who[rows] = np.where(better, idb[cols][at], who[rows])
-    found = who >= 0
-    return pd.DataFrame({"id": ida[found], "partner": who[found], "cost": best[found]})
+            for side, (own, table, others) in enumerate(((rows, cost, idb[cols]), (cols, cost.T, ida[rows]))):
+                at = table.argmin(1)
+                value = table[np.arange(len(at)), at]
+                better = value < best[side][own]
+                best[side][own] = np.where(better, value, best[side][own])
+                who[side][own] = np.where(better, others[at], who[side][own])
+    ids, partner, cost = np.concatenate([ida, idb]), np.concatenate(who), np.concatenate(best)
+    found = partner >= 0
+    return pd.DataFrame({"id": ids[found], "partner": partner[found], "cost": cost[found]})
 
 
 MERGES = "a bigint, b bigint, into bigint, height double, size bigint"
@@ -169,24 +172,32 @@ def _finish_local(clusters: pd.DataFrame) -> pd.DataFrame:
 
 
 def ward_merges(points: DataFrame, vec: str = "vec", local_limit: int = 2000,
-                block: int | None = None) -> DataFrame:
+                block: int | None = None, rounds: list[tuple[int, int, int]] | None = None) -> DataFrame:
     """Merge table (a, b, into, height, size) of the points, whose ``id`` is a whole number.
 
     A merged cluster keeps the lower id. Each round finds every cluster's nearest partner and
     merges all pairs that choose each other. Ward's cost never lets a merge create a closer
-    neighbour, so this yields the same tree as merging the closest pair again and again. Rounds
-    end when at most ``local_limit`` clusters remain; those fit one small task.
+    neighbour, so this yields the same tree as merging the closest pair again and again, and a
+    cluster keeps the partner it found until one of the two is merged: a round compares only
+    new clusters and those that lost their partner with the others. Rounds end when at most
+    ``local_limit`` clusters remain; those fit one small task. ``rounds`` is given a row for each:
+    its number, the clusters there were, and the comparisons made.
     """
     state = settle(points.select(F.col("id").cast("bigint").alias("id"), F.col(vec).alias("vec"),
                                  F.lit(1).cast("bigint").alias("size")))
     spark = points.sparkSession
     done = spark.createDataFrame([], MERGES)
     n = state.count()
+    kept, lost, at = None, None, 0
     while n > max(local_limit, 1):
+        at += 1
         near = _block_pairs(state, ["id", "vec", "size"], n, block, _nearest_in_block,
-                            "id bigint, partner bigint, cost double")
-        choice = near.groupBy("id").agg(F.min(F.struct("cost", "partner")).alias("_c")).select(
-            "id", F.col("_c.partner").alias("partner"), F.col("_c.cost").alias("cost"))
+                            "id bigint, partner bigint, cost double", lost)
+        if rounds is not None:
+            rounds.append((at, n, (n if lost is None else lost.count()) * n))
+        pool = near if kept is None else near.unionByName(kept)
+        choice = settle(pool.groupBy("id").agg(F.min(F.struct("cost", "partner")).alias("_c")).select(
+            "id", F.col("_c.partner").alias("partner"), F.col("_c.cost").alias("cost")))
         mutual = choice.groupBy(F.least("id", "partner").alias("a"),
                                 F.greatest("id", "partner").alias("b")).agg(
             F.count("*").alias("_votes"), F.max("cost").alias("height")).filter("_votes = 2")
@@ -208,6 +219,10 @@ def ward_merges(points: DataFrame, vec: str = "vec", local_limit: int = 2000,
         merged = pairs.join(state.select(F.col("id").alias("a"), "size"), "a").select(
             "a", "b", F.col("a").alias("into"), "height", "size")
         done = done.unionByName(merged)
+        moved_ids = target.select("id")
+        kept = settle(choice.join(moved_ids, "id", "left_anti").join(
+            moved_ids.withColumnRenamed("id", "partner"), "partner", "left_anti").select("id", "partner", "cost"))
+        lost = settle(state.join(kept.select("id"), "id", "left_anti"))
         n = state.count()
     rest = state.groupBy().applyInPandas(_finish_local, MERGES) if n > 1 else spark.createDataFrame(
         [], MERGES)
@@ -237,6 +252,43 @@ def ward_cut(points: DataFrame, merges: DataFrame, k: int = 2) -> DataFrame:
     return state.select("id", number.cast("int").alias("cluster"))
 
 
+def leaf_order(merges: DataFrame, points: DataFrame) -> DataFrame:
+    """``id`` and ``rank``, from 1, of every point in the order in which a dendrogram shows the tree.
+
+    At every merge the lower branch, that of the smaller height, is on the left; points are
+    lowest, two of them go by id, branches of equal height by size and id. A branch is known by its lowest id and its
+    size. Its first place is the sum of the left branches passed on the way from the root, found
+    by pointer doubling up the merge table, so rounds are logarithmic in the depth of the tree.
+    """
+    before = F.lag("size").over(Window.partitionBy("into").orderBy("size"))
+    joined = merges.withColumn("size_a", F.coalesce(before, F.lit(1).cast("bigint"))).withColumn(
+        "size_b", F.col("size") - F.col("size_a"))
+    base = points.select(F.col("id").cast("bigint").alias("id"), F.lit(1).cast("bigint").alias("size"), F.lit(0.0).alias("height"))
+    branches = settle(base.unionByName(merges.select(F.col("into").alias("id"), "size", "height")))
+
+    def side(tag: str) -> DataFrame:
+        return branches.select(F.col("id").alias(tag), F.col("size").alias(f"size_{tag}"), F.col("height").alias(f"height_{tag}"))
+
+    forks = joined.join(side("a"), ["a", "size_a"]).join(side("b"), ["b", "size_b"])
+    first = F.struct(*[F.col(f"{c}a") for c in ("height_", "size_", "")]) < F.struct(*[F.col(f"{c}b") for c in ("height_", "size_", "")])
+    none = F.lit(0).cast("bigint")
+    steps = forks.select(F.explode(F.array(
+        F.struct(F.col("a").alias("id"), F.col("size_a").alias("size"), F.when(first, none).otherwise(F.col("size_b")).alias("shift"),
+                 F.col("into").alias("up"), F.col("size").alias("up_size")),
+        F.struct(F.col("b").alias("id"), F.col("size_b").alias("size"), F.when(first, F.col("size_a")).otherwise(none).alias("shift"),
+                 F.col("into").alias("up"), F.col("size").alias("up_size")))).alias("s")).select("s.*")
+    state = settle(branches.select("id", "size").join(steps, ["id", "size"], "left").withColumn("shift", F.coalesce("shift", none)))
+    while not state.filter("up IS NOT NULL").isEmpty():
+        above = state.select(F.col("id").alias("up"), F.col("size").alias("up_size"), F.col("shift").alias("_shift"),
+                             F.col("up").alias("_up"), F.col("up_size").alias("_up_size"))
+        wider = state.join(above, ["up", "up_size"], "left").select(
+            "id", "size", (F.col("shift") + F.coalesce("_shift", none)).alias("shift"), F.col("_up").alias("up"), F.col("_up_size").alias("up_size"))
+        new = settle(wider)
+        release(state)
+        state = new
+    return state.filter("size = 1").select("id", (F.col("shift") + 1).alias("rank"))
+
+
 def number_ids(df: DataFrame, id_col: str) -> DataFrame:
     """Add a dense whole-number ``id`` in a fixed order, without sorting in one task."""
     return hash_rank(df, [], id_col, "id")

@@ -61,6 +61,14 @@ def require_valid(hist: DataFrame) -> DataFrame:
     return kept
 
 
+def guarded(rows: DataFrame, norm: DataFrame, where: str = "the input") -> DataFrame:
+    """The rows; their plan fails when ``norm`` has no sample, that is, when no file was valid."""
+    message = f"No valid files found in {where} (check delimiter/format)."
+    found = norm.agg(F.count("*").alias("_n")).filter(
+        F.when(F.col("_n") > 0, F.lit(False)).otherwise(F.raise_error(F.lit(message)).cast("boolean")))
+    return rows.unionByName(found.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema]))
+
+
 def normalise(hist: DataFrame, method: str = "minmax") -> DataFrame:
     """Add ``y``: reads scaled to [0, 1] per sample, or to percent of the sample's reads."""
     kept = _with_range(hist)

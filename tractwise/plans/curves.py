@@ -22,6 +22,10 @@ class CurveBatch:
     metrics: DataFrame
     panel: DataFrame
 
+    def outputs(self) -> dict[str, DataFrame]:
+        """The tables that a batch saves, by file name."""
+        return {"metrics.csv": self.metrics, "segments.csv": self.segments}
+
 
 def curve_batch(series: DataFrame, tau: float = SEGMENT_TAU, min_len: int = MIN_LEN,
                 k_spline: int = K_SPLINE, smooth_k: int = SMOOTH_K, iou_thr: float = IOU_THR,

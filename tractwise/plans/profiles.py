@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from tractwise.functions.columns import proxy_label
 from tractwise.operators.clusters import (ClusterModel, bin_predictions, center_frame, train_assignments,
@@ -25,6 +26,11 @@ class ProfileBatch:
     metrics: DataFrame
     sides: DataFrame
 
+    def outputs(self) -> dict[str, DataFrame]:
+        """The tables that a batch saves, by file name."""
+        return {"train_assignments.csv": flat(self.assignments), "cluster_centers.csv": flat(self.centers),
+                "test_metrics.csv": self.metrics, "test_bin_predictions.csv": flat(self.predictions)}
+
     def overall(self) -> DataFrame:
         """Pooled areas over all test bins, one row per side."""
         return self._pooled(auc)
@@ -57,3 +63,9 @@ def profile_batch(train: DataFrame, test: DataFrame, method: str = "gmm", **opti
         F.lit(float(model.tau)).alias("tau"), "assigned_cluster", "cluster_type", "auc_exp", "auc_con")
     return ProfileBatch(model, train_assignments(train, model), center_frame(spark, model),
                         predictions, metrics, sides)
+
+
+def flat(table: DataFrame) -> DataFrame:
+    """Lists as text, which a CSV file can hold."""
+    lists = [f.name for f in table.schema if isinstance(f.dataType, (ArrayType, MapType, StructType))]
+    return table.withColumns({c: F.to_json(c) for c in lists})

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import uuid
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tractwise.params import DAY0
 from tractwise.sources.files import HISTOGRAM_HEADER
@@ -93,5 +96,33 @@ def write_csv(table: DataFrame, path: str) -> str:
     return path
 
 
+def write_batch(tables: Mapping[str, DataFrame], path: str) -> str:
+    """Write the named tables of a batch as CSV, and only then the manifest that makes them count.
+
+    Every batch has a folder of its own, so a batch that fails half-way is never read and a later
+    one never mixes with an earlier one. The manifest is a table too: name, folder, columns and time.
+    """
+    batch, spark, rows = uuid.uuid4().hex, None, []
+    for name, table in tables.items():
+        spark = table.sparkSession
+        folder = f"{path}/batches/{batch}/{name}"
+        table.write.option("header", True).option("quote", '"').option("escape", '"').csv(folder)
+        rows.append((name, batch, table.schema.json()))
+    if spark is not None:
+        manifest = spark.createDataFrame(rows, "name string, batch string, columns string").withColumn("at", F.current_timestamp())
+        manifest.coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    return path
+
+
+def read_batch(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of the last whole batch below a path, with the types they were written with."""
+    manifest = spark.read.parquet(f"{path}/manifest")
+    last = manifest.orderBy(F.desc("at"), F.desc("batch")).select("batch").limit(1)
+    found = manifest.join(last, "batch").select("name", "batch", "columns").collect()
+    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"')
+    return {r["name"]: reader.schema(StructType.fromJson(json.loads(r["columns"]))).csv(f"{path}/batches/{r['batch']}/{r['name']}")
+            for r in found}
+
+
 def output_folder(grp: Column) -> Column:
     return F.when(grp == DAY0, "Day0_histograms").otherwise("treated_histograms")
