@@ -1,6 +1,7 @@
 """Line dedup: a segment-partition edit join. DataFrame functions only.
 
-A line is dropped if a line within ``EDITS`` edits of it, or equal to it, occurs earlier. Lines come
+A line that has a letter or digit is dropped if an equal line occurs earlier, or one within ``EDITS`` edits,
+if it has ``LEAST_CHARS`` characters. Lines come
 in the order of doc_id and place. Of two lines within t edits, one of the t + 1 segments of the
 shorter one (of both, if equally long) occurs unchanged in the other, at a place that the lengths
 leave few choices for; segments and those substrings meet by hash, and their lines are compared.
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from tractwise.session import release, settle
 
 EDITS = 2
-LEAST_CHARS = 20  # shorter lines (headings, brackets, blank lines) always stay
+LEAST_CHARS = 20  # of a line that others may be near; shorter ones go as exact copies only, as two edits make other words of them
 WORDS = 1 << 17  # of 64 bits, in the fixed-size filters that only save shuffling
 
 
@@ -64,13 +65,19 @@ def _own(name: str, edits: int) -> bool:
 
 
 def line_table(docs: DataFrame, least: int, edits: int | None) -> DataFrame:
-    """doc_id, pos, line, n, h, place in the order of all lines, and the keys."""
+    """doc_id, pos, line, n, h, place in the order of all lines, and the keys of those of ``least`` characters.
+
+    Blank lines and lines of signs alone aren't in it: they always stay.
+    """
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                         F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).alias("pos", "line"))
-    lines = lines.withColumn("n", F.length("line")).filter(F.col("n") >= least).withColumn("h", F.xxhash64("line"))
+    lines = lines.withColumn("n", F.length("line")).filter(F.col("line").rlike(r"[\p{L}\p{N}]")).withColumn("h", F.xxhash64("line"))
     order = F.coalesce(F.col("doc_id"), F.lit(2 ** 63 - 1)).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("pos")
     lines = lines.withColumn("place", order.cast("decimal(38,0)"))
-    return lines if edits is None else lines.withColumns(key_columns(F.col("line"), F.col("n"), edits))
+    if edits is None:
+        return lines
+    keys = key_columns(F.col("line"), F.col("n"), edits)
+    return lines.withColumns({name: F.when(F.col("n") >= least, key) for name, key in keys.items()})
 
 
 def fixed_filter(values: DataFrame, name: str) -> Column:
@@ -146,7 +153,7 @@ def within(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
 def _texts(docs: DataFrame, ids: DataFrame, least: int) -> DataFrame:
     """h and line of the lines with those hashes (and a few more)."""
     wanted = passes("h", fixed_filter(ids, "h"))
-    return settle(line_table(docs, least, None).select("h", "line").filter(wanted).distinct())
+    return settle(line_table(docs, least, None).filter(F.col("n") >= least).select("h", "line").filter(wanted).distinct())
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, edits: int) -> DataFrame:
@@ -180,9 +187,9 @@ def near_lines(docs: DataFrame, least: int = LEAST_CHARS, edits: int = EDITS) ->
     names = [c for c in lines.columns if c.startswith("k_")]
     distinct = settle(lines.groupBy("h", "n").agg(F.min("place").alias("place"), *[F.first(c).alias(c) for c in names]))
     key = F.explode(F.array(*[F.struct(F.col(c).alias("key"), F.lit(_own(c, edits)).alias("own")) for c in names])).alias("k")
-    shared = distinct.select(key).groupBy("k.key").agg(F.count_if("k.own").alias("owns"), F.count("*").alias("all"))
+    shared = distinct.filter(F.col("n") >= least).select(key).groupBy("k.key").agg(F.count_if("k.own").alias("owns"), F.count("*").alias("all"))
     shared = settle(shared.filter("owns > 0 AND all > 1").select("key"))
-    rows = distinct.select("h", "place", key).select("h", "place", "k.key", "k.own")
+    rows = distinct.filter(F.col("n") >= least).select("h", "place", key).select("h", "place", "k.key", "k.own")
     rows = settle(rows.filter(passes("key", fixed_filter(shared, "key"))).join(shared, "key"))
 
     # A line may be compared with the owner of a segment, or own a segment that the other line has.
@@ -227,17 +234,19 @@ def removed(docs: DataFrame, least: int = LEAST_CHARS, edits: int = EDITS) -> Da
 def dedup_lines(docs: DataFrame, least: int = LEAST_CHARS, edits: int = EDITS) -> DataFrame:
     """The documents, in their own columns, without the lines that go.
 
-    Null texts stay null, empty ones empty; lines of fewer than ``least`` characters stay. Rows
+    Null texts stay null, empty ones empty; lines without a letter or digit stay. Rows
     that repeat a doc_id are one document: what stands at the same place in equal rows stays or
     goes in both. Rows without an id come last in the order. ``n_chars``, if the documents have it,
     follows a text that changes.
     """
-    lost, ident = f"lost_{uuid.uuid4().hex}", f"id_{uuid.uuid4().hex}"
-    marks = removed(docs, least, edits).groupBy(F.col("doc_id").alias(ident)).agg(
-        F.collect_set(F.struct("pos", "h")).alias(lost))
+    lost, ident, parts = (f"{name}_{uuid.uuid4().hex}" for name in ("lost", "id", "parts"))
+    mark = F.concat(F.col("pos").cast("string"), F.lit(":"), F.col("h").cast("string"))
+    marks = removed(docs, least, edits).groupBy(F.col("doc_id").alias(ident)).agg(F.collect_set(mark).alias(lost))
     joined = docs.join(marks, F.col("doc_id").cast("long").eqNullSafe(F.col(ident)), "left")
-    parts = F.split(F.col("text").cast("string"), "\n")
-    kept = F.filter(parts, lambda line, i: ~F.array_contains(F.col(lost), F.struct(i.alias("pos"), F.xxhash64(line).alias("h"))))
+    joined = joined.withColumn(parts, once(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")))
+    own = F.transform(parts, lambda line, i: F.concat(i.cast("string"), F.lit(":"), F.xxhash64(line).cast("string")))
+    # A set of strings is looked up by hash, so a document takes time in proportion to its lines.
+    kept = F.transform(F.array_except(own, F.col(lost)), lambda m: F.get(parts, F.substring_index(m, ":", 1).cast("int")))
     text = F.when(F.col(lost).isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
@@ -259,9 +268,10 @@ def op9_segment_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP9_SQL = """
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
     generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM documents),
-u AS (SELECT line, length(line) AS n, min(doc_id * 2147483648::HUGEINT + pos) AS place FROM l WHERE length(line) >= 20 GROUP BY line),
+u AS (SELECT line, length(line) AS n, min(doc_id * 2147483648::HUGEINT + pos) AS place FROM l
+    WHERE regexp_matches(line, '[\\p{L}\\p{N}]') GROUP BY line),
 near AS (SELECT DISTINCT x.line FROM u x JOIN u y ON y.n BETWEEN x.n - 2 AND x.n + 2 AND y.place < x.place AND x.line <> y.line
-    WHERE levenshtein(x.line, y.line) <= 2),
+    AND x.n >= 20 AND y.n >= 20 WHERE levenshtein(x.line, y.line) <= 2),
 gone AS (SELECT DISTINCT l.doc_id, l.pos FROM l JOIN u USING (line) LEFT JOIN near ON near.line = l.line
     WHERE near.line IS NOT NULL OR l.doc_id * 2147483648::HUGEINT + l.pos > u.place),
 m AS (SELECT doc_id, count(*) AS n_removed, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS removed FROM gone GROUP BY doc_id)
