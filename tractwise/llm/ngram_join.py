@@ -250,8 +250,8 @@ def passes(values: np.ndarray, words: np.ndarray) -> np.ndarray:
     return (words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 
-def shared_keys(table: DataFrame) -> DataFrame:
-    """Every ``key`` that occurs more than once.
+def shared_keys(table: DataFrame, ids) -> DataFrame:
+    """Every ``key`` that occurs more than once in the rows whose ids the bit map ``ids`` lets pass.
 
     Keys travel as bytes, sorted into as many ranges as their number asks for. A task sends a key
     twice at most however often it has it, so a key of very many documents is no burden on its range.
@@ -271,7 +271,7 @@ def shared_keys(table: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
+            for raw in batch.column(0).filter(pa.array(passes(batch.column(1).to_numpy(), ids.value))).to_pylist():
                 held.append(raw)
                 size += len(raw)
                 if size >= KEY_BYTES * CHUNK:
@@ -284,25 +284,26 @@ def shared_keys(table: DataFrame) -> DataFrame:
         keys = np.sort(unpack(b"".join(group.column("keys").to_pylist()), KEY_BYTES))
         return pa.table({"key": signed(np.unique(keys[1:][keys[1:] == keys[:-1]]))})
 
-    pieces = table.select("keys").mapInArrow(cut, "part long, keys binary")
+    pieces = table.select("keys", F.xxhash64("doc_id").alias("h")).mapInArrow(cut, "part long, keys binary")
     return pieces.groupBy("part").applyInArrow(repeated, "key long")
 
 
-def members(table: DataFrame, shared: DataFrame) -> DataFrame:
-    """(key, doc_id) of all keys that the fixed-size filter of the shared keys lets pass."""
+def members(table: DataFrame, shared: DataFrame, ids) -> DataFrame:
+    """(key, doc_id) of all keys that the fixed-size filter of the shared keys lets pass, in the rows that ``ids`` lets pass."""
     bits = fixed_filter(shared, "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
+                part = part.filter(pa.array(passes(part.column(2).to_numpy(), ids.value)))
                 raw = part.column(1).to_pylist()
                 keys = unpack(b"".join(raw), KEY_BYTES).view(np.int64)
                 docs = np.repeat(part.column(0).to_numpy(), [len(r) // KEY_BYTES for r in raw])
                 keep = passes(keys, bits.value)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(docs[keep])], names=["key", "doc_id"])
 
-    return table.select("doc_id", "keys").mapInArrow(run, "key long, doc_id long")
+    return table.select("doc_id", "keys", F.xxhash64("doc_id").alias("h")).mapInArrow(run, "key long, doc_id long")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -366,19 +367,6 @@ def _close(pairs: DataFrame, table: DataFrame, similar: tuple[int, int]) -> Data
     return joined.filter(sized).select("a", "b", "x.sketch", F.col("y.sketch").alias("other"), total.alias("n")).mapInArrow(run, "a long, b long")
 
 
-def of_ids(table: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:
-    """Columns (doc_id first) of the rows with those ids, and of a few others, without a shuffle."""
-    bits = fixed_filter(ids.select(F.xxhash64("doc_id").alias("h")), "h")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = pa.array(passes(batch.column(batch.num_columns - 1).to_numpy(), bits.value))
-            yield batch.select(list(range(batch.num_columns - 1))).filter(keep)
-
-    plain = table.select(*columns)
-    return plain.withColumn("h", F.xxhash64("doc_id")).mapInArrow(run, plain.schema)
-
-
 def short_codes(table: DataFrame) -> DataFrame:
     """doc_id, n_shingles and the sketch, folded to a bit or two for each shingle."""
 
@@ -509,22 +497,22 @@ def linked(docs: DataFrame, keys_of: Callable[[list[np.ndarray]], list[np.ndarra
     table = settle(sketches(docs, words, keys_of))
     known = table.filter("doc_id IS NOT NULL AND n_shingles > 0")
     sets = settle(known.groupBy("n_shingles", "f", "g").agg(F.min("doc_id").alias("doc_id")))
-    first = of_ids(known, sets, ["doc_id", "n_shingles", "n_keys", "keys", "sketch"])
+    ids = fixed_filter(sets.select(F.xxhash64("doc_id").alias("h")), "h")  # a copy that passes too only meets its first again
     copies = known.select("doc_id", "n_shingles", "f", "g").join(sets.withColumnRenamed("doc_id", "a"), ["n_shingles", "f", "g"]).filter(
         "doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
 
-    shared = settle(shared_keys(first))
-    held = settle(members(first, shared))
+    shared = settle(shared_keys(known, ids))
+    held = settle(members(known, shared, ids))
     buckets = held.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     rows = settle(held.join(buckets.filter("first < last").drop("last"), "key"))
     release(shared, held)
     stars = rows.filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
-    near = settle(_close(stars, first, similar))
+    near = settle(_close(stars, known, similar))
     verified = verify(docs, near, words, similar)
     parts = settle(components(copies.unionByName(verified)))
     release(sets, near, verified)
 
-    codes, tried, limit = settle(short_codes(first)), None, 4
+    codes, tried, limit = settle(short_codes(known)), None, 4
     open_ = rows.filter("doc_id <> first").select("key", "doc_id")  # each key's first has met all others already
     while True:
         placed = open_.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
@@ -533,7 +521,7 @@ def linked(docs: DataFrame, keys_of: Callable[[list[np.ndarray]], list[np.ndarra
         pairs = found.select("a", "b").distinct()
         pairs = settle(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         if found.limit(1).count():
-            near = settle(_close(pairs, first, similar))
+            near = settle(_close(pairs, known, similar))
             more = verify(docs, near, words, similar)
             star = parts.select(F.col("component").alias("a"), F.col("node").alias("b"))
             wider = settle(components(star.unionByName(more)))
