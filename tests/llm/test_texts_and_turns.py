@@ -74,7 +74,7 @@ def test_a_bucket_of_many_sets_that_stay_apart(spark):
     rng = np.random.default_rng(2)
     base = [f"b{i}" for i in range(80)]
     rows = []
-    for d in range(330):  # more than a block; each has its own words at some places
+    for d in range(1100):  # more than a block; each has its own words at some places
         words = list(base)
         for at in rng.choice(80, 3 + d % 4, replace=False):
             words[at] = f"d{d}x{at}"

@@ -20,7 +20,7 @@ SIMILAR = (85, 100)
 BAND = 1.384  # the ratio of sizes within a band; over the square root of any step between partners
 SKETCH_BITS = 1024  # of the shortest parity sketch; others have at least 3 for each shingle
 CODE_BITS = 512  # of the shortest code that a bucket's members are held against one another by; others have one for each shingle at least
-GROUP = 256  # members of a bucket that are held against one another at a time
+GROUP = 1024  # members of a bucket that are held against one another at a time
 FILTER_BITS = 1 << 25  # of the fixed-size filters that only save shuffling
 CHUNK = 4 << 20
 KEY_BYTES = 6  # of a segment key; keys that are equal by chance only cost a comparison
