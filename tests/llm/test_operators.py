@@ -209,6 +209,17 @@ def test_secrets(docs, none):
     assert secret_scan.find("token=short1 token=abcdefghijkl") == [("assign", 13, 31, 1.0)]
 
 
+def test_literals_inside_fixed_assignments_are_told_once():
+    rng = np.random.default_rng(3)
+    pieces = ["token='abcdefghijkl'", "secret = 'Zk3!vbnQ_77zz9'", "password: q8Zr5TnM2xYY", "k = '~Zk3vbnQ77zz9'", "api.secret: k", "x=1"]
+    for _ in range(60):
+        text = "\n".join(rng.choice(pieces, rng.integers(1, 12)))
+        base = secret_scan.base_spans(text)
+        held = [x for x in base if x[0] == "assign"]
+        wanted = [x for x in secret_scan.literal_spans(text) if not any(h[1] <= x[1] and x[2] <= h[2] for h in held)]
+        assert [x for x in secret_scan.find(text) if x[0] == "literal"] == sorted(wanted, key=lambda x: x[1:3])
+
+
 def test_secrets_of_any_length_and_over_lines():
     rng = np.random.default_rng(8)
 
@@ -263,6 +274,21 @@ def test_neighbours(spark):
     assert nearest.search(coded, nearest.usable(frame).limit(0)).count() == 0
 
 
+def test_neighbours_of_huge_and_tiny_parts(spark):
+    rng = np.random.default_rng(4)
+    plain = rng.standard_normal((60, 8))
+    scales = np.array([1.0, 1e200, 1e-200, 1e300, 1e-300])[np.arange(60) % 5]
+    every = plain * scales[:, None]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(every)], "vec_id long, embedding array<double>")
+    found = nearest.search(nearest.index(frame), nearest.usable(frame).filter("vec_id % 10 = 0")).toPandas()
+    unit = plain / np.sqrt((plain ** 2).sum(axis=1))[:, None]
+    assert len(found) == 6 * 5
+    assert all(abs(r.score - unit[r.query_id] @ unit[r.vec_id]) < 1e-12 for r in found.itertuples())
+    dot = np.einsum("ij,ij->i", plain[:5], plain[5:10])
+    norms = np.sqrt(np.einsum("ij,ij->i", plain[:5], plain[:5])) * np.sqrt(np.einsum("ij,ij->i", plain[5:10], plain[5:10]))
+    assert (nearest.cosines(plain[:5], plain[5:10]) == dot / norms).all()
+
+
 def test_urls(spark):
     pages = [(i, f"https://{h}.example.{t}/{p}/{i}?q") for i, (h, t, p) in enumerate(
         (h, t, p) for h in ("a", "www", "m") for t in ("com", "net") for p in ("en", "es", "fr", "de") for _ in range(6))]

@@ -91,7 +91,12 @@ def scaled(rows: np.ndarray) -> np.ndarray:
 
 
 def cosines(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Exact cosines of paired rows, in double precision."""
+    """Exact cosines of paired rows, in double precision.
+
+    Rows are first multiplied by a power of two that brings their largest part near 1: that leaves
+    ordinary scores as they are, and squares of huge or tiny parts finite.
+    """
+    queries, rows = (np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None]) for x in (queries, rows))
     dot = np.einsum("ij,ij->i", queries, rows)
     return dot / (np.sqrt(np.einsum("ij,ij->i", queries, queries)) * np.sqrt(np.einsum("ij,ij->i", rows, rows)))
 

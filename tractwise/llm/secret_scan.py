@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -233,8 +234,12 @@ def find(text: str | None, raw: bytes | None = None) -> list[tuple[str, int, int
     low = (raw if raw is not None else text.encode()).lower()
     if (b"=" not in low and b":" not in low) or not any(s in low for s in STEMS):
         return base
-    held = [(s, e) for k, s, e, _ in base if k == "assign"]
-    own = [x for x in literal_spans(text) if not any(s <= x[1] and x[2] <= e for s, e in held)]
+    held = sorted((s, e) for k, s, e, _ in base if k == "assign")  # they don't overlap, so one of them at most can hold a literal
+    own = []
+    for x in literal_spans(text):
+        at = bisect_right(held, x[1], key=lambda h: h[0])
+        if not at or x[2] > held[at - 1][1]:
+            own.append(x)
     return sorted(base + own, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
