@@ -103,6 +103,40 @@ def test_changes_equal_full_enumeration():
             assert tuple(np.flatnonzero(np.diff(seg[:, c])) + 1) == brute_segments(y[:, c])
 
 
+def unpruned(y):
+    """Last starts of the plain dynamic programme over all starts, one series."""
+    n, (a, b) = len(y), (np.append(0, np.cumsum(v)) for v in (y, y * y))
+    best, last = [-3 * np.log(n)], [0]
+    for t in range(1, n + 1):
+        size = t - np.arange(t)
+        cost = np.array(best) + b[t] - b[:t] - (a[t] - a[:t]) ** 2 / size + np.log(size) + 3 * np.log(n)
+        last.append(int(cost.argmin()))
+        best.append(cost.min())
+    cuts, end = [], n
+    while last[end] > 0:
+        end = last[end]
+        cuts.append(end)
+    return cuts[::-1]
+
+
+def test_pruned_changes_equal_the_unpruned_search():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 30, 180):
+        y = np.column_stack([np.repeat(rng.normal(0, s, n), 1 + i)[:n] + rng.normal(0, .6, n) for i, s in enumerate((0, 1, 2, 4, 9, 30))])
+        found = sm.mean_changes(y)
+        alone = np.hstack([sm.mean_changes(y[:, c:c + 1]) for c in range(y.shape[1])])
+        assert (found == alone).all()
+        for c in range(y.shape[1]):
+            assert (np.flatnonzero(np.diff(found[:, c])) + 1).tolist() == unpruned(y[:, c])
+    long = np.repeat(rng.normal(0, 20, 4000), 5)[:, None] + rng.normal(0, 1, (20000, 1))
+    assert sm.mean_changes(long).max() > 3000
+
+
+def test_series_too_short_to_smooth_are_neutral(spark):
+    rows = sm.changepoint_labels(frame(spark, {"s": [5.0, 6.0]})).collect()
+    assert [(r["cp_segment"], r["cp_mean"], r["label_cp"]) for r in rows] == [(1, None, "neutral")] * 2
+
+
 def test_changepoint_labels(spark):
     y = [0.0] * 40 + [0.4] * 40 + [-0.4] * 40
     rows = sm.changepoint_labels(frame(spark, {"s": y}), standardize=True).orderBy("x").collect()

@@ -6,7 +6,7 @@ import __spark_entry__ as contract
 
 SMALL = "/root/testdata/sf0.001"
 CHEAP = ["delta_table", "instability_index", "histogram_build", "classify_group", "auc_overall",
-         "nearest_centroid", "dataset_features", "train_test_split"]
+         "nearest_centroid", "dataset_features", "train_test_split", "changepoint_labels"]
 
 needs_tables = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no tables")
 

@@ -110,6 +110,37 @@ TRUTH = (SMOOTH + f", marked AS (SELECT *, {label('yf', 0.0075)} AS truth_label
 PRED = (TRUTH + ", " + extended("smooth", "yf", "twice")
         + f", pmarked AS (SELECT *, {label('y3', 0.0075)} AS pred_label FROM twice), "
         + segments("pmarked", "pred_label", "delta", "pred"))
+#: The dynamic programme of the change points: best costs and last starts of every prefix, then back from the end.
+CHANGES = SMOOTH.replace("WITH ", "") + ", " + extended("smooth", "yf", "ext") + """, pts AS (
+  SELECT dataset, x, yf, y3, row_number() OVER (PARTITION BY dataset ORDER BY x, yf, y3) AS i,
+         row_number() OVER (PARTITION BY dataset, x ORDER BY yf, y3) - 1 AS copy FROM ext),
+scaled AS (
+  SELECT *, y3 / CASE WHEN sd > 0 THEN sd ELSE 1 END AS z FROM (
+    SELECT *, stddev_samp(y3) OVER (PARTITION BY dataset) AS sd FROM pts)),
+summed AS (
+  SELECT dataset, i, sum(z) OVER w AS a, sum(z * z) OVER w AS b FROM scaled
+  WINDOW w AS (PARTITION BY dataset ORDER BY i ROWS UNBOUNDED PRECEDING)),
+sums AS (
+  SELECT dataset, count(*) AS n, 3 * ln(count(*)) AS pen, list_prepend(0.0::DOUBLE, list(a ORDER BY i)) AS a,
+         list_prepend(0.0::DOUBLE, list(b ORDER BY i)) AS b FROM summed GROUP BY dataset HAVING count(a) > 0),
+tried(dataset, t, best, starts, costs) AS (
+  SELECT dataset, 0::BIGINT, []::DOUBLE[], []::BIGINT[], [-pen]::DOUBLE[] FROM sums
+  UNION ALL
+  SELECT s.dataset, p.t + 1, list_append(p.best, list_min(p.costs)),
+         list_append(p.starts, list_position(p.costs, list_min(p.costs)) - 1),
+         list_transform(range(0, p.t + 1), lambda k: list_append(p.best, list_min(p.costs))[k + 1]
+           + s.b[p.t + 2] - s.b[k + 1] - pow(s.a[p.t + 2] - s.a[k + 1], 2) / (p.t + 1 - k) + ln(p.t + 1 - k) + s.pen)
+  FROM tried p JOIN sums s USING (dataset) WHERE p.t <= s.n),
+ends AS (SELECT p.dataset, s.n, p.starts FROM tried p JOIN sums s ON p.dataset = s.dataset AND p.t = s.n + 1),
+back(dataset, start_at, end_at) AS (
+  SELECT dataset, starts[n + 1], n FROM ends
+  UNION ALL
+  SELECT b.dataset, e.starts[b.start_at + 1], b.start_at FROM back b JOIN ends e USING (dataset) WHERE b.start_at > 0),
+cuts AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY start_at) AS cp_segment FROM back),
+changes AS (
+  SELECT p.dataset, p.x, p.copy, p.yf, p.y3, coalesce(c.cp_segment, 1) AS cp_segment,
+         avg(p.y3) OVER (PARTITION BY p.dataset, c.cp_segment) AS cp_mean
+  FROM pts p LEFT JOIN cuts c ON p.dataset = c.dataset AND p.i > c.start_at AND p.i <= c.end_at)"""
 PAIRS = PRED + """, pairs AS (
   SELECT p.dataset, p.label, p.start_rl, p.end_rl, abs(p.mean_eff) AS score, t.start_rl AS t_start,
          CASE WHEN t.start_rl IS NULL THEN 0
@@ -376,6 +407,9 @@ WHERE t.x BETWEEN 0 AND 200""",
 FROM grp_table WHERE x BETWEEN 0 AND 200""",
     "smooth_delta": f"WITH {SMOOTH} SELECT dataset, x, {rs('delta', 'yf')} FROM smooth",
     "smooth_extend": f"WITH {SERIES}, {extended('series', 'delta', 'ext')} SELECT dataset, x, {r('y3')} FROM ext",
+    "changepoint_labels": f"""WITH RECURSIVE {CHANGES}
+SELECT dataset, x, CAST(copy AS INT) AS copy, {rs('yf', 'y3')}, CAST(cp_segment AS INT) AS cp_segment, {r('cp_mean')},
+{label('cp_mean', 0.0075)} AS label_cp FROM changes""",
     "label_tau": f"WITH {SERIES} SELECT dataset, x, {label('delta', 0.0075)} AS label FROM series",
     "consensus_label": f"""WITH {SMOOTH}, both_l AS (
 SELECT dataset, x, {label('delta', 0.0075)} AS a, {label('yf', 0.0075)} AS b FROM smooth)

@@ -335,7 +335,8 @@ def gam_fit(spark, sf):
 
 @query
 def changepoint_labels(spark, sf):
-    return smoothers.changepoint_labels(fx.series(spark, sf), standardize=True)
+    found = smoothers.changepoint_labels(fx.series(spark, sf), standardize=True)
+    return found.select("dataset", "x", "copy", r6("yf"), r6("y3"), "cp_segment", r6("cp_mean"), "label_cp")
 
 
 @query

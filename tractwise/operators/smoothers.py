@@ -177,29 +177,40 @@ def mean_changes(y: np.ndarray) -> np.ndarray:
     """Optimal segment number of every point, for each column of y.
 
     Minimises the sum over segments of the squared deviations plus log(segment length), plus
-    3 log(n) per change (the modified BIC), by the exact dynamic programme.
+    3 log(n) per change (the modified BIC), by a dynamic programme that drops starts which can't be
+    the best again, so that series with many changes take time in proportion to their length. A
+    start stays while a column of its block has use for it; the longer the series, the smaller the block.
     """
     n, many = y.shape
+    at_once = max(1, (1 << 16) // max(n, 1))
+    if many > at_once:
+        return np.hstack([mean_changes(y[:, c:c + at_once]) for c in range(0, many, at_once)])
     penalty = 3 * np.log(n)
     total = np.vstack([np.zeros(many), np.cumsum(y, 0)])
     square = np.vstack([np.zeros(many), np.cumsum(y * y, 0)])
     best = np.full((n + 1, many), np.inf)
     best[0] = -penalty
     last = np.zeros((n + 1, many), dtype=int)
+    starts = np.zeros(1, dtype=int)
     for t in range(1, n + 1):
-        size = (t - np.arange(t))[:, None]
-        gain = total[t] - total[:t]
-        cost = square[t] - square[:t] - gain * gain / size + np.log(size)
-        options = best[:t] + cost + penalty
-        last[t] = options.argmin(0)
-        best[t] = options[last[t], np.arange(many)]
+        size = (t - starts)[:, None]
+        gain = total[t] - total[starts]
+        options = best[starts] + square[t] - square[starts] - gain * gain / size + np.log(size) + penalty
+        pick = options.argmin(0)
+        last[t] = starts[pick]
+        best[t] = options[pick, np.arange(many)]
+        if t < n:
+            # Cutting a segment at t never raises its squares, and its logarithms by no more than this.
+            saved = np.log(1 / size + 1 / (n - t))
+            useless = options - penalty + saved > best[t] + 1e-9 * (1 + np.abs(best[t]))
+            starts = np.append(starts[~useless.all(1)], t)
     segment = np.zeros((n, many), dtype=int)
     for c in range(many):
-        end, starts = n, []
+        end, cuts = n, []
         while end > 0:
-            starts.append(last[end, c])
+            cuts.append(last[end, c])
             end = last[end, c]
-        for number, start in enumerate(reversed(starts)):
+        for number, start in enumerate(reversed(cuts)):
             segment[start:, c] = number
     return segment
 
@@ -209,7 +220,8 @@ def changepoint_labels(series: DataFrame, tau: float = SEGMENT_TAU, smooth_k: in
     """Label every point by the mean of its change-point segment (of the 3-point smooth).
 
     The cost assumes unit variance. On small deltas it finds almost no change; ``standardize``
-    searches on values divided by the series' deviation instead.
+    searches on values divided by the series' deviation instead. Series of fewer than 3 points have
+    no smooth: they are one neutral segment without a mean.
     """
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -239,7 +251,8 @@ def changepoint_labels(series: DataFrame, tau: float = SEGMENT_TAU, smooth_k: in
     smoothed = rolling_mean(smooth(series, smooth_k, max_length), "yf", "y3", 3, "extend")
     rows = _series_arrays(smoothed, "yf", "y3").mapInPandas(
         label, "dataset string, x double, copy int, yf double, y3 double, cp_segment int, cp_mean double")
-    return rows.withColumn("label_cp", tau_label(F.col("cp_mean"), tau))
+    clean = rows.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("y3", "cp_mean")})
+    return clean.withColumn("label_cp", tau_label(F.col("cp_mean"), tau))
 
 
 def consensus(fits: DataFrame, changes: DataFrame) -> DataFrame:
