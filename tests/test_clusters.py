@@ -135,11 +135,13 @@ def test_kmeans_finds_the_blobs(spark):
 
 
 def dense_loglik(x, m):
-    total = 0
-    for row in x:
-        total += np.log(sum(w * np.prod(np.exp(-.5 * (row - mu) ** 2 / v) / np.sqrt(2 * np.pi * v))
-                            for w, mu, v in zip(m.weights, m.means, m.variances)))
-    return total
+    whole = m.variances if m.variances.ndim == 3 else np.stack([np.diag(v) for v in m.variances])
+    density = np.zeros(len(x))
+    for w, mu, cov in zip(m.weights, m.means, whole):
+        gap = x - mu
+        far = (gap * np.linalg.solve(cov, gap.T).T).sum(1)
+        density += w * np.exp(-.5 * far) / np.sqrt(np.linalg.det(2 * np.pi * cov))
+    return np.log(density).sum()
 
 
 def test_mixture_selects_three_and_likelihood_rises(spark):
@@ -149,9 +151,109 @@ def test_mixture_selects_three_and_likelihood_rises(spark):
     for m in fits:
         assert (np.diff(m.history) >= -1e-6 * (1 + np.abs(m.history[-1]))).all(), (m.family, m.k)
         if not m.failed:
-            assert m.history[-1] == pytest.approx(dense_loglik(x, m))
+            assert m.history[-1] == pytest.approx(dense_loglik(x, m)), (m.family, m.k)
+            assert m.bic == pytest.approx(
+                2 * m.history[-1] - cl.family_parameters(m.family, m.k, 4) * np.log(60))
+    assert {m.family for m in fits if m.k == 3 and not m.failed} == set(cl.FAMILIES + cl.FULL_FAMILIES)
     table = cl.bic_table(spark, fits)
-    assert table.count() == 30
+    assert table.count() == 60
+
+
+def test_common_axes_raise_the_likelihood_too(spark):
+    x = blobs(2) @ np.random.default_rng(2).normal(size=(4, 4))
+    for m in cl.mixture_fits(vectors(spark, x, "z"), [2], families=cl.COMMON_AXES, max_iter=25):
+        assert not m.failed and len(m.history) > 2
+        assert (np.diff(m.history) >= -1e-6 * (1 + np.abs(m.history[-1]))).all(), m.family
+
+
+def dense_em(x, means, family, passes):
+    """Plain EM of the two families with closed covariances, from the nearest means."""
+    z = np.eye(len(means))[((x[:, None] - means[None]) ** 2).sum(2).argmin(1)]
+    logs = []
+    for _ in range(passes):
+        n = z.sum(0)
+        mu = z.T @ x / n[:, None]
+        cov = np.stack([(z[:, j] * (x - mu[j]).T) @ (x - mu[j]) / n[j] for j in range(len(n))])
+        if family == "EEE":
+            cov = np.repeat((cov * n[:, None, None]).sum(0, keepdims=True) / len(x), len(n), 0)
+        dens = np.stack([np.exp(-.5 * ((x - mu[j]) @ np.linalg.inv(cov[j]) * (x - mu[j])).sum(1))
+                         / np.sqrt(np.linalg.det(2 * np.pi * cov[j])) for j in range(len(n))], 1) * (n / len(x))
+        logs.append(np.log(dens.sum(1)).sum())
+        z = dens / dens.sum(1, keepdims=True)
+    return logs
+
+
+@pytest.mark.parametrize("family", ["EEE", "VVV"])
+def test_covariances_follow_a_dense_em(spark, family):
+    rng = np.random.default_rng(12)
+    mix = rng.normal(size=(2, 3, 3))
+    x = np.concatenate([rng.normal(size=(70, 3)) @ mix[0], rng.normal(size=(50, 3)) @ mix[1] + 2])
+    frame = vectors(spark, x, "z").repartition(3)
+    fit = cl.mixture_fits(frame, [2], families=(family,), n_start=4)[0]
+    start = cl.kmeans_fit(frame, 2, n_start=4, max_iter=100)
+    assert fit.history == pytest.approx(dense_em(x, start.means, family, len(fit.history)))
+
+
+def test_families_follow_the_number_of_vectors(spark):
+    x = np.random.default_rng(2).normal(size=(5, 6))
+    fits = cl.mixture_fits(vectors(spark, x, "z"), [1], n_start=1)
+    assert [m.family for m in fits] == cl.FAMILIES
+    # more vectors than bins, but too few in a cluster for its own axes: told as failed, not fitted
+    y = np.concatenate([np.random.default_rng(3).normal(size=(6, 4)), np.full((2, 4), 40.0) + np.eye(2, 4)])
+    status = {m.family: m.status for m in cl.mixture_fits(vectors(spark, y, "z"), [2], n_start=4)}
+    assert status["VVV"] == "failed" and status["EII"] == "ok" and len(status) == 12
+
+
+@pytest.mark.parametrize("family", cl.FULL_FAMILIES + cl.COMMON_AXES)
+def test_family_covariances_are_the_maximum(family):
+    rng = np.random.default_rng(4)
+    size, p = np.array([20.0, 30, 15]), 3
+    roots = rng.normal(size=(3, p, p)) + np.eye(p)
+    scatter = size[:, None, None] * np.einsum("kij,klj->kil", roots, roots)
+    axes, before = None, np.inf
+    for _ in range(2000):
+        best, axes = cl.family_covariances(family, size, scatter, axes)
+        if axes is None or np.abs(best - before).max() < 1e-13:
+            break
+        before = best
+
+    def value(cov):
+        return -.5 * (size * np.linalg.slogdet(cov)[1]
+                      + np.einsum("kij,kji->k", np.linalg.inv(cov), scatter)).sum()
+
+    def turn(scale):
+        a = rng.normal(size=(p, p)) * scale
+        return np.linalg.qr(np.eye(p) + a - a.T)[0]
+
+    if family[2] == "E" and axes is None:
+        own = np.repeat(np.linalg.eigh(best[0])[1][None], 3, 0)
+    elif axes is not None:
+        own = np.repeat(axes[None], 3, 0)
+    else:
+        own = np.linalg.eigh(scatter)[1]
+    spread = np.einsum("kia,kij,kja->ka", own, best, own)
+    assert np.einsum("kia,ka,kja->kij", own, spread, own) == pytest.approx(best)
+    volume = np.exp(np.log(spread).mean(1))
+    shape = spread / volume[:, None]
+    if family[0] == "E":
+        assert volume == pytest.approx(np.full(3, volume[0]))
+    if family[1] == "E":
+        assert shape == pytest.approx(np.repeat(shape[:1], 3, 0))
+    top = value(best)
+    for scale in (.1, .01, .001):
+        for _ in range(100):
+            louder = np.exp(rng.normal(0, scale, 3 if family[0] == "V" else 1))
+            bent = np.exp(rng.normal(0, scale, (3 if family[1] == "V" else 1, p)))
+            bent /= np.exp(np.log(bent).mean(1))[:, None]
+            turned = own @ (turn(scale) if family[2] == "E" else np.stack([turn(scale) for _ in range(3)]))
+            other = spread * bent * np.broadcast_to(louder, 3)[:, None]
+            assert value(np.einsum("kia,ka,kja->kij", turned, other, turned)) <= top + 1e-7
+
+
+def test_number_of_parameters():
+    assert [cl.family_parameters(f, 3, 4) for f in cl.FAMILIES] == [14 + n for n in (1, 3, 4, 6, 10, 12)]
+    assert [cl.family_parameters(f, 3, 4) for f in cl.FULL_FAMILIES + cl.COMMON_AXES] == [
+        14 + n for n in (10, 12, 22, 24, 28, 30, 16, 18)]
 
 
 @pytest.mark.parametrize("family", cl.FAMILIES)

@@ -31,6 +31,34 @@ def test_profile_batch(spark, method):
     ends = batch.overall_curve().filter("side = 'expansion'").orderBy("fpr", "tpr").collect()
     assert (ends[0]["fpr"], ends[0]["tpr"]) == (0, 0) and (ends[-1]["fpr"], ends[-1]["tpr"]) == (1, 1)
     assert batch.assignments.count() == 16 and batch.centers.count() == 2
+    curves = batch.curves().filter("side = 'contraction' AND file = 'b2'").orderBy("fpr", "tpr").collect()
+    assert (curves[0]["fpr"], curves[0]["tpr"]) == (0, 0) and (curves[-1]["fpr"], curves[-1]["tpr"]) == (1, 1)
+
+
+def test_cluster_panel(spark):
+    rng = np.random.default_rng(22)
+    shape = np.array([.4, .4, .2, -.2, -.4, -.4, -.4])
+    train = np.concatenate([shape + rng.normal(0, .02, (8, 7)), -shape + rng.normal(0, .02, (8, 7))])
+    test = shape + rng.normal(0, .02, (1, 7))
+    batch = profile_batch(long_frame(spark, train, "a"), long_frame(spark, test, "b"), "kmeans", k=2, n_start=5)
+    rows = batch.panel.orderBy("layer", "x").collect()
+    got = {layer: [r for r in rows if r["layer"] == layer] for layer in ("signal", "bin mean", "predicted")}
+    y = test[0]
+    line = [y[i - 2:i + 3].mean() if 2 <= i < 5 else y[i] for i in range(7)]
+    assert [r["x"] for r in got["signal"]] == list(range(1, 8))
+    assert [r["value"] for r in got["signal"]] == pytest.approx(line)
+    mids = batch.model.grid.mids
+    assert [r["x"] for r in got["bin mean"]] == mids
+    assert [r["value"] for r in got["bin mean"]] == pytest.approx([*y, *[0.0] * (len(mids) - 7)])
+    steps = got["predicted"]
+    assert steps[0]["x"] == mids[0] and steps[-1]["x_end"] == mids[-1]
+    assert all(a["x_end"] == b["x"] for a, b in zip(steps, steps[1:]))
+    own = int(np.argmin([abs(c[0] - y[0]) for c in batch.model.centers]))
+    assert [r["value"] for r in steps] == pytest.approx(list(batch.model.centers[own]))
+    (caption,) = {r["caption"] for r in rows}
+    shares = [float(p.split("=")[1].rstrip("%")) for p in caption.split("posteriors: ")[1].split(", ")]
+    assert caption.startswith(f"Cluster {own + 1} (") and len(shares) == 2 and sum(shares) == pytest.approx(100, abs=.2)
+    assert shares[own] == max(shares)
 
 
 def test_fasta_to_index(spark, tmp_path):

@@ -333,6 +333,13 @@ def gam_fit(spark, sf):
     return smoothers.spline_fit(fx.series(spark, sf))
 
 
+@query
+def gam_simultaneous_band(spark, sf):
+    """The fit with the band that holds for all lengths of a series at once."""
+    return smoothers.spline_fit(fx.series(spark, sf), simultaneous=True).select(
+        "dataset", "x", "copy", r6("fit"), r6("se"), r6("lower"), r6("upper"), "label_fit", "status")
+
+
 @query
 def changepoint_labels(spark, sf):
     found = smoothers.changepoint_labels(fx.series(spark, sf), standardize=True)
@@ -567,6 +574,26 @@ def cluster_overall_auc(spark, sf):
     return _trained(spark, sf, "gmm", k=3, auto_select_k=False).overall()
 
 
+@query
+def cluster_panel_data(spark, sf):
+    """Signal, bin means, predicted steps and caption of every test file, as the figures show them."""
+    return _trained(spark, sf, "kmeans").panel.select("file", "layer", "x", "x_end", r6("value"), "caption")
+
+
+@query
+def cluster_file_curves(spark, sf):
+    return _trained(spark, sf, "kmeans").curves().select(
+        "file", "side", r6("threshold"), r6("fpr"), r6("tpr"))
+
+
+@query
+def gmm_covariances(spark, sf):
+    """Every covariance family on the class-sized mixture, those of common axes by 40 passes."""
+    vectors = settle(bins.scale_vectors(*_emb_stats(spark, sf)).select("vec_id", "z"))
+    families = clusters.FULL_FAMILIES + clusters.COMMON_AXES
+    return clusters.bic_table(spark, clusters.mixture_fits(vectors, [2, 3], families, max_iter=40))
+
+
 @query
 def hca_train(spark, sf):
     return tree_batch(_named_series(spark, sf)).train.select("dataset", "cluster", "cluster_name")

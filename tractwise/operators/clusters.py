@@ -1,14 +1,18 @@
-"""k-means and diagonal Gaussian mixtures by repeated passes over the vectors.
+"""k-means and Gaussian mixtures by repeated passes over the vectors.
 
 Every start (k-means) or every model (number of clusters x covariance family) is advanced in the
 same pass: a partition returns its sums per model, Spark adds them, and only the new centres,
-bounded by clusters x bins, come back to the driver. The plan of a pass never grows.
+bounded by clusters x bins (x bins, where covariances are fitted), come back to the driver. The
+plan of a pass never grows.
+
+A family has three letters, for the volume, the shape and the axes of its ellipsoids: E is equal in
+all clusters, V varies, I stands for a sphere (shape) or for the axes of the bins.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -22,7 +26,19 @@ from tractwise.session import settle
 
 # covariance families, simplest first; the first one wins a tie
 FAMILIES = ["EII", "VII", "EEI", "VEI", "EVI", "VVI"]
+FULL_FAMILIES = ["EEE", "VEE", "EEV", "VEV", "EVV", "VVV"]
+# different shapes on common axes, which settle over hundreds of passes: fitted where they are named
+COMMON_AXES = ["EVE", "VVE"]
 TINY = np.finfo(float).eps
+#: A covariance whose smallest eigenvalue is below this share of the largest one is singular.
+SINGULAR = 1e-12
+#: Steps of the common axes (EVE, VVE) in one pass; the next pass goes on from there.
+AXIS_STEPS = 20
+
+
+def has_axes(family: str | None) -> bool:
+    """Whether the family has covariances and not only variances."""
+    return family is not None and family[2] != "I"
 
 
 @dataclass
@@ -34,6 +50,7 @@ class _Candidate:
     family: str | None = None
     variances: np.ndarray | None = None
     weights: np.ndarray | None = None
+    axes: np.ndarray | None = None
     goal: float = np.inf
     bic: float = -np.inf
     done: bool = False
@@ -48,7 +65,16 @@ class _Candidate:
 
 def log_densities(x: np.ndarray, means: np.ndarray, variances: np.ndarray,
                   weights: np.ndarray) -> np.ndarray:
-    """Log of weight times density for every row and component."""
+    """Log of weight times density for every row and component.
+
+    ``variances`` is clusters x bins, or clusters x bins x bins for whole covariances.
+    """
+    if variances.ndim == 3:
+        roots = np.linalg.cholesky(variances)
+        square = np.stack([(((x - m) @ np.linalg.inv(r).T) ** 2).sum(1)
+                           for m, r in zip(means, roots)], 1)
+        spread = 2 * np.log(np.diagonal(roots, axis1=1, axis2=2)).sum(1)
+        return np.log(weights) - 0.5 * (x.shape[1] * np.log(2 * np.pi) + spread) - 0.5 * square
     inverse = 1 / variances
     square = (x * x) @ inverse.T - 2 * x @ (means * inverse).T + (means * means * inverse).sum(1)
     constant = np.log(weights) - 0.5 * np.log(2 * np.pi * variances).sum(1)
@@ -73,8 +99,16 @@ def _stack(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=float) for v in column])
 
 
+def _second_moments(x: np.ndarray, z: np.ndarray, whole: bool) -> np.ndarray:
+    """Weighted sums of squares per cluster, or of the products of all pairs of bins."""
+    if not whole:
+        return z.T @ (x * x)
+    upper = np.triu_indices(x.shape[1])
+    return np.stack([((x * w[:, None]).T @ x)[upper] for w in z.T])
+
+
 def _pass(vectors: DataFrame, vec: str, models: Sequence[_Candidate]) -> dict[int, tuple]:
-    """One scan: per model the member counts, sums, sums of squares and the objective."""
+    """One scan: per model the member counts, sums, second moments and the objective."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
@@ -84,7 +118,8 @@ def _pass(vectors: DataFrame, vec: str, models: Sequence[_Candidate]) -> dict[in
             x = _stack(batch[vec])
             for m in models:
                 z, goal = responsibilities(x, m)
-                flat = np.concatenate([z.sum(0), (z.T @ x).ravel(), (z.T @ (x * x)).ravel(), [goal]])
+                second = _second_moments(x, z, has_axes(m.family))
+                flat = np.concatenate([z.sum(0), (z.T @ x).ravel(), second.ravel(), [goal]])
                 sums[m.name] = sums[m.name] + flat if m.name in sums else flat
         if sums:
             yield pd.DataFrame({"model": list(sums), "sums": list(sums.values())})
@@ -96,15 +131,18 @@ def _pass(vectors: DataFrame, vec: str, models: Sequence[_Candidate]) -> dict[in
         .groupBy("model", "pos").agg(F.sum("value").alias("value")).toArrow()
     )
     name, pos, value = (rows.column(c).to_numpy() for c in ("model", "pos", "value"))
-    flats = {}
-    for m in models:
-        own = name == m.name
-        flats[m.name] = value[own][np.argsort(pos[own])]
+    order = np.lexsort((pos, name))
+    name, value = name[order], value[order]
     out = {}
     for m in models:
-        flat, k, p = flats[m.name], m.k, m.means.shape[1]
-        out[m.name] = (flat[:k], flat[k:k + k * p].reshape(k, p),
-                       flat[k + k * p:-1].reshape(k, p), flat[-1])
+        flat = value[np.searchsorted(name, m.name):np.searchsorted(name, m.name, "right")]
+        k, p = m.means.shape
+        second = flat[k + k * p:-1].reshape(k, -1)
+        if has_axes(m.family):
+            upper, half = np.triu_indices(p), second
+            second = np.empty((k, p, p))
+            second[:, upper[0], upper[1]] = second[:, upper[1], upper[0]] = half
+        out[m.name] = (flat[:k], flat[k:k + k * p].reshape(k, p), second, flat[-1])
     return out
 
 
@@ -171,29 +209,111 @@ def family_variances(family: str, size: np.ndarray, scatter: np.ndarray) -> np.n
     raise ValueError(f"unknown family: {family}")
 
 
-def family_parameters(family: str, k: int, p: int) -> int:
-    """Free parameters: means, weights and variances."""
-    spread = {"EII": 1, "VII": k, "EEI": p, "VEI": k + p - 1, "EVI": 1 + k * (p - 1), "VVI": k * p}
-    return k * p + (k - 1) + spread[family]
+def _common_axes(family: str, size: np.ndarray, scatter: np.ndarray,
+                 axes: np.ndarray) -> np.ndarray:
+    """Better common axes of clusters of different shapes.
+
+    Each step replaces the concave part of the criterion by its tangent, whose best axes follow
+    from a singular value decomposition, so that the likelihood never falls (Browne and McNicholas 2014).
+    """
+    largest = np.linalg.eigvalsh(scatter)[:, -1]
+    for _ in range(AXIS_STEPS):
+        along = np.einsum("ia,kij,ja->ka", axes, scatter, axes)
+        inverse = 1 / family_variances(family[:2] + "I", size, along)
+        tangent = (np.einsum("ka,ja,kji->ai", inverse, axes, scatter)
+                   - np.einsum("ka,ia,k->ai", inverse, axes, largest))
+        left, _, right = np.linalg.svd(tangent)
+        fresh = -(left @ right).T
+        moved = 1 - np.abs((fresh * axes).sum(0)).min()
+        axes = fresh
+        if moved < 1e-12:
+            break
+    return axes
 
 
-def _maximise(m: _Candidate, size, sums, squares) -> None:
-    with np.errstate(all="ignore"):
+def family_covariances(family: str, size: np.ndarray, scatter: np.ndarray,
+                       axes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Maximum-likelihood covariances of one family from the scatter matrices.
+
+    The second result holds the common axes of EVE and VVE, which take several passes to settle.
+    """
+    k, p, _ = scatter.shape
+    inner = family[:2] + "I"
+    if family[2] == "V":
+        along, own = np.linalg.eigh(scatter)
+        spread = family_variances(inner, size, along)
+        return np.einsum("kia,ka,kja->kij", own, spread, own), None
+    if family == "EEE":
+        return np.repeat((scatter.sum(0) / size.sum())[None], k, 0), None
+    if family == "VEE":
+        volume = np.trace(scatter, axis1=1, axis2=2) / (size * p)
+        shape = np.eye(p)
+        for _ in range(100):
+            raw = (scatter / volume[:, None, None]).sum(0)
+            fresh = raw / np.exp(np.linalg.slogdet(raw)[1] / p)
+            volume = np.einsum("kij,ji->k", scatter, np.linalg.inv(fresh)) / (size * p)
+            done = np.abs(fresh - shape).max() < 1e-8
+            shape = fresh
+            if done:
+                break
+        return volume[:, None, None] * shape, None
+    if family in COMMON_AXES:
+        if axes is None:
+            axes = np.linalg.eigh(scatter.sum(0))[1]
+        axes = _common_axes(family, size, scatter, axes)
+        along = np.einsum("ia,kij,ja->ka", axes, scatter, axes)
+        spread = family_variances(inner, size, along)
+        return np.einsum("ia,ka,ja->kij", axes, spread, axes), axes
+    raise ValueError(f"unknown family: {family}")
+
+
+def family_parameters(family: str, k: int, p: int) -> int:
+    """Free parameters: means, weights, volumes, shapes and axes."""
+    volume = 1 if family[0] == "E" else k
+    shape = {"I": 0, "E": p - 1, "V": k * (p - 1)}[family[1]]
+    axes = {"I": 0, "E": 1, "V": k}[family[2]] * p * (p - 1) // 2
+    return k * p + (k - 1) + volume + shape + axes
+
+
+def _usable(variances: np.ndarray) -> bool:
+    if not np.isfinite(variances).all():
+        return False
+    if variances.ndim == 2:
+        return bool(variances.min() > TINY)
+    values = np.linalg.eigvalsh(variances)
+    return bool((values[:, 0] > np.maximum(TINY, SINGULAR * values[:, -1])).all())
+
+
+def _maximise(m: _Candidate, size: np.ndarray, sums: np.ndarray, second: np.ndarray) -> None:
+    """New parameters from the sums of a pass; a cluster without members or spread ends the model."""
+    axes = variances = None
+    if size.min() > TINY:
         means = sums / size[:, None]
-        scatter = np.maximum(squares - size[:, None] * means * means, 0.0)
-        variances = family_variances(m.family, size, scatter)
-    if size.min() <= TINY or not np.isfinite(variances).all() or variances.min() <= TINY:
+        with np.errstate(all="ignore"):
+            try:
+                if has_axes(m.family):
+                    scatter = second - size[:, None, None] * means[:, :, None] * means[:, None, :]
+                    variances, axes = family_covariances(m.family, size, scatter, m.axes)
+                else:
+                    squares = second if second.ndim == 2 else np.diagonal(second, axis1=1, axis2=2)
+                    scatter = np.maximum(squares - size[:, None] * means * means, 0.0)
+                    variances = family_variances(m.family, size, scatter)
+            except np.linalg.LinAlgError:
+                variances = None
+    if variances is None or not _usable(variances):
         m.failed = m.done = True
         m.status, m.bic = "failed", -np.inf
         return
-    m.means, m.variances, m.weights = means, variances, size / size.sum()
+    m.means, m.variances, m.weights, m.axes = means, variances, size / size.sum(), axes
 
 
-def mixture_fits(vectors: DataFrame, ks: Sequence[int], families: Sequence[str] = FAMILIES,
+def mixture_fits(vectors: DataFrame, ks: Sequence[int], families: Sequence[str] | None = None,
                  n_start: int = 5, tol: float = 1e-5, max_iter: int = 500, seed: int = 42,
                  vec: str = "z") -> list[_Candidate]:
     """EM for every number of clusters and family, started from k-means partitions.
 
+    Without ``families`` all but those of common axes are fitted where there are more vectors than
+    bins, else the ones without covariances.
     Every asked number has its models in the result. ``status`` says what became of each: ok,
     failed, not converged (after ``max_iter`` passes) or fewer distinct vectors than clusters.
     """
@@ -204,6 +324,11 @@ def mixture_fits(vectors: DataFrame, ks: Sequence[int], families: Sequence[str]
     starts = [pool[rng.choice(len(pool), k, replace=False)] for k in ks for _ in range(n_start)]
     runs = _run_kmeans(vectors, vec, starts, 100)
     best = [min((r for r in runs if r.k == k), key=lambda r: r.goal) for k in ks]
+    if families is None:
+        bins = pool.shape[1] if len(pool) else 0
+        families = FAMILIES + FULL_FAMILIES if n > bins else FAMILIES
+    if any(map(has_axes, families)):
+        best = [replace(run, family="VVV") for run in best]
     hard = _pass(vectors, vec, best)
     models = []
     for run in best:
@@ -357,7 +482,11 @@ def train_assignments(points: DataFrame, model: ClusterModel, key: str = "file")
 
 def bin_predictions(points: DataFrame, model: ClusterModel, key: str = "file") -> DataFrame:
     """Observed and predicted delta of every file and bin."""
-    scored = file_vectors(points, model, key)
+    return predicted_bins(file_vectors(points, model, key), model, key)
+
+
+def predicted_bins(scored: DataFrame, model: ClusterModel, key: str = "file") -> DataFrame:
+    """The cells of files that are scored already."""
     cells = F.arrays_zip(F.col("vec").alias("y_bin"), F.col("pred").alias("y_pred"))
     return scored.select(key, "cluster", "cluster_type", F.posexplode(cells).alias("_i", "_c")).select(
         key, (F.col("_i") + 1).alias("bin"),
@@ -389,7 +518,7 @@ def save_model(spark: SparkSession, model: ClusterModel, folder: str) -> str:
 
     centers = [
         (i + 1, values(model.centers_s[i]), values(model.centers[i]),
-         values(None if model.variances is None else model.variances[i]),
+         values(None if model.variances is None else model.variances[i].ravel()),
          None if model.weights is None else float(model.weights[i]), model.types[i])
         for i in range(model.k)
     ]
@@ -405,9 +534,10 @@ def load_model(spark: SparkSession, path: str) -> ClusterModel:
     bins = spark.read.parquet(f"{path}/bins").sort("bin").collect()
     centers = spark.read.parquet(f"{path}/centers").sort("cluster").collect()
     soft = centers[0]["variance"] is not None
+    shape = (-1, meta["bins"], meta["bins"]) if has_axes(meta["family"]) else (-1, meta["bins"])
     return ClusterModel(
         meta["method"], meta["tau"], BinGrid(meta["bin_start"], meta["bin_width"], meta["bins"]),
         np.array([b["mean"] for b in bins]), np.array([b["sd"] for b in bins]),
         np.array([c["center_s"] for c in centers]), meta["family"],
-        np.array([c["variance"] for c in centers]) if soft else None,
+        np.array([c["variance"] for c in centers]).reshape(shape) if soft else None,
         np.array([c["weight"] for c in centers]) if soft else None)

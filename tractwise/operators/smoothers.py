@@ -154,6 +154,7 @@ def spline_fit(series: DataFrame, k_spline: int = K_SPLINE, smooth_k: int = SMOO
                     crit = np.full(len(rows), Z95)
                     if simultaneous:
                         crit = np.array([basis.simultaneous(w, draws, seed) for w in kept])
+                        crit[~np.isfinite(crit)] = Z95
                     low, high = fitted - crit * se, fitted + crit * se
                 except (ValueError, np.linalg.LinAlgError) as problem:
                     status = f"no fit: {problem}"

@@ -119,7 +119,8 @@ def read_batch(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     manifest = spark.read.parquet(f"{path}/manifest")
     last = manifest.orderBy(F.desc("at"), F.desc("batch")).select("batch").limit(1)
     found = manifest.join(last, "batch").select("name", "batch", "columns").collect()
-    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"')
+    # a quoted text may hold line ends; a file is what one task wrote, so it need not be split
+    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True)
     return {r["name"]: reader.schema(StructType.fromJson(json.loads(r["columns"]))).csv(f"{path}/batches/{r['batch']}/{r['name']}")
             for r in found}
 
