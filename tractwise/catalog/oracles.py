@@ -314,6 +314,41 @@ FROM grp_table"""
 
 PLAIN = "regexp_replace(base, '(.)\\.[^.]*$', '\\1')"
 
+def kmeans_steps(k: int, steps: int) -> str:
+    """CTEs c0 .. c<steps>: centres from the label means, one pass each; a<i> holds the members."""
+    text = f"c0 AS (SELECT label % {k} + 1 AS cluster, x, avg(delta) AS c FROM emb GROUP BY label % {k}, x)"
+    for i in range(steps):
+        text += f""",
+a{i} AS (SELECT vec_id, arg_min(cluster, (d, cluster)) AS cluster FROM (
+SELECT vec_id, cluster, sum((delta - c) * (delta - c)) AS d FROM emb JOIN c{i} USING (x) GROUP BY vec_id, cluster)
+GROUP BY vec_id),
+c{i + 1} AS (SELECT o.cluster, o.x, coalesce(n.c, o.c) AS c FROM c{i} o LEFT JOIN (
+SELECT cluster, x, avg(delta) AS c FROM emb JOIN a{i} USING (vec_id) GROUP BY cluster, x) n
+ON n.cluster = o.cluster AND n.x = o.x)"""
+    return text
+
+
+def mixture_steps(k: int, passes: int) -> str:
+    """CTEs z0 .. (memberships) and m0 .. m<passes> (weight, mean, variance) of one free variance per bin."""
+    text = kmeans_steps(k, 1) + """,
+z0 AS (SELECT vec_id, cluster, 1.0::DOUBLE AS z FROM a0)"""
+    for i in range(passes + 1):
+        text += f""",
+s{i} AS (SELECT cluster, sum(z) AS size FROM z{i} GROUP BY cluster),
+u{i} AS (SELECT cluster, x, sum(z * delta) / sum(z) AS mean FROM z{i} JOIN emb USING (vec_id) GROUP BY cluster, x),
+m{i} AS (SELECT cluster, x, any_value(size) / (SELECT sum(size) FROM s{i}) AS weight, any_value(mean) AS mean,
+sum(z * (delta - mean) * (delta - mean)) / any_value(size) AS variance
+FROM z{i} JOIN emb USING (vec_id) JOIN u{i} USING (cluster, x) JOIN s{i} USING (cluster) GROUP BY cluster, x)"""
+        if i < passes:
+            text += f""",
+l{i} AS (SELECT vec_id, cluster, ln(any_value(weight)) - 0.5 * sum(
+ln(2 * pi() * variance) + (delta - mean) * (delta - mean) / variance) AS l
+FROM emb JOIN m{i} USING (x) GROUP BY vec_id, cluster),
+e{i} AS (SELECT vec_id, cluster, exp(l - max(l) OVER (PARTITION BY vec_id)) AS e FROM l{i}),
+z{i + 1} AS (SELECT vec_id, cluster, e / sum(e) OVER (PARTITION BY vec_id) AS z FROM e{i})"""
+    return text
+
+
 ORACLES: dict[str, str] = {
     "read_histograms": f"""WITH {HIST}
 SELECT dataset, grp, dataset || '_' || grp || '_' || sample AS sample, pos, repeat_length, {r('reads')} FROM hist""",
@@ -394,6 +429,10 @@ FROM grp_table""",
     "within_error_sem": f"""WITH {GROUPS}
 SELECT dataset, x, {r('sqrt(p0 * p0 / (n_day0 + 1) + p1 * p1 / (n_treated + 1))', 'err_compat')},
 {r('sqrt(s0 * s0 / n_day0 + s1 * s1 / n_treated)', 'err')} FROM grp_table""",
+    "band_labels": f"""WITH {GROUPS}, band AS (
+SELECT dataset, x, delta, 1.96 * sqrt(p0 * p0 / (n_day0 + 1) + p1 * p1 / (n_treated + 1)) AS half FROM grp_table)
+SELECT dataset, x, {r('delta')}, CASE WHEN delta - half > 0.0075 THEN 'expansion'
+WHEN delta + half < -0.0075 THEN 'contraction' ELSE 'neutral' END AS label FROM band""",
     "between_set_error": f"WITH {SETS} SELECT pair, x, {rs('delta_1', 'delta_2', 'sd', 'sem')} FROM shared",
     "thin_series": f"""WITH {GROUPS}
 SELECT dataset, x, {r('delta')} FROM (
@@ -482,6 +521,10 @@ SELECT cluster, cluster_type, x, {r('c', 'value')} FROM centers JOIN types USING
 SELECT x, avg(delta) AS mu, stddev_samp(delta) AS sd FROM emb GROUP BY x),
 z AS (SELECT label, x, (delta - mu) / sd AS z FROM emb JOIN stats USING (x))
 SELECT label % 2 AS cluster, x, {r('avg(z)', 'value')} FROM z GROUP BY label % 2, x""",
+    "kmeans_steps": f"""WITH {EMB}, {kmeans_steps(3, 4)}
+SELECT CAST(cluster AS INT) AS cluster, CAST(x AS INT) AS x, {r('c', 'value')} FROM c4""",
+    "mixture_steps": f"""WITH {EMB}, {mixture_steps(3, 3)}
+SELECT CAST(cluster AS INT) AS cluster, CAST(x AS INT) AS x, {rs('weight', 'mean', 'variance')} FROM m3""",
     "nearest_centroid": f"WITH {SIDES} SELECT vec_id, {rs('d_exp', 'd_con', 'score')}, pred FROM predicted",
     "confusion_table": f"""WITH {SIDES}, classes AS (
 SELECT vec_id, {label('avg(delta)', 0.005)} AS true_label FROM emb GROUP BY vec_id),

@@ -244,6 +244,14 @@ def within_error_sem(spark, sf):
         "dataset", "x", r6("err_compat"), r6("err"))
 
 
+@query
+def band_labels(spark, sf):
+    """Label of every length by the 95 % band of its replicates."""
+    rows = delta.replicate_error(_groups(spark, sf), "sem")
+    low, high = (F.col("delta") - 1.96 * F.col("err"), F.col("delta") + 1.96 * F.col("err"))
+    return rows.select("dataset", "x", r6("delta"), col.band_label(low, high, SEGMENT_TAU).alias("label"))
+
+
 @query
 def between_set_error(spark, sf):
     sets = fx.with_sets(fx.deltas(spark, sf))
@@ -529,6 +537,30 @@ def kmeans_train(spark, sf):
     return clusters.train_assignments(points, clusters.train_model(points, "kmeans"))
 
 
+def _start_centers(spark, sf, k):
+    """Means of the vectors whose label leaves the same remainder, one per remainder."""
+    rows = centers.mean_vectors(fx.vectors(spark, sf).withColumn("cluster", F.col("label") % k))
+    return [r["center"] for r in rows.orderBy("cluster").collect()]
+
+
+@query
+def kmeans_steps(spark, sf):
+    """Centres after four passes from fixed starts."""
+    fit = clusters.kmeans_from(fx.vectors(spark, sf), _start_centers(spark, sf, 3), 4, "vec")
+    rows = [(i, x, float(v)) for i, c in enumerate(fit.means, 1) for x, v in enumerate(c)]
+    return spark.createDataFrame(rows, "cluster int, x int, value double").select("cluster", "x", r6("value"))
+
+
+@query
+def mixture_steps(spark, sf):
+    """Weights, means and variances after three passes of EM from fixed starts."""
+    fit = clusters.mixture_from(fx.vectors(spark, sf), _start_centers(spark, sf, 3), "VVI", 3, 0.0, "vec")
+    rows = [(i + 1, x, float(fit.weights[i]), float(fit.means[i, x]), float(fit.variances[i, x]))
+            for i in range(fit.k) for x in range(fit.means.shape[1])]
+    return spark.createDataFrame(rows, "cluster int, x int, weight double, mean double, variance double").select(
+        "cluster", "x", r6("weight"), r6("mean"), r6("variance"))
+
+
 @query
 def gmm_bic(spark, sf):
     vectors = bins.scale_vectors(*_emb_stats(spark, sf)).select("vec_id", "z")
@@ -588,7 +620,7 @@ def cluster_file_curves(spark, sf):
 
 @query
 def gmm_covariances(spark, sf):
-    """Every covariance family on the class-sized mixture, those of common axes by 40 passes."""
+    """Mixtures of 2 and 3 clusters in every family of whole covariances, 40 passes at most."""
     vectors = settle(bins.scale_vectors(*_emb_stats(spark, sf)).select("vec_id", "z"))
     families = clusters.FULL_FAMILIES + clusters.COMMON_AXES
     return clusters.bic_table(spark, clusters.mixture_fits(vectors, [2, 3], families, max_iter=40))

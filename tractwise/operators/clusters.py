@@ -307,31 +307,14 @@ def _maximise(m: _Candidate, size: np.ndarray, sums: np.ndarray, second: np.ndar
     m.means, m.variances, m.weights, m.axes = means, variances, size / size.sum(), axes
 
 
-def mixture_fits(vectors: DataFrame, ks: Sequence[int], families: Sequence[str] | None = None,
-                 n_start: int = 5, tol: float = 1e-5, max_iter: int = 500, seed: int = 42,
-                 vec: str = "z") -> list[_Candidate]:
-    """EM for every number of clusters and family, started from k-means partitions.
-
-    Without ``families`` all but those of common axes are fitted where there are more vectors than
-    bins, else the ones without covariances.
-    Every asked number has its models in the result. ``status`` says what became of each: ok,
-    failed, not converged (after ``max_iter`` passes) or fewer distinct vectors than clusters.
-    """
-    n, asked = vectors.count(), list(ks)
-    pool = _start_rows(vectors, vec, n_start * max(ks), seed)
-    ks = [k for k in asked if k <= len(pool)]
-    rng = np.random.default_rng(seed)
-    starts = [pool[rng.choice(len(pool), k, replace=False)] for k in ks for _ in range(n_start)]
-    runs = _run_kmeans(vectors, vec, starts, 100)
-    best = [min((r for r in runs if r.k == k), key=lambda r: r.goal) for k in ks]
-    if families is None:
-        bins = pool.shape[1] if len(pool) else 0
-        families = FAMILIES + FULL_FAMILIES if n > bins else FAMILIES
+def _grow(vectors: DataFrame, vec: str, partitions: Sequence[_Candidate], families: Sequence[str],
+          n: int, tol: float, max_iter: int) -> list[_Candidate]:
+    """EM of every family from the members of each partition, all models in the same passes."""
     if any(map(has_axes, families)):
-        best = [replace(run, family="VVV") for run in best]
-    hard = _pass(vectors, vec, best)
+        partitions = [replace(run, family="VVV") for run in partitions]
+    hard = _pass(vectors, vec, partitions)
     models = []
-    for run in best:
+    for run in partitions:
         for family in families:
             m = _Candidate(len(models), run.means.copy(), family)
             _maximise(m, *hard[run.name][:3])
@@ -342,7 +325,7 @@ def mixture_fits(vectors: DataFrame, ks: Sequence[int], families: Sequence[str]
             break
         found = _pass(vectors, vec, live)
         for m in live:
-            size, sums, squares, loglik = found[m.name]
+            size, sums, second, loglik = found[m.name]
             p = m.means.shape[1]
             m.history.append(loglik)
             if not np.isfinite(loglik):
@@ -355,10 +338,47 @@ def mixture_fits(vectors: DataFrame, ks: Sequence[int], families: Sequence[str]
                 m.goal = loglik
             else:
                 m.goal = loglik
-                _maximise(m, size, sums, squares)
+                _maximise(m, size, sums, second)
     for m in models:
         if not m.done:
             m.status = "not converged"
+    return models
+
+
+def kmeans_from(vectors: DataFrame, centers: np.ndarray, max_iter: int = MAX_ITER,
+                vec: str = "z") -> _Candidate:
+    """k-means from given centres; a centre without members stays where it is."""
+    return _run_kmeans(vectors, vec, [np.asarray(centers, dtype=float)], max_iter)[0]
+
+
+def mixture_from(vectors: DataFrame, centers: np.ndarray, family: str, max_iter: int = 500,
+                 tol: float = 1e-5, vec: str = "z") -> _Candidate:
+    """EM of one family, which starts with the members nearest to given centres."""
+    run = _Candidate(0, np.asarray(centers, dtype=float))
+    return _grow(vectors, vec, [run], [family], vectors.count(), tol, max_iter)[0]
+
+
+def mixture_fits(vectors: DataFrame, ks: Sequence[int], families: Sequence[str] | None = None,
+                 n_start: int = 5, tol: float = 1e-5, max_iter: int = 500, seed: int = 42,
+                 vec: str = "z") -> list[_Candidate]:
+    """EM for every number of clusters and family, started from k-means partitions.
+
+    Without ``families`` all but those of common axes are fitted where there are more vectors than
+    bins, else the ones without covariances.
+    Every asked number has its models in the result. ``status`` says what became of each: ok,
+    failed, not converged (after ``max_iter`` passes) or fewer distinct vectors than clusters.
+    """
+    n, asked = vectors.count(), list(ks)
+    pool = _start_rows(vectors, vec, n_start * max(ks), seed)
+    ks = [k for k in asked if k <= len(pool)]
+    rng = np.random.default_rng(seed)
+    starts = [pool[rng.choice(len(pool), k, replace=False)] for k in ks for _ in range(n_start)]
+    runs = _run_kmeans(vectors, vec, starts, 100)
+    best = [min((r for r in runs if r.k == k), key=lambda r: r.goal) for k in ks]
+    if families is None:
+        bins = pool.shape[1] if len(pool) else 0
+        families = FAMILIES + FULL_FAMILIES if n > bins else FAMILIES
+    models = _grow(vectors, vec, best, families, n, tol, max_iter)
     models += [_Candidate(-1, np.empty((k, 0)), family, done=True, failed=True,
                           status="fewer distinct vectors")
                for k in asked if k > len(pool) for family in families]
