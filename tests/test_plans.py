@@ -97,4 +97,4 @@ def test_no_valid_file_fails_in_the_plan(spark):
     with pytest.raises(Exception, match="No valid files"):
         delta.delta_table(junk, strict=True).collect()
     good = junk.withColumn("reads", junk.reads + junk.repeat_length)
-    assert delta.delta_table(good, strict=True).collect() == delta.delta_table(good).collect() != []
+    assert sorted(delta.delta_table(good, strict=True).collect()) == sorted(delta.delta_table(good).collect()) != []
