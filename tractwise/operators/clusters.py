@@ -12,10 +12,12 @@ all clusters, V varies, I stands for a sphere (shape) or for the axes of the bin
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -32,6 +34,10 @@ COMMON_AXES = ["EVE", "VVE"]
 TINY = np.finfo(float).eps
 #: A covariance whose smallest eigenvalue is below this share of the largest one is singular.
 SINGULAR = 1e-12
+#: Vectors in one partition of packed blocks, and in one step over a block, whose tables fit a processor's cache.
+PACKED_ROWS, STEP_ROWS = 1 << 16, 1024
+#: Numbers that the partitions of a pass may send to the driver; beyond it Spark adds them up.
+DIRECT_SUMS = 1 << 21
 #: Steps of the common axes (EVE, VVE) in one pass; the next pass goes on from there.
 AXIS_STEPS = 20
 
@@ -99,43 +105,115 @@ def _stack(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=float) for v in column])
 
 
+@contextmanager
+def _packed(vectors: DataFrame, vec: str) -> Iterator[DataFrame]:
+    """The vectors as blocks of raw doubles, which the executors keep while models are fitted.
+
+    A pass reads them without turning a list into a row or a row into a list.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                cells = batch.column(0)
+                if cells.null_count or len(cells.value_lengths().unique()) > 1:
+                    raise ValueError("vectors must have the same length")
+                values = cells.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                for part in np.array_split(values.reshape(batch.num_rows, -1), -(-batch.num_rows // 4096)):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([len(part)], pa.int64()), pa.array([part.tobytes()], pa.binary())],
+                        ["n", "block"])
+
+    parts = max(1, -(-vectors.count() // STEP_ROWS))
+    least = -(-parts * STEP_ROWS // PACKED_ROWS)
+    parts = max(least, min(parts, vectors.sparkSession.sparkContext.defaultParallelism))
+    blocks = vectors.select(F.col(vec).cast("array<double>").alias(vec)).repartition(parts).mapInArrow(
+        pack, "n long, block binary").persist(StorageLevel.MEMORY_AND_DISK)
+    blocks._parts = parts
+    try:
+        yield blocks
+    finally:
+        blocks.unpersist()
+
+
+def _steps(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[np.ndarray]:
+    for batch in batches:
+        for n, block in zip(batch.column("n").to_pylist(), batch.column("block")):
+            x = np.frombuffer(block.as_buffer(), dtype=np.float64).reshape(n, -1)
+            for i in range(0, n, rows):
+                yield x[i:i + rows]
+
+
 def _second_moments(x: np.ndarray, z: np.ndarray, whole: bool) -> np.ndarray:
     """Weighted sums of squares per cluster, or of the products of all pairs of bins."""
     if not whole:
         return z.T @ (x * x)
     upper = np.triu_indices(x.shape[1])
-    return np.stack([((x * w[:, None]).T @ x)[upper] for w in z.T])
+    roots = [x * w[:, None] for w in np.sqrt(z.T)]
+    return np.stack([(r.T @ r)[upper] for r in roots])
+
+
+def _nearest_sums(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Members and sums per centre, then the sum of squares, of every start (starts x k x bins)."""
+    many, k, p = centers.shape
+    flat = centers.reshape(many * k, p)
+    gap = ((flat * flat).sum(1)[:, None] / 2 - flat @ x.T).reshape(many, k, len(x))
+    best, own = gap[:, 0], np.zeros((many, len(x)), dtype=np.int32)
+    for c in range(1, k):
+        nearer = gap[:, c] < best
+        best, own = np.where(nearer, gap[:, c], best), np.where(nearer, np.int32(c), own)
+    onto = (own[:, None, :] == np.arange(k, dtype=np.int32)[None, :, None]).astype(float)
+    sums = onto.reshape(many * k, len(x)) @ x
+    goal = np.maximum(2 * best + (x * x).sum(1), 0.0).sum(1)
+    return np.concatenate([onto.sum(2), sums.reshape(many, k * p), goal[:, None]], 1)
+
+
+def _add_up(blocks: DataFrame, sums: dict[int, int], rows: int, step) -> dict[int, np.ndarray]:
+    """What ``step`` returns for every model of ``sums`` (its length), added over all blocks."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for x in _steps(batches, rows):
+            for name, flat in step(x):
+                total[name] = total[name] + flat if name in total else flat
+        if total:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.list_(pa.float64()))],
+                ["model", "sums"])
+
+    found = blocks.mapInArrow(partial, "model int, sums array<double>")
+    out = {name: np.zeros(length) for name, length in sums.items()}
+    if sum(sums.values()) * blocks._parts <= DIRECT_SUMS:
+        table = found.toArrow()
+        for name, flat in zip(table.column("model").to_pylist(), table.column("sums")):
+            out[name] += flat.values.to_numpy()
+        return out
+    # summed per position, so partial sums combine on the map side and no cell grows with the tasks
+    table = found.select("model", F.posexplode("sums").alias("pos", "value")).groupBy("model", "pos").agg(
+        F.sum("value").alias("value")).toArrow()
+    name, pos, value = (table.column(c).to_numpy() for c in ("model", "pos", "value"))
+    for m in out:
+        out[m][pos[name == m]] = value[name == m]
+    return out
 
 
-def _pass(vectors: DataFrame, vec: str, models: Sequence[_Candidate]) -> dict[int, tuple]:
+def _pass(blocks: DataFrame, models: Sequence[_Candidate]) -> dict[int, tuple]:
     """One scan: per model the member counts, sums, second moments and the objective."""
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            if batch.empty:
-                continue
-            x = _stack(batch[vec])
-            for m in models:
-                z, goal = responsibilities(x, m)
-                second = _second_moments(x, z, has_axes(m.family))
-                flat = np.concatenate([z.sum(0), (z.T @ x).ravel(), second.ravel(), [goal]])
-                sums[m.name] = sums[m.name] + flat if m.name in sums else flat
-        if sums:
-            yield pd.DataFrame({"model": list(sums), "sums": list(sums.values())})
+    def step(x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        for m in models:
+            z, goal = responsibilities(x, m)
+            second = _second_moments(x, z, has_axes(m.family))
+            yield m.name, np.concatenate([z.sum(0), (z.T @ x).ravel(), second.ravel(), [goal]])
 
-    # summed per position, so partial sums combine on the map side and no cell grows with the tasks
-    rows = (
-        vectors.select(vec).mapInPandas(partial, "model int, sums array<double>")
-        .select("model", F.posexplode("sums").alias("pos", "value"))
-        .groupBy("model", "pos").agg(F.sum("value").alias("value")).toArrow()
-    )
-    name, pos, value = (rows.column(c).to_numpy() for c in ("model", "pos", "value"))
-    order = np.lexsort((pos, name))
-    name, value = name[order], value[order]
+    lengths = {}
+    for m in models:
+        k, p = m.means.shape
+        lengths[m.name] = k + k * p + k * (p * (p + 1) // 2 if has_axes(m.family) else p) + 1
+    sums = _add_up(blocks, lengths, 4 * STEP_ROWS, step)
     out = {}
     for m in models:
-        flat = value[np.searchsorted(name, m.name):np.searchsorted(name, m.name, "right")]
+        flat = sums[m.name]
         k, p = m.means.shape
         second = flat[k + k * p:-1].reshape(k, -1)
         if has_axes(m.family):
@@ -146,6 +224,20 @@ def _pass(vectors: DataFrame, vec: str, models: Sequence[_Candidate]) -> dict[in
     return out
 
 
+def _means_pass(blocks: DataFrame, models: Sequence[_Candidate]) -> dict[int, tuple]:
+    """One scan of k-means: per start the member counts, sums and the sum of squares."""
+    groups = {k: [m for m in models if m.k == k] for k in {m.k for m in models}}
+    centers = {k: ([m.name for m in same], np.stack([m.means for m in same])) for k, same in groups.items()}
+
+    def step(x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        for names, means in centers.values():
+            yield from zip(names, _nearest_sums(x, means))
+
+    sums = _add_up(blocks, {m.name: m.means.size + m.k + 1 for m in models}, STEP_ROWS, step)
+    return {m.name: (sums[m.name][:m.k], sums[m.name][m.k:-1].reshape(m.means.shape), sums[m.name][-1])
+            for m in models}
+
+
 def _start_rows(vectors: DataFrame, vec: str, size: int, seed: int) -> np.ndarray:
     """A reproducible pool of start rows: the distinct vectors of smallest hashes, ``size`` at most."""
     order = F.xxhash64(F.col(vec), F.lit(seed))
@@ -153,15 +245,15 @@ def _start_rows(vectors: DataFrame, vec: str, size: int, seed: int) -> np.ndarra
     return np.array([r[vec] for r in rows], dtype=float)
 
 
-def _run_kmeans(vectors: DataFrame, vec: str, starts: list[np.ndarray], max_iter: int) -> list[_Candidate]:
+def _run_kmeans(blocks: DataFrame, starts: list[np.ndarray], max_iter: int) -> list[_Candidate]:
     models = [_Candidate(i, s.copy()) for i, s in enumerate(starts)]
     for _ in range(max_iter):
         live = [m for m in models if not m.done]
         if not live:
             break
-        found = _pass(vectors, vec, live)
+        found = _means_pass(blocks, live)
         for m in live:
-            size, sums, _, goal = found[m.name]
+            size, sums, goal = found[m.name]
             fresh = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], m.means)
             m.done = bool(np.abs(fresh - m.means).max() <= 1e-9)
             m.means, m.goal, m.weights = fresh, goal, None
@@ -177,7 +269,8 @@ def kmeans_fit(vectors: DataFrame, k: int = N_CLUSTERS, n_start: int = N_START,
         raise ValueError("more clusters than distinct vectors")
     rng = np.random.default_rng(seed)
     starts = [pool[rng.choice(len(pool), k, replace=False)] for _ in range(n_start)]
-    return min(_run_kmeans(vectors, vec, starts, max_iter), key=lambda m: m.goal)
+    with _packed(vectors, vec) as blocks:
+        return min(_run_kmeans(blocks, starts, max_iter), key=lambda m: m.goal)
 
 
 def family_variances(family: str, size: np.ndarray, scatter: np.ndarray) -> np.ndarray:
@@ -307,12 +400,12 @@ def _maximise(m: _Candidate, size: np.ndarray, sums: np.ndarray, second: np.ndar
     m.means, m.variances, m.weights, m.axes = means, variances, size / size.sum(), axes
 
 
-def _grow(vectors: DataFrame, vec: str, partitions: Sequence[_Candidate], families: Sequence[str],
+def _grow(blocks: DataFrame, partitions: Sequence[_Candidate], families: Sequence[str],
           n: int, tol: float, max_iter: int) -> list[_Candidate]:
     """EM of every family from the members of each partition, all models in the same passes."""
     if any(map(has_axes, families)):
         partitions = [replace(run, family="VVV") for run in partitions]
-    hard = _pass(vectors, vec, partitions)
+    hard = _pass(blocks, partitions)
     models = []
     for run in partitions:
         for family in families:
@@ -323,7 +416,7 @@ def _grow(vectors: DataFrame, vec: str, partitions: Sequence[_Candidate], famili
         live = [m for m in models if not m.done]
         if not live:
             break
-        found = _pass(vectors, vec, live)
+        found = _pass(blocks, live)
         for m in live:
             size, sums, second, loglik = found[m.name]
             p = m.means.shape[1]
@@ -348,14 +441,16 @@ def _grow(vectors: DataFrame, vec: str, partitions: Sequence[_Candidate], famili
 def kmeans_from(vectors: DataFrame, centers: np.ndarray, max_iter: int = MAX_ITER,
                 vec: str = "z") -> _Candidate:
     """k-means from given centres; a centre without members stays where it is."""
-    return _run_kmeans(vectors, vec, [np.asarray(centers, dtype=float)], max_iter)[0]
+    with _packed(vectors, vec) as blocks:
+        return _run_kmeans(blocks, [np.asarray(centers, dtype=float)], max_iter)[0]
 
 
 def mixture_from(vectors: DataFrame, centers: np.ndarray, family: str, max_iter: int = 500,
                  tol: float = 1e-5, vec: str = "z") -> _Candidate:
     """EM of one family, which starts with the members nearest to given centres."""
     run = _Candidate(0, np.asarray(centers, dtype=float))
-    return _grow(vectors, vec, [run], [family], vectors.count(), tol, max_iter)[0]
+    with _packed(vectors, vec) as blocks:
+        return _grow(blocks, [run], [family], vectors.count(), tol, max_iter)[0]
 
 
 def mixture_fits(vectors: DataFrame, ks: Sequence[int], families: Sequence[str] | None = None,
@@ -373,12 +468,13 @@ def mixture_fits(vectors: DataFrame, ks: Sequence[int], families: Sequence[str]
     ks = [k for k in asked if k <= len(pool)]
     rng = np.random.default_rng(seed)
     starts = [pool[rng.choice(len(pool), k, replace=False)] for k in ks for _ in range(n_start)]
-    runs = _run_kmeans(vectors, vec, starts, 100)
-    best = [min((r for r in runs if r.k == k), key=lambda r: r.goal) for k in ks]
     if families is None:
         bins = pool.shape[1] if len(pool) else 0
         families = FAMILIES + FULL_FAMILIES if n > bins else FAMILIES
-    models = _grow(vectors, vec, best, families, n, tol, max_iter)
+    with _packed(vectors, vec) as blocks:
+        runs = _run_kmeans(blocks, starts, 100)
+        best = [min((r for r in runs if r.k == k), key=lambda r: r.goal) for k in ks]
+        models = _grow(blocks, best, families, n, tol, max_iter)
     models += [_Candidate(-1, np.empty((k, 0)), family, done=True, failed=True,
                           status="fewer distinct vectors")
                for k in asked if k > len(pool) for family in families]
