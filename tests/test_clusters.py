@@ -375,3 +375,61 @@ def test_complete_linkage_order():
     x = np.array([0.0, 10.0, 1.0, 11.5, 4.0])  # (1, 3) at 1.5 is lower than ((0, 2), 4) at 4; in that, the point comes first
     assert complete_linkage_order(np.abs(x[:, None] - x)) == [1, 3, 4, 0, 2]
     assert complete_linkage_order(np.zeros((1, 1))) == [0] and complete_linkage_order(np.zeros((0, 0))) == []
+
+
+def test_a_pass_reads_packed_blocks_and_adds_what_rows_add(spark):
+    x = blobs(3, (900, 700, 500), 5)
+    centers = np.stack([x[:3], x[900:903], x[[0, 950, 1900]]])
+    with cl._packed(vectors(spark, x, "z"), "z") as blocks:
+        assert [f.name for f in blocks.schema] == ["n", "block"]
+        assert blocks.count() < 20 and blocks.agg(F.sum("n")).first()[0] == len(x)
+        models = [cl._Candidate(i, c) for i, c in enumerate(centers)]
+        found = cl._means_pass(blocks, models)
+        direct, cl.DIRECT_SUMS = cl.DIRECT_SUMS, 0
+        try:
+            added = cl._means_pass(blocks, models)
+        finally:
+            cl.DIRECT_SUMS = direct
+    for m in models:
+        gap = ((x[:, None] - m.means[None]) ** 2).sum(2)
+        onto = np.eye(3)[gap.argmin(1)]
+        for size, sums, goal in (found[m.name], added[m.name]):
+            assert (size == onto.sum(0)).all()
+            assert np.allclose(sums, onto.T @ x) and np.isclose(goal, gap.min(1).sum())
+
+
+def test_distances_keep_their_digits_far_from_the_middle():
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(40, 3)), 1e6 + rng.normal(size=(40, 3)), np.full((3, 3), 1e6)])
+    want = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    got = hi._distances(x, x, x.mean(0))
+    assert np.allclose(got, want, rtol=1e-9, atol=0) and (got[80:, 80:] == 0).all()
+
+
+def test_blocks_meet_once(spark):
+    x = np.random.default_rng(5).normal(size=(60, 3))
+
+    def compare(a, b):
+        return a.head(1)[["_a", "_b"]] if len(a) and len(b) else a.head(0)[["_a", "_b"]]
+
+    points = vectors(spark, x)
+    met = hi._block_pairs(points, ["id", "vec"], 60, 10, compare, "_a int, _b int").collect()
+    assert len(met) == len({frozenset((r["_a"], r["_b"])) for r in met}) == 21
+
+
+@pytest.mark.parametrize("single", [True, False])
+def test_nearest_partner_is_exact_among_equal_and_near_points(single):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.integers(0, 3, size=(700, 2)).astype(float), 1e5 + 1e-6 * rng.normal(size=(200, 2)),
+                        rng.normal(size=(300, 2))])
+    size = np.ones(len(x)) if single else rng.integers(1, 5, len(x)).astype(float)
+    order = rng.permutation(len(x))
+    parts = []
+    for ids in (order[:600], order[600:]):
+        parts.append(hi.pd.DataFrame({"id": ids, "vec": list(x[ids]), "size": size[ids]}))
+    found = hi._nearest_in_block(*parts).set_index("id")
+    for own, other in (parts, parts[::-1]):
+        ids, others = own["id"].to_numpy(), np.sort(other["id"].to_numpy())
+        cost = hi._ward_costs(x[ids], size[ids], x[others], size[others])
+        assert (found.loc[ids, "cost"] == cost.min(1)).all()
+        assert (found.loc[ids, "partner"] == others[cost.argmin(1)]).all()

@@ -17,18 +17,22 @@ from pyspark.sql import functions as F
 from tractwise.functions.ranks import hash_rank
 from tractwise.session import release, settle
 
-TILE = 256
+TILE = 512
+EPS = np.finfo(float).eps
 
 
 def _block_size(n: int) -> int:
     """Some sixteen blocks a side, none larger than one task holds with ease."""
-    return min(16384, max(1024, -(-n // 16)))
+    return min(32768, max(1024, -(-n // 16)))
 
 
 def _block_pairs(points: DataFrame, columns: list[str], n: int, block: int | None,
                  compare: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
                  schema: str, some: DataFrame | None = None) -> DataFrame:
-    """Run ``compare`` on every ordered pair of hash blocks; the first ones only hold ``some`` of the points, if given."""
+    """Run ``compare`` on every pair of hash blocks, once: it answers for the points of both.
+
+    With ``some`` of the points the first blocks only hold these, and the pairs are ordered.
+    """
     blocks = max(1, -(-n // (block or _block_size(n))))
     home = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
@@ -36,6 +40,8 @@ def _block_pairs(points: DataFrame, columns: list[str], n: int, block: int | Non
     part = base if some is None else some.select(*columns, home.alias("_home"))
     left = part.withColumn("_a", F.col("_home")).withColumn("_b", every)
     right = base.withColumn("_b", F.col("_home")).withColumn("_a", every)
+    if some is None:
+        left, right = left.filter("_a <= _b"), right.filter("_a <= _b")
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return compare(a, b)
@@ -56,6 +62,40 @@ def _square_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _distances(a: np.ndarray, b: np.ndarray, middle: np.ndarray) -> np.ndarray:
+    """Distances by a matrix product; where that loses digits, by differences."""
+    x, y = a - middle, b - middle
+    left, right = (x * x).sum(1), (y * y).sum(1)
+    square = left[:, None] - 2 * (x @ y.T)
+    square += right
+    # NaN and infinite cells are not above the limit either
+    i, j = np.nonzero(~(square > 1e-5 * left[:, None] + 1e-5 * right))
+    if len(i) * 16 > square.size:
+        square = _square_distances(a, b)
+    else:
+        square[i, j] = _pair_squares(a[i], b[j])
+    return np.sqrt(square, out=square)
+
+
+def _pair_squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Square distances of rows that stand side by side, summed as ``_square_distances`` does."""
+    out = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        gap = a[:, j] - b[:, j]
+        out += gap * gap
+    return out
+
+
+def _indicators(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    codes, names = pd.factorize(column)
+    return np.eye(len(names))[codes], names
+
+
+def _same_points(a: pd.DataFrame, b: pd.DataFrame) -> bool:
+    """Whether one block was held against itself: hash blocks share no id otherwise."""
+    return bool(a["_home"].iloc[0] == b["_home"].iloc[0])
+
+
 def silhouettes(points: DataFrame, id_col: str, cluster: str, vec: str,
                 block: int | None = None) -> DataFrame:
     """Silhouette width per point from Euclidean distances; needs 3 points and 2 clusters."""
@@ -73,21 +113,24 @@ def silhouettes(points: DataFrame, id_col: str, cluster: str, vec: str,
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"id": [], "cluster": [], "other": [], "total": []})
-        codes, names = pd.factorize(b["cluster"])
-        onto = np.eye(len(names))[codes]
         left, right = _matrix(a["vec"]), _matrix(b["vec"])
-        parts = []
+        (onto_a, names_a), (onto_b, names_b) = _indicators(a["cluster"]), _indicators(b["cluster"])
+        sums_a, sums_b = np.zeros((len(a), len(names_b))), np.zeros((len(b), len(names_a)))
+        middle = np.nan_to_num(left.mean(0))
         for i in range(0, len(a), TILE):
-            sums = np.zeros((min(TILE, len(a) - i), len(names)))
+            rows = slice(i, i + TILE)
             for j in range(0, len(b), TILE):
-                sums += np.sqrt(_square_distances(left[i:i + TILE], right[j:j + TILE])) @ onto[
-                    j:j + TILE]
-            parts.append(sums)
-        total = np.concatenate(parts)
-        return pd.DataFrame({
-            "id": np.repeat(a["id"].to_numpy(), len(names)),
-            "cluster": np.repeat(a["cluster"].to_numpy(), len(names)),
-            "other": np.tile(np.asarray(names), len(a)), "total": total.ravel()})
+                cols = slice(j, j + TILE)
+                far = _distances(left[rows], right[cols], middle)
+                sums_a[rows] += far @ onto_b[cols]
+                sums_b[cols] += far.T @ onto_a[rows]
+        # a block that meets itself has every ordered pair already
+        sides = [(a, names_b, sums_a)] if _same_points(a, b) else [(a, names_b, sums_a), (b, names_a, sums_b)]
+        return pd.concat([pd.DataFrame({
+            "id": np.repeat(own["id"].to_numpy(), len(names)),
+            "cluster": np.repeat(own["cluster"].to_numpy(), len(names)),
+            "other": np.tile(np.asarray(names), len(own)), "total": total.ravel()})
+            for own, names, total in sides])
 
     schema = f"id {id_type}, cluster {cl_type}, other {cl_type}, total double"
     partial = _block_pairs(base, ["id", "cluster", "vec"], n, block, compare, schema)
@@ -111,6 +154,26 @@ def _ward_costs(ca, na, cb, nb) -> np.ndarray:
                    / (na[:, None] + nb[None, :]))
 
 
+def _settle_rows(side: int, own: slice, other: slice, table: np.ndarray, rows: np.ndarray, limit: np.ndarray,
+                 best: list, who: list, ids: tuple, vecs: tuple, sizes: tuple) -> None:
+    """Costs by differences of the pairs that may hold a row's best partner; the first of the smallest wins."""
+    for at in range(0, len(rows), 64):
+        some = rows[at:at + 64]
+        near = table[some] <= limit[some, None]
+        if np.count_nonzero(near) * 16 > near.size:
+            near[:] = True
+        r, c = np.nonzero(near)
+        mine, theirs = some[r] + own.start, c + other.start
+        na, nb = sizes[side][mine], sizes[1 - side][theirs]
+        cost = np.sqrt(_pair_squares(vecs[side][mine], vecs[1 - side][theirs]) * (2 * na * nb) / (na + nb))
+        cost[ids[side][mine] == ids[1 - side][theirs]] = np.inf
+        order = np.lexsort((theirs, cost, mine))
+        first = order[np.unique(mine[order], return_index=True)[1]]
+        better = first[cost[first] < best[side][mine[first]]]
+        best[side][mine[better]] = cost[better]
+        who[side][mine[better]] = ids[1 - side][theirs[better]]
+
+
 def _nearest_in_block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
     """Best partner of every cluster of block a inside block b, and the other way round; ties go to the lower id."""
     if a.empty or b.empty:
@@ -121,18 +184,32 @@ def _nearest_in_block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
     na, nb = a["size"].to_numpy(float), b["size"].to_numpy(float)
     best = [np.full(len(ids), np.inf) for ids in (ida, idb)]
     who = [np.full(len(ids), -1, dtype=np.int64) for ids in (ida, idb)]
+    middle = np.nan_to_num(left.mean(0))
+    x, y = left - middle, right - middle
+    xx, yy = (x * x).sum(1), (y * y).sum(1)
+    # the product below is no larger than the square distance, whatever was rounded
+    slack = 8 * (x.shape[1] + 8) * EPS
+    x = np.column_stack([-2 * x, xx * (1 - slack), np.ones(len(x))])
+    y = np.column_stack([y, np.ones(len(y)), yy * (1 - slack)])
+    single = bool((na == 1).all() and (nb == 1).all())
     for i in range(0, len(a), TILE):
         rows = slice(i, i + TILE)
         for j in range(0, len(b), TILE):
             cols = slice(j, j + TILE)
-            cost = _ward_costs(left[rows], na[rows], right[cols], nb[cols])
-            cost[ida[rows, None] == idb[None, cols]] = np.inf
-            for side, (own, table, others) in enumerate(((rows, cost, idb[cols]), (cols, cost.T, ida[rows]))):
-                at = table.argmin(1)
-                value = table[np.arange(len(at)), at]
-                better = value < best[side][own]
-                best[side][own] = np.where(better, value, best[side][own])
-                who[side][own] = np.where(better, others[at], who[side][own])
+            least = x[rows] @ y[cols].T
+            error = 2 * slack * (xx[rows].max() + yy[cols].max())
+            if not single:
+                least *= na[rows, None] * (2 * nb[None, cols]) / (na[rows, None] + nb[None, cols])
+                error *= 2 * min(na[rows].max(), nb[cols].max())
+            if ida[rows][-1] >= idb[cols][0] and idb[cols][-1] >= ida[rows][0]:
+                least[ida[rows, None] == idb[None, cols]] = np.inf
+            for side, (own, other, table) in enumerate(((rows, cols, least), (cols, rows, least.T))):
+                floor = table.min(1)
+                limit = np.minimum(best[side][own] ** 2 * (1 + 1e-9), floor + error)
+                # nothing is nearer than 0
+                open_ = np.flatnonzero((floor <= limit) & (best[side][own] > 0))
+                if len(open_):
+                    _settle_rows(side, own, other, table, open_, limit, best, who, (ida, idb), (left, right), (na, nb))
     ids, partner, cost = np.concatenate([ida, idb]), np.concatenate(who), np.concatenate(best)
     found = partner >= 0
     return pd.DataFrame({"id": ids[found], "partner": partner[found], "cost": cost[found]})
