@@ -194,3 +194,20 @@ def test_repeated_lengths_do_not_multiply(spark):
     both = consensus(spline_fit(series), changepoint_labels(series))
     assert both.count() == len(rows)
     assert sorted(r["delta"] for r in both.filter("x = 7").collect()) == [0.07, 0.5]
+
+
+def test_series_are_fitted_in_bounded_pieces():
+    batch = sm.pd.DataFrame({"dataset": [f"s{i}" for i in range(600)]})
+    parts = list(sm._pieces(iter([batch, batch.head(3)])))
+    assert max(map(len, parts)) <= 256
+    assert [n for p in parts for n in p["dataset"]] == [*batch["dataset"], "s0", "s1", "s2"]
+
+
+def test_the_band_of_all_lengths_is_that_of_each_draw():
+    x = np.arange(40.0)
+    basis = sm.SplineBasis(x, 10)
+    kept = basis.fit(np.sin(x / 5)[:, None])[4][0]
+    normals = np.random.default_rng(1).standard_normal((2 + len(kept), 3000))
+    paths = basis.line @ normals[:2] + (basis.wave * np.sqrt(kept)) @ normals[2:]
+    scale = np.sqrt(basis.unit_variance(kept[None, :])[:, 0])
+    assert np.isclose(basis.simultaneous(kept, normals), np.quantile(np.abs(paths / scale[:, None]).max(0), 0.95))

@@ -18,6 +18,8 @@ from tractwise.operators.series import rolling_mean, smooth
 from tractwise.params import K_SPLINE, MAX_LENGTH, SEGMENT_TAU, SMOOTH_K
 
 Z95 = 1.959963984540054  # 97.5 % quantile of the standard normal
+#: Series of one batch that are worked on at once, which bounds a task's tables.
+AT_ONCE = 256
 
 
 def basis_size(n: int, k_spline: int = K_SPLINE) -> int:
@@ -91,13 +93,18 @@ class SplineBasis:
     def unit_variance(self, kept: np.ndarray) -> np.ndarray:
         return (self.line ** 2).sum(1)[:, None] + (self.wave ** 2) @ kept.T
 
-    def simultaneous(self, kept: np.ndarray, draws: int, seed: int) -> float:
-        """95 % quantile of the largest standardised deviation over the lengths of one series."""
-        rng = np.random.default_rng(seed)
-        paths = self.line @ rng.standard_normal((2, draws))
-        paths += (self.wave * np.sqrt(kept)) @ rng.standard_normal((len(kept), draws))
+    def simultaneous(self, kept: np.ndarray, normals: np.ndarray) -> float:
+        """95 % quantile of the largest standardised deviation over the lengths of one series.
+
+        ``normals`` has a row for each column of the line and the waves, and a column for each draw.
+        """
         scale = np.sqrt(self.unit_variance(kept[None, :])[:, 0])
-        return float(np.quantile(np.abs(paths / scale[:, None]).max(0), 0.95))
+        weights = np.column_stack([self.line, self.wave * np.sqrt(kept)]) / scale[:, None]
+        largest = np.empty(normals.shape[1])
+        for i in range(0, len(largest), 1024):
+            paths = weights @ normals[:, i:i + 1024]
+            largest[i:i + 1024] = np.maximum(paths.max(0), -paths.min(0))
+        return float(np.quantile(largest, 0.95))
 
 
 def _series_arrays(series: DataFrame, *values: str) -> DataFrame:
@@ -106,6 +113,12 @@ def _series_arrays(series: DataFrame, *values: str) -> DataFrame:
     return packed.select("dataset", *[F.col(f"_p.{c}").alias(c) for c in ("x", *values)])
 
 
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for i in range(0, len(batch), AT_ONCE):
+            yield batch.iloc[i:i + AT_ONCE]
+
+
 def _same_lengths(batch: pd.DataFrame) -> Iterator[tuple[np.ndarray, list[int]]]:
     groups: dict[bytes, list[int]] = {}
     lengths = [np.asarray(x, dtype=float) for x in batch["x"]]
@@ -134,7 +147,8 @@ def spline_fit(series: DataFrame, k_spline: int = K_SPLINE, smooth_k: int = SMOO
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bases: dict[bytes, SplineBasis] = {}
-        for batch in batches:
+        normals: dict[int, np.ndarray] = {}
+        for batch in _pieces(batches):
             parts = []
             for x, rows in _same_lengths(batch):
                 raw = np.column_stack([np.asarray(batch["delta"].iloc[i], float) for i in rows])
@@ -153,17 +167,23 @@ def spline_fit(series: DataFrame, k_spline: int = K_SPLINE, smooth_k: int = SMOO
                     fitted, se, edf, lam, kept = basis.fit(y)
                     crit = np.full(len(rows), Z95)
                     if simultaneous:
-                        crit = np.array([basis.simultaneous(w, draws, seed) for w in kept])
+                        waves = kept.shape[1]
+                        if waves not in normals:
+                            rng = np.random.default_rng(seed)
+                            normals.clear()
+                            normals[waves] = np.vstack([rng.standard_normal((2, draws)), rng.standard_normal((waves, draws))])
+                        crit = np.array([basis.simultaneous(w, normals[waves]) for w in kept])
                         crit[~np.isfinite(crit)] = Z95
                     low, high = fitted - crit * se, fitted + crit * se
                 except (ValueError, np.linalg.LinAlgError) as problem:
                     status = f"no fit: {problem}"
-                for c, i in enumerate(rows):
-                    parts.append(pd.DataFrame({
-                        "dataset": batch["dataset"].iloc[i], "x": x, "copy": _copies(x), "delta": raw[:, c],
-                        "yf": y[:, c], "fit": fitted[:, c], "se": se[:, c], "lower": low[:, c],
-                        "upper": high[:, c], "k_spline": k, "edf": edf[c], "log_lambda": lam[c],
-                        "status": status}))
+                times = len(rows)
+                parts.append(pd.DataFrame({
+                    "dataset": np.repeat(batch["dataset"].to_numpy()[rows], len(x)), "x": np.tile(x, times),
+                    "copy": np.tile(_copies(x), times), "delta": raw.T.ravel(), "yf": y.T.ravel(),
+                    "fit": fitted.T.ravel(), "se": se.T.ravel(), "lower": low.T.ravel(), "upper": high.T.ravel(),
+                    "k_spline": k, "edf": np.repeat(edf, len(x)), "log_lambda": np.repeat(lam, len(x)),
+                    "status": status}))
             if parts:
                 yield pd.concat(parts)
 
@@ -226,7 +246,7 @@ def changepoint_labels(series: DataFrame, tau: float = SEGMENT_TAU, smooth_k: in
     """
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _pieces(batches):
             parts = []
             sizes: dict[int, list[int]] = {}
             for i, x in enumerate(batch["x"]):
