@@ -189,6 +189,24 @@ def test_common_substrings_are_dealt_by_their_windows(spark, monkeypatch):
         assert most.pop() <= hot and taken.pop() > 0
 
 
+def test_short_texts_are_searched_many_at_a_time(monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = [bytes(rng.integers(97, 100, n).astype(np.uint8)) for n in (0, 99, 100, 101, 300, 5000, 100, 700, 64, *rng.integers(100, 400, 200))]
+    calls, doubled = [], substrings.doubled
+    monkeypatch.setattr(substrings, "doubled", lambda text: calls.append(len(text)) or doubled(text))
+    found = list(zip(*(c.tolist() for c in substrings.runs_of(texts))))
+    assert len(calls) <= 3
+    monkeypatch.setattr(substrings, "CHUNK", 64)  # long texts piece by piece
+    cut = list(zip(*(c.tolist() for c in substrings.runs_of(texts))))
+    windows = []
+    for runs in (found, cut):
+        windows.append([(i, w, anchor) for i, _, _, first, n, anchor in runs for w in range(first, first + n)])
+    assert windows[0] == windows[1]
+    assert [x[:2] for x in windows[0]] == [(i, w) for i, t in enumerate(texts) for w in range(len(t) - 99)]
+    alone = [(i, *(int(c[k]) for c in own)) for i, t in enumerate(texts) for own in [substrings.runs_of([t])[1:]] for k in range(len(own[0]))]
+    assert alone == cut
+
+
 def test_suffix_sort_is_a_sort():
     rng = np.random.default_rng(3)
     flat = rng.integers(97, 99, 600).astype(np.uint8)

@@ -24,6 +24,7 @@ GRAM = 32  # bytes of an anchor
 SPAN = LENGTH - GRAM + 1  # anchors that a window can choose from
 BASE = 0x9E3779B97F4A7C15
 CHUNK = 1 << 20  # windows of a long text that are looked at at a time
+JOINED = 1 << 16  # bytes of short texts that are looked at at a time, so that they stay in the processor's cache
 HOT = 1 << 18  # windows around one 64-byte string that one task sorts; those of more are dealt by their own bytes
 LAST = 2 ** 63 - 1  # stands for a missing id, which comes last
 
@@ -56,31 +57,53 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[:n], left[width - 1:width - 1 + n])
 
 
-def runs_of(text: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(hash of the anchor, hash of the surroundings, first window, number of windows, anchor) of every run."""
-    out = []
-    total = len(text) - LENGTH + 1
-    for begin in range(0, total, CHUNK):
-        # Runs at the border of a chunk are cut there; that only makes them shorter.
-        part = text[begin:min(begin + CHUNK, total) + LENGTH - 1]
-        short, wide = doubled(part)
-        scrambled = mix(short)
-        places = np.arange(len(short), dtype=np.uint64)
-        least = sliding_least(scrambled >> np.uint64(24) << np.uint64(24) | places, SPAN)
-        anchor = (least & np.uint64((1 << 24) - 1)).astype(np.int64)
-        first = np.flatnonzero(np.diff(anchor, prepend=-1))
-        last = np.append(first[1:], len(anchor)) - 1
-        own = anchor[first]
-        size = last - first + LENGTH
-        around = mix(wide[first]) + mix(wide[first + np.minimum(64, size - 64)] + np.uint64(1)) * np.uint64(3)
-        around = mix(around + mix(wide[last + LENGTH - 64] + np.uint64(2)) * np.uint64(5))
-        around = mix(around + (size * 256 + own - first).astype(np.uint64) * np.uint64(BASE))
-        out.append((scrambled[own], around, first + begin, last - first + 1, own + begin))
+def runs_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(number of the text, hash of the anchor, hash of the surroundings, first window, number of windows, anchor) of every run.
+
+    Short texts are looked at many at a time, long ones piece by piece.
+    """
+    pieces = []  # runs at the border of a piece are cut there; that only makes them shorter
+    for i, raw in enumerate(texts):
+        total = len(raw) - LENGTH + 1
+        pieces += [(i, begin, raw[begin:min(begin + CHUNK, total) + LENGTH - 1]) for begin in range(0, total, CHUNK)]
+    out, at = [], 0
+    while at < len(pieces):
+        end, held = at, 0
+        while end < len(pieces) and (end == at or held + len(pieces[end][2]) <= JOINED):
+            held += len(pieces[end][2])
+            end += 1
+        owner, begin, raw = zip(*pieces[at:end])
+        starts = np.cumsum([0, *map(len, raw[:-1])])
+        gram, around, first, n, anchor = _runs_in(np.frombuffer(b"".join(raw), np.uint8), starts)
+        piece = np.searchsorted(starts, first, "right") - 1
+        moved = (np.array(begin) - starts)[piece]
+        out.append((np.array(owner)[piece], gram, around, first + moved, n, anchor + moved))
+        at = end
     if not out:
-        return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3
+        return (np.zeros(0, np.int64),) + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def _runs_in(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The runs of the pieces, of ``LENGTH`` bytes at least, that begin at ``starts``; none has a window over two pieces."""
+    short, wide = doubled(text)
+    scrambled = mix(short)
+    places = np.arange(len(short), dtype=np.uint64)
+    least = sliding_least(scrambled >> np.uint64(24) << np.uint64(24) | places, SPAN)
+    anchor = (least & np.uint64((1 << 24) - 1)).astype(np.int64)
+    anchor[(starts[1:, None] - np.arange(1, LENGTH)).ravel()] = -1
+    first = np.flatnonzero(np.diff(anchor, prepend=-2))
+    last = np.append(first[1:], len(anchor)) - 1
+    inside = anchor[first] >= 0
+    first, last = first[inside], last[inside]
+    own = anchor[first]
+    size = last - first + LENGTH
+    around = mix(wide[first]) + mix(wide[first + np.minimum(64, size - 64)] + np.uint64(1)) * np.uint64(3)
+    around = mix(around + mix(wide[last + LENGTH - 64] + np.uint64(2)) * np.uint64(5))
+    around = mix(around + (size * 256 + own - first).astype(np.uint64) * np.uint64(BASE))
+    return scrambled[own], around, first, last - first + 1, own
+
+
 def _ids(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"),
                        F.col("text").cast("string").alias("text"))
@@ -92,14 +115,15 @@ def anchors(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, held = [], 0
-            ids = batch.column(0).to_pylist()
-            for i, raw in enumerate(text_bytes(batch.column(1))):
-                gram, around, first, n, _ = runs_of(np.frombuffer(raw, np.uint8))
-                if not len(gram):
-                    continue
-                repeat = np.ones(len(gram), bool)
-                repeat[np.unique(around ^ (gram * np.uint64(3)), return_index=True)[1]] = False
-                rows.append((np.full(len(gram), ids[i]), gram.view(np.int64), around.view(np.int64), first, n, repeat))
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                own, gram, around, first, n, _ = runs_of(text_bytes(part.column(1)))
+                marks = around ^ (gram * np.uint64(3))
+                order = np.argsort(marks, kind="stable")  # equal ones of a text stay beside one another, in its order
+                marks, texts = marks[order], own[order]
+                repeat = np.zeros(len(own), bool)
+                repeat[order[1:]] = (marks[1:] == marks[:-1]) & (texts[1:] == texts[:-1])
+                rows.append((part.column(0).to_numpy()[own], gram.view(np.int64), around.view(np.int64), first, n, repeat))
                 held += len(gram)
                 if held > 200_000:
                     yield _runs(rows)
@@ -135,32 +159,37 @@ def contexts(docs: DataFrame, runs: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                rows = []
-                for doc, raw, starts in zip(part.column(0).to_pylist(), text_bytes(part.column(1)), part.column(2).to_pylist()):
-                    text = np.frombuffer(raw, np.uint8)
-                    _, _, first, n, anchor = runs_of(text)
-                    own = np.flatnonzero(np.isin(first, np.array(starts)))
-                    for r in own.tolist():
-                        a, b, p = int(first[r]), int(first[r] + n[r]), int(anchor[r])
-                        middle = max(a, min(b, p - GRAM + 1))
-                        for x, y, key in ((a, middle, p - GRAM), (middle, b, p)):
-                            if y > x:
-                                rows.append((raw[key:key + 64], doc, x, p - x, y - x, raw[x:y + LENGTH - 1]))
-                keys = np.array([hash_bytes(r[0]) for r in rows], np.uint64).view(np.int64)
-                columns = [list(c) for c in zip(*rows)] if rows else [[] for _ in range(6)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys)] + [pa.array(c, k) for c, k in zip(
-                    columns[1:], (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))],
+                ids, raw, wanted = part.column(0).to_numpy(), text_bytes(part.column(1)), part.column(2)
+                own, _, _, first, n, anchor = runs_of(raw)
+                place = own << 40 | first
+                asked = np.repeat(np.arange(len(raw)), wanted.value_lengths().to_numpy()) << 40 | wanted.flatten().to_numpy()
+                found = np.searchsorted(place, asked)
+                found = np.unique(found[(found < len(place)) & (place[np.minimum(found, len(place) - 1)] == asked)]) if len(place) else found[:0]
+                own, a, p = own[found], first[found], anchor[found]
+                b = a + n[found]
+                middle = np.maximum(a, np.minimum(b, p - GRAM + 1))
+                own, p, x, y, key = (np.concatenate(c) for c in ((own, own), (p, p), (a, middle), (middle, b), (p - GRAM, p)))
+                full = y > x
+                own, p, x, y, key = (c[full] for c in (own, p, x, y, key))
+                begins = np.cumsum([0, *map(len, raw)])
+                flat = np.frombuffer(b"".join(raw), np.uint8)
+                strings = np.lib.stride_tricks.sliding_window_view(flat, 64)[begins[own] + key] if len(own) else np.zeros((0, 64), np.uint8)
+                held = [raw[i][c:d] for i, c, d in zip(own.tolist(), x.tolist(), (y + LENGTH - 1).tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(hash_rows(strings).view(np.int64)), pa.array(ids[own]), pa.array(x), pa.array((p - x).astype(np.int32)),
+                     pa.array((y - x).astype(np.int32)), pa.array(held, pa.binary())],
                     names=["side", "doc_id", "start", "shift", "n", "bytes"])
 
     near = _ids(docs).withColumn("h", F.xxhash64("doc_id")).mapInArrow(prune, "doc_id long, text string")
     return near.join(grouped, "doc_id").select("doc_id", "text", "starts").mapInArrow(run, CONTEXTS)
 
 
-def hash_bytes(raw: bytes) -> int:
-    out = 0
-    for word in np.frombuffer(raw, "<u8").tolist():
-        out = (out ^ word) * BASE & 0xFFFFFFFFFFFFFFFF
-        out ^= out >> 29
+def hash_rows(strings: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row of 64 bytes."""
+    out = np.zeros(len(strings), np.uint64)
+    for word in np.ascontiguousarray(strings).view("<u8").T:
+        out = (out ^ word) * np.uint64(BASE)
+        out ^= out >> np.uint64(29)
     return out
 
 
@@ -181,16 +210,18 @@ class HashedText:
 
     def common(self, i: np.ndarray, j: np.ndarray, most: int) -> np.ndarray:
         """Length of the longest common prefix of the suffixes from i and j, ``most`` at most."""
-        low, high = np.zeros(len(i), np.int64), np.full(len(i), most, np.int64)
+        out = np.full(len(i), most, np.int64)
         pi, pj, si, sj = self.powers[i], self.powers[j], self.sums[i], self.sums[j]
-        while True:
-            open_ = low < high
-            if not open_.any():
-                return low
+        rest = np.flatnonzero((self.sums[i + most] - si) * pj != (self.sums[j + most] - sj) * pi)
+        i, j, pi, pj, si, sj = (c[rest] for c in (i, j, pi, pj, si, sj))
+        low, high = np.zeros(len(i), np.int64), np.full(len(i), most - 1, np.int64)
+        while (low < high).any():
             middle = (low + high + 1) // 2
             same = (self.sums[i + middle] - si) * pj == (self.sums[j + middle] - sj) * pi
             low = np.where(same, middle, low)
             high = np.where(same, high, middle - 1)
+        out[rest] = low
+        return out
 
     def less(self, i: np.ndarray, j: np.ndarray, most: int) -> np.ndarray:
         """Whether the suffix from i comes before the one from j; equal ones don't."""
@@ -258,8 +289,8 @@ def repeats_in(side: np.ndarray, doc: np.ndarray, start: np.ndarray, shift: np.n
     for at in range(0, len(beside), 100_000):  # bounds the bytes that are compared at a time
         b = beside[at:at + 100_000]
         b = b[text.common(places[b], places[b + 1], LENGTH) == LENGTH]
-        rows = np.arange(LENGTH)
-        fine = (flat[places[b][:, None] + rows] == flat[places[b + 1][:, None] + rows]).all(axis=1)
+        windows = np.lib.stride_tricks.sliding_window_view(flat, LENGTH)
+        fine = (windows[places[b]] == windows[places[b + 1]]).all(axis=1)
         if not fine.all():
             raise ValueError("hashes of different strings are equal; choose another base")
         same[b + 1] = True
@@ -417,13 +448,14 @@ def dedup_substrings(docs: DataFrame, hot: int = HOT) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 rows = []
-                for doc, raw, own in zip(part.column(0).to_pylist(), text_bytes(part.column(1)), part.column(2)):
-                    out, last, gone, spans = [], 0, 0, 0
-                    for a, b in _merged(own.as_py() or []):
+                cuts, begin, end = _merged(part.column(2))
+                for i, (doc, raw) in enumerate(zip(part.column(0).to_pylist(), text_bytes(part.column(1)))):
+                    out, last, gone = [], 0, 0
+                    for a, b in zip(begin[cuts[i]:cuts[i + 1]], end[cuts[i]:cuts[i + 1]]):
                         out.append(raw[last:a])
-                        gone, spans, last = gone + b - a, spans + 1, b
+                        gone, last = gone + b - a, b
                     out.append(raw[last:])
-                    rows.append((None if doc == LAST else doc, len(raw), gone, spans, b"".join(out)))
+                    rows.append((None if doc == LAST else doc, len(raw), gone, cuts[i + 1] - cuts[i], b"".join(out)))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(
                     zip(*rows), (*[pa.int64()] * 4, pa.binary()))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
@@ -433,16 +465,16 @@ def dedup_substrings(docs: DataFrame, hot: int = HOT) -> DataFrame:
     return changed.mapInArrow(cut, CUT).unionByName(same.mapInArrow(cut, CUT))
 
 
-def _merged(runs: list[dict]) -> list[tuple[int, int]]:
-    """Runs of removed bytes."""
-    out: list[tuple[int, int]] = []
-    for r in runs:
-        a, b = r["start"], r["start"] + r["n"] + LENGTH - 1
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+def _merged(runs: pa.ListArray) -> tuple[list[int], list[int], list[int]]:
+    """Runs of removed bytes of all texts: the first of each text (and their number), where they begin, where they end."""
+    own = np.repeat(np.arange(len(runs)), runs.value_lengths().fill_null(0).to_numpy())
+    flat = runs.flatten()
+    start, n = (flat.field(k).to_numpy() for k in ("start", "n"))
+    reach = np.maximum.accumulate((own << 40) + start + n + LENGTH - 1)  # the texts before one reach less far than it begins
+    first = np.flatnonzero((own << 40) + start > np.append(-1, reach[:-1])) if len(own) else own
+    last = np.append(first[1:], len(own))[:len(first)] - 1
+    cuts = np.searchsorted(own[first], np.arange(len(runs) + 1))
+    return cuts.tolist(), start[first].tolist(), (reach[last] - (own[last] << 40)).tolist()
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
