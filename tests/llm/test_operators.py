@@ -127,6 +127,40 @@ def test_ngram_components(docs, none):
     assert ngram_join.one_of_each(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("words, least, changed, find", [(4, 85, 3, ngram_join.link)])
+def test_buckets_of_one_first_document_are_held_once(spark, monkeypatch, words, least, changed, find):
+    rng = np.random.default_rng(4)
+    base, texts = [f"w{x}" for x in rng.integers(0, 10 ** 6, 200)], []
+    for i in range(48):
+        text = list(base)
+        for k, at in enumerate(rng.permutation(200)[:changed]):
+            text[at] = f"n{i}o{k}"
+        texts.append(text)
+    sets = [{tuple(t[i:i + words]) for i in range(len(t) - words + 1)} for t in texts]
+    label = list(range(len(sets)))
+    for _ in sets:
+        for a in range(len(sets)):
+            for b in range(len(sets)):
+                both = len(sets[a] & sets[b])
+                if 100 * both >= least * (len(sets[a]) + len(sets[b]) - both):
+                    label[a] = label[b] = min(label[a], label[b])
+    assert len(set(label)) > 4
+    held, spread = [], ngram_join.spread_blocks
+    monkeypatch.setattr(ngram_join, "spread_blocks", lambda rows: held.append(rows.count()) or spread(rows))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in find(docs).collect()}
+    assert found == {i: (len(s), label[i]) for i, s in enumerate(sets)}
+    assert 0 < max(held) <= 5 * len(texts)
+
+
+def test_large_buckets_of_one_first_document_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "GROUP", 4)
+    rows = [(k, d, 0) for k in range(4) for d in (0, *range(1 + 4 * k, 5 + 4 * k))] + [(k, d, 50) for k in (7, 8) for d in (50, 51, 52)]
+    found = [tuple(r) for r in ngram_join.joined_buckets(spark.createDataFrame(rows, "key long, doc_id long, first long")).collect()]
+    assert sorted(x for x in found if x[1] < 50) == [r[:2] for r in rows if 0 < r[1] < 50]
+    assert sorted(d for _, d in found if d > 50) == [51, 52] and len({k for k, d in found if d > 50}) == 1
+
+
 def test_segments_of_similar_sets_meet():
     rng, bands = np.random.default_rng(2), ngram_join.Bands()
     for size in (1, 2, 6, 7, 9, 30, 100, 700, 3000):

@@ -384,6 +384,25 @@ def short_codes(table: DataFrame) -> DataFrame:
     return table.select("doc_id", "n_shingles", "sketch").mapInArrow(run, "doc_id long, n_shingles long, sketch binary")
 
 
+def joined_buckets(rows: DataFrame) -> DataFrame:
+    """key and doc_id of the rows of key, doc_id and first, without the first ones; the buckets of one first document are one.
+
+    Near copies share most of their keys, and so the first document of their buckets: as one bucket
+    they are rows of it once, not once for each key. Documents that shared a key still share one.
+    Buckets stay apart where that takes fewer rows, as a bucket of many blocks is copied for each of them.
+    """
+    rest = rows.filter("doc_id <> first")
+    cost = F.sum(F.col("c") * F.ceil(F.col("c") / GROUP))
+    once = rest.select("first", "doc_id").distinct()
+    together = once.groupBy("first").agg(F.count("*").alias("c")).select("first", (F.col("c") * F.ceil(F.col("c") / GROUP)).alias("one"))
+    apart = rest.groupBy("first", "key").agg(F.count("*").alias("c")).groupBy("first").agg(cost.alias("all"))
+    kinds = settle(together.join(apart, "first").select("first", (F.col("one") <= F.col("all")).alias("join")))
+    one = once.join(kinds.filter("join"), "first", "left_semi").select(F.xxhash64("first").alias("key"), "doc_id")
+    out = settle(one.unionByName(rest.join(kinds.filter("NOT join"), "first", "left_semi").select("key", "doc_id")))
+    release(kinds)
+    return out
+
+
 def mixed_buckets(placed: DataFrame) -> DataFrame:
     """Those rows of key, doc_id and component whose key has several components; of keys with the same members, one.
 
@@ -513,7 +532,7 @@ def linked(docs: DataFrame, keys_of: Callable[[list[np.ndarray]], list[np.ndarra
     release(sets, near, verified)
 
     codes, tried, limit = settle(short_codes(known)), None, 4
-    open_ = rows.filter("doc_id <> first").select("key", "doc_id")  # each key's first has met all others already
+    open_ = joined_buckets(rows)  # each key's first has met all others already
     while True:
         placed = open_.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
             "component", F.coalesce("component", "doc_id"))
