@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tractwise.llm import (components, decontaminate, lines, nearest, ngram_join, packing, records, rules, secret_scan,
-                           substrings, tokens, urls)
+from tractwise.llm import (components, decontaminate, lines, minhash, nearest, ngram_join, packing, records, rules,
+                           secret_scan, substrings, tokens, urls)
 from tractwise.session import scratch_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, start long, hits string"
@@ -127,7 +127,7 @@ def test_ngram_components(docs, none):
     assert ngram_join.one_of_each(docs).columns == docs.columns
 
 
-@pytest.mark.parametrize("words, least, changed, find", [(4, 85, 3, ngram_join.link)])
+@pytest.mark.parametrize("words, least, changed, find", [(4, 85, 3, ngram_join.link), (2, 80, 7, minhash.near_duplicates)])
 def test_buckets_of_one_first_document_are_held_once(spark, monkeypatch, words, least, changed, find):
     rng = np.random.default_rng(4)
     base, texts = [f"w{x}" for x in rng.integers(0, 10 ** 6, 200)], []
