@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -241,6 +242,59 @@ def test_short_texts_are_searched_many_at_a_time(monkeypatch):
     assert alone == cut
 
 
+@pytest.mark.parametrize("sides, rows, most, letters", [(1, 60_000, 1, 4), (2, 30_000, 1, 26), (1, 6_000, 30, 3), (400, 20, 20, 3)])
+def test_memory_of_a_sort_does_not_grow_with_the_string(sides, rows, most, letters):
+    rng = np.random.default_rng(sides + most)
+    side = np.repeat(np.arange(sides), rows)
+    doc, start = rng.permutation(len(side)), rng.integers(0, 50, len(side)) * 100
+    shift, n = rng.integers(32, 35, len(side)), rng.integers(1, most + 1, len(side))
+    kinds = [bytes(rng.integers(97, 97 + letters, 99 + most).astype(np.uint8)) for _ in range(len(side) // 4)] + [b"a" * 200] * (len(side) // 4)
+    pieces = [kinds[k][:99 + m] for k, m in zip(rng.integers(0, len(kinds), len(side)), n)]
+    windows = sorted((doc[i], start[i] + k, side[i], shift[i] - k, pieces[i][k:k + 100]) for i in range(len(side)) for k in range(n[i]))
+    seen, expected = set(), []
+    for d, w, *where in windows:
+        if tuple(where) in seen:
+            expected.append((d, w))
+        seen.add(tuple(where))
+    tracemalloc.start()
+    found = substrings.repeats_in(side, doc, start, shift, n, pieces)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted((d, w) for d, first, m in zip(*found) for w in range(first, first + m)) == expected
+    assert peak < 100e6
+
+
+def test_parts_of_a_string_lose_no_repeat(monkeypatch):
+    rng = np.random.default_rng(8)
+    flat, places, bucket = rng.integers(97, 99, 600).astype(np.uint8), rng.integers(0, 500, 3000), np.sort(rng.integers(0, 3, 3000))
+    seen, expected = set(), []
+    for p, b in zip(places.tolist(), bucket.tolist()):
+        expected.append((b, bytes(flat[p:p + 100])) in seen)
+        seen.add((b, bytes(flat[p:p + 100])))
+    for alone, hashes in ((7, None), (500, None), (7, 1), (1 << 14, None)):
+        monkeypatch.setattr(substrings, "ALONE", alone)
+        if hashes:  # different windows of one hash
+            monkeypatch.setattr(substrings, "hash_rows", lambda rows: rows[:, 0] % np.uint64(2))
+        assert substrings._equal_earlier_in_parts(flat, places, bucket).tolist() == expected
+        monkeypatch.undo()
+
+
+def test_large_strings_are_held_back_whole(spark):
+    rng = np.random.default_rng(7)
+    near = [bytes(rng.integers(97, 123, 100).astype(np.uint8)) for _ in range(500)]
+    table = [(7, i, 0, 40, 1, near[i * 7 % 500]) for i in range(5000)] + [(8 + i % 2, i, 200, 40, 1, near[i % 500]) for i in range(2000)]
+    frame = spark.createDataFrame(table, substrings.CONTEXTS)
+    for batch_bytes in (1000, 1 << 20):
+        found = {(r.doc_id, r.start) for r in substrings.sorted_repeats(frame, batch_bytes).collect()}
+        assert found == {(i, 0) for i in range(500, 5000)} | {(i, 200) for i in range(500, 2000)}
+
+
+def test_untouched_texts_are_cut_in_one_python_pass(docs):
+    plan = substrings.dedup_substrings(docs)._jdf.queryExecution().executedPlan().toString()
+    passes = [line for line in plan.splitlines() if "MapInArrow" in line]
+    assert len(passes) == 3  # texts that are marked, cut ones, and those nothing is cut from
+
+
 def test_suffix_sort_is_a_sort():
     rng = np.random.default_rng(3)
     flat = rng.integers(97, 99, 600).astype(np.uint8)

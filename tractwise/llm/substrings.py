@@ -26,6 +26,9 @@ BASE = 0x9E3779B97F4A7C15
 CHUNK = 1 << 20  # windows of a long text that are looked at at a time
 JOINED = 1 << 16  # bytes of short texts that are looked at at a time, so that they stay in the processor's cache
 HOT = 1 << 18  # windows around one 64-byte string that one task sorts; those of more are dealt by their own bytes
+SORTED = 1 << 17  # windows that are sorted at a time, of whole strings
+ALONE = 1 << 14  # the same, of a string of more windows or bytes, whose windows are copied one by one
+TOGETHER = 1 << 15  # comparisons of suffixes that are made at a time
 LAST = 2 ** 63 - 1  # stands for a missing id, which comes last
 
 ANCHORS = "doc_id long, gram long, around long, start long, n long, repeat boolean"
@@ -125,7 +128,7 @@ def anchors(docs: DataFrame) -> DataFrame:
                 repeat[order[1:]] = (marks[1:] == marks[:-1]) & (texts[1:] == texts[:-1])
                 rows.append((part.column(0).to_numpy()[own], gram.view(np.int64), around.view(np.int64), first, n, repeat))
                 held += len(gram)
-                if held > 200_000:
+                if held > 1 << 16:
                     yield _runs(rows)
                     rows, held = [], 0
             yield _runs(rows)
@@ -255,12 +258,14 @@ def suffix_sort(text: HashedText, places: np.ndarray, bucket: np.ndarray, most:
             open_ = np.flatnonzero(low < high)
             if not len(open_):
                 break
-            middle = (low[open_] + high[open_]) // 2
-            a, b = places[order[open_]], places[order[middle]]
-            # elements of the right run go behind equal ones of the left run
-            ahead = np.where(right[open_], ~text.less(a, b, most), text.less(b, a, most))
-            low[open_] = np.where(ahead, middle + 1, low[open_])
-            high[open_] = np.where(ahead, high[open_], middle)
+            for at in range(0, len(open_), TOGETHER):
+                some = open_[at:at + TOGETHER]
+                middle = (low[some] + high[some]) // 2
+                a, b, later = places[order[some]], places[order[middle]], right[some]
+                # elements of the right run go behind equal ones of the left run
+                ahead = later ^ text.less(np.where(later, a, b), np.where(later, b, a), most)
+                low[some] = np.where(ahead, middle + 1, low[some])
+                high[some] = np.where(ahead, high[some], middle)
         pair = begin + run // 2 * 2 * width
         target = pair + (rank - run * width) + (low - other)
         merged = np.empty_like(order)
@@ -272,29 +277,35 @@ def suffix_sort(text: HashedText, places: np.ndarray, bucket: np.ndarray, most:
 
 def repeats_in(side: np.ndarray, doc: np.ndarray, start: np.ndarray, shift: np.ndarray, n: np.ndarray,
                pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, first window, windows) of the windows that another one equals and precedes."""
+    """(document, first window, windows) of the windows that another one equals and precedes.
+
+    Rows come sorted by side. Whole sides are sorted together up to ``SORTED`` windows and 8 * ``SORTED`` bytes;
+    larger ones in parts, so that memory does not grow with the windows of a side.
+    """
     flat = np.frombuffer(b"".join(pieces), np.uint8)
-    begins = np.concatenate([[0], np.cumsum([len(p) for p in pieces])[:-1]]).astype(np.int64)
+    begins = np.cumsum([0, *map(len, pieces)])
     owner = np.repeat(np.arange(len(doc)), n)
     step = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
     places, window, back = begins[owner] + step, start[owner] + step, shift[owner] - step
     ahead = np.lexsort((window, doc[owner], back, side[owner]))
     owner, places, window, back = owner[ahead], places[ahead], window[ahead], back[ahead]
     bucket = np.cumsum((np.diff(side[owner], prepend=0) != 0) | (np.diff(back, prepend=0) != 0))
-    text = HashedText(flat)
-    order = suffix_sort(text, places, bucket, LENGTH)
-    owner, places, window, bucket = owner[order], places[order], window[order], bucket[order]
     same = np.zeros(len(owner), bool)
-    beside = np.flatnonzero(bucket[1:] == bucket[:-1])
-    for at in range(0, len(beside), 100_000):  # bounds the bytes that are compared at a time
-        b = beside[at:at + 100_000]
-        b = b[text.common(places[b], places[b + 1], LENGTH) == LENGTH]
-        windows = np.lib.stride_tricks.sliding_window_view(flat, LENGTH)
-        fine = (windows[places[b]] == windows[places[b + 1]]).all(axis=1)
-        if not fine.all():
-            raise ValueError("hashes of different strings are equal; choose another base")
-        same[b + 1] = True
-    again = np.flatnonzero(same)  # the sort is stable, so the earliest of equal ones comes first
+    rows = np.append(np.flatnonzero(np.diff(side, prepend=~side[:1])), len(side))  # where each side begins
+    ends = np.append(0, np.cumsum(n))[rows]  # its windows
+    at = 0
+    while at < len(rows) - 1:
+        most = np.searchsorted(ends, ends[at] + SORTED, "right"), np.searchsorted(begins[rows], begins[rows[at]] + 8 * SORTED, "right")
+        end = min(most) - 1
+        if end > at:
+            x, y, base = ends[at], ends[end], begins[rows[at]]
+            same[x:y] = _equal_earlier(flat[base:begins[rows[end]]], places[x:y] - base, bucket[x:y])
+        else:
+            end = at + 1
+            x, y = ends[at], ends[end]
+            same[x:y] = _equal_earlier_in_parts(flat, places[x:y], bucket[x:y])
+        at = end
+    again = np.flatnonzero(same)
     owner, window = owner[again], window[again]
     ahead = np.lexsort((window, owner))
     owner, window = owner[ahead], window[ahead]
@@ -304,7 +315,50 @@ def repeats_in(side: np.ndarray, doc: np.ndarray, start: np.ndarray, shift: np.n
     return doc[owner[first]], window[first], np.diff(np.append(first, len(owner)))
 
 
-def sorted_repeats(rows: DataFrame, batch_bytes: int = 4 << 20) -> DataFrame:
+def _equal_earlier(flat: np.ndarray, places: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """Whether each window, sorted by bucket and then from the earliest on, equals an earlier one of its bucket."""
+    text = HashedText(flat)
+    order = suffix_sort(text, places, bucket, LENGTH)
+    places, bucket = places[order], bucket[order]
+    windows = np.lib.stride_tricks.sliding_window_view(flat, LENGTH)
+    same = np.zeros(len(order), bool)
+    beside = np.flatnonzero(bucket[1:] == bucket[:-1])
+    for at in range(0, len(beside), TOGETHER):  # bounds the bytes that are compared at a time
+        b = beside[at:at + TOGETHER]
+        b = b[text.common(places[b], places[b + 1], LENGTH) == LENGTH]
+        fine = (windows[places[b]] == windows[places[b + 1]]).all(axis=1)
+        if not fine.all():
+            raise ValueError("hashes of different strings are equal; choose another base")
+        same[b + 1] = True
+    out = np.zeros(len(order), bool)
+    out[order] = same  # the sort is stable, so the earliest of equal ones comes first
+    return out
+
+
+def _equal_earlier_in_parts(flat: np.ndarray, places: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """The same, ``ALONE`` windows at a time in the order of their hashes.
+
+    Equal windows have equal hashes; where a part ends between two of one hash, those of that hash that
+    equal no earlier one go before the next part too.
+    """
+    windows = np.lib.stride_tricks.sliding_window_view(flat, LENGTH)
+    key = np.zeros(len(places), np.uint64)
+    for at in range(0, len(places), ALONE):
+        held = windows[places[at:at + ALONE]]
+        key[at:at + ALONE] = mix(hash_rows(held[:, :64])) + mix(hash_rows(held[:, LENGTH - 64:]) + np.uint64(1)) * np.uint64(3)
+    key = mix(key + bucket.astype(np.uint64) * np.uint64(BASE))
+    order = np.argsort(key, kind="stable")
+    out, kept = np.zeros(len(places), bool), order[:0]
+    for at in range(0, len(order), ALONE):
+        part = order[at:at + ALONE]
+        part = np.sort(np.concatenate([kept[key[kept] == key[part[0]]], part]))
+        same = _equal_earlier(windows[places[part]].ravel(), np.arange(len(part)) * LENGTH, bucket[part])
+        out[part[same]] = True
+        kept = part[~same & (key[part] == key[order[min(at + ALONE, len(order)) - 1]])]
+    return out
+
+
+def sorted_repeats(rows: DataFrame, batch_bytes: int = 1 << 20) -> DataFrame:
     """Windows under the contexts that repeat an earlier one."""
     spread = rows.repartition("side").sortWithinPartitions("side")
 
@@ -316,15 +370,15 @@ def sorted_repeats(rows: DataFrame, batch_bytes: int = 4 << 20) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            if held.column(5).nbytes < batch_bytes:
-                continue
-            side = held.column(0).to_numpy()
-            ends = np.flatnonzero(side[1:] != side[:-1]) + 1
-            if len(ends):
-                yield found(held.slice(0, int(ends[-1])))
-                held = held.slice(int(ends[-1])).combine_chunks()
+            for at in range(0, batch.num_rows, 1024):
+                table = pa.Table.from_batches([batch.slice(at, 1024)])
+                held = table if held is None else pa.concat_tables([held, table])
+                if held.column(5).nbytes < batch_bytes or held.column(0)[0] == held.column(0)[-1]:
+                    continue
+                side = held.column(0).to_numpy()
+                end = int(np.flatnonzero(side[1:] != side[:-1])[-1]) + 1
+                yield found(held.slice(0, end))
+                held = held.slice(end).combine_chunks()
         if held is not None:
             yield found(held)
 
@@ -386,7 +440,12 @@ def dealt_repeats(rows: DataFrame) -> DataFrame:
 
 
 def repeated(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """doc_id, start and n: runs of n windows from start on that also start earlier.
+    """doc_id, start and n: runs of n windows from start on that also start earlier, as ``repeated_by_document`` finds them."""
+    return repeated_by_document(docs, hot).select("doc_id", F.explode("runs").alias("run")).select("doc_id", "run.start", "run.n")
+
+
+def repeated_by_document(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """doc_id and runs, a sorted array of (start, n): runs of n windows from start on that also start earlier.
 
     Documents come in the order of their ids; one without an id comes last; rows that repeat an id
     don't count as earlier than one another.
@@ -418,12 +477,14 @@ def repeated(docs: DataFrame, hot: int = HOT) -> DataFrame:
     partial = sorted_repeats(rest.join(alike.select("side"), "side", "left_semi").select(*fields))
     partial = partial if dealt is None else partial.unionByName(dealt)
     whole = table.filter("repeat").select("doc_id", "start", "n").unionByName(copies.select("doc_id", "start", "n"))
-    out = settle(whole.unionByName(partial))
+    runs = whole.unionByName(partial).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias("runs"))
+    out = settle(runs)
     release(table, rows, classes, sides, alike, *([] if dealt is None else [dealt]))
     return out
 
 
 CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+RUNS = pa.list_(pa.struct([("start", pa.int64()), ("n", pa.int64())]))
 
 
 def dedup_substrings(docs: DataFrame, hot: int = HOT) -> DataFrame:
@@ -432,16 +493,19 @@ def dedup_substrings(docs: DataFrame, hot: int = HOT) -> DataFrame:
     Null and empty texts have no bytes; texts of fewer than ``LENGTH`` bytes stay whole; other columns
     are ignored. What stays need not be valid UTF-8.
     """
-    runs = repeated(docs, hot)
-    bits = fixed_filter(runs.select(F.xxhash64("doc_id").alias("h")), "h")
-    grouped = runs.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias("runs"))
+    grouped = repeated_by_document(docs, hot)
+    bits = fixed_filter(grouped.select(F.xxhash64("doc_id").alias("h")), "h")
 
-    def split(touched: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array(passes(batch.column(2).to_numpy(), bits.value) == touched)).select([0, 1])
+    def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(passes(batch.column(2).to_numpy(), bits.value))).select([0, 1])
 
-        return _ids(docs).withColumn("h", F.xxhash64("doc_id")).mapInArrow(run, "doc_id long, text string")
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # cut at once, as a second pass in the same stage would need Python workers of its own
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                part = part.filter(pa.array(~passes(part.column(2).to_numpy(), bits.value)))
+                yield from cut([pa.RecordBatch.from_arrays([*part.columns[:2], pa.nulls(part.num_rows, RUNS)], names=["doc_id", "text", "runs"])])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -459,10 +523,9 @@ def dedup_substrings(docs: DataFrame, hot: int = HOT) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(
                     zip(*rows), (*[pa.int64()] * 4, pa.binary()))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    kind = grouped.schema["runs"].dataType
-    changed = split(True).join(grouped, "doc_id", "left").select("doc_id", "text", "runs")
-    same = split(False).withColumn("runs", F.lit(None).cast(kind))
-    return changed.mapInArrow(cut, CUT).unionByName(same.mapInArrow(cut, CUT))
+    marked = _ids(docs).withColumn("h", F.xxhash64("doc_id"))
+    changed = marked.mapInArrow(touched, "doc_id long, text string").join(grouped, "doc_id", "left").select("doc_id", "text", "runs")
+    return changed.mapInArrow(cut, CUT).unionByName(marked.mapInArrow(rest, CUT))
 
 
 def _merged(runs: pa.ListArray) -> tuple[list[int], list[int], list[int]]:
