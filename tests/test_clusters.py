@@ -369,6 +369,57 @@ def test_rounds_keep_partners_and_give_the_same_tree(spark):
     assert rounds[0][1:] == (60, 3600) and sum(done for *_, done in rounds[1:]) < 0.8 * sum(n * n for _, n, _ in rounds[1:])
 
 
+@pytest.mark.parametrize("kind", ["blobs", "grid"])
+def test_cells_give_the_tree_of_all_blocks(spark, kind):
+    rng = np.random.default_rng(11)
+    x = blobs(4, (120, 70, 30), 3) if kind == "blobs" else rng.integers(0, 5, (220, 3)).astype(float)
+    points = vectors(spark, x)
+    key = lambda r: (r["a"], r["b"], r["into"], r["size"], r["height"])
+    by_blocks = hi.ward_merges(points, "vec", 60, 32)
+    by_cells = hi.ward_merges(points, "vec", 60, cell=12)
+    assert sorted(map(key, by_cells.collect())) == sorted(map(key, by_blocks.collect()))
+
+
+def test_cells_that_cannot_hold_a_partner_are_not_searched(spark):
+    x = np.concatenate([np.random.default_rng(i).normal(size=(40, 3)) + 50 * i for i in range(6)])
+    state = vectors(spark, x).withColumn("size", F.lit(1).cast("bigint"))
+    near, (placed, asked) = hi._nearest_by_cells(state, len(x), 20)
+    searched = asked.select(F.sum(F.size("targets"))).first()[0]
+    assert placed.select("number").distinct().count() >= 6 and searched < 4 * len(x)
+    best = {r["id"]: r["c"] for r in near.groupBy("id").agg(F.min(F.struct("cost", "partner")).alias("c")).collect()}
+    cost = hi._ward_costs(x, np.ones(len(x)), x, np.ones(len(x)))
+    np.fill_diagonal(cost, np.inf)
+    assert {i: tuple(c) for i, c in best.items()} == {i: (row.min(), row.argmin()) for i, row in enumerate(cost)}
+
+
+@pytest.mark.parametrize("kind", ["near", "ties"])
+def test_a_cell_is_searched_exactly(kind, monkeypatch):
+    monkeypatch.setattr(hi, "LEAF", 7)
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(130, 4)) + 1e6 if kind == "near" else rng.integers(0, 4, (130, 4)).astype(float)
+    size = rng.integers(1, 40, 130) if kind == "near" else np.repeat([1, 3], 65)
+    frame = hi.pd.DataFrame({"id": rng.permutation(130), "vec": list(x), "size": size})
+    cells = hi._Cells(x.mean(0), np.linalg.eigh(np.cov(x.T))[1], {})
+    ask, cost = frame.iloc[:80].assign(cost=np.inf, partner=-1), hi._ward_costs(x, size.astype(float), x, size.astype(float))
+    np.fill_diagonal(cost, np.inf)
+    best, who = hi._look_in_cell(ask, frame, cells, True)
+    want = [min(zip(row, frame["id"])) for row in cost[:80]]
+    assert list(zip(best, who)) == want
+    # what was found before stays unless the cell has better
+    held = ask.assign(cost=[c * (.5 if i % 2 else 1) for i, (c, _) in enumerate(want)], partner=-1)
+    best, who = hi._look_in_cell(held, frame, cells, True)
+    assert list(best) == list(held["cost"]) and (who == -1).all()
+
+
+def test_equal_points_take_no_rounds(spark):
+    x = np.repeat(np.array([[0.0, 0], [5, 5], [9, 0], [7, 1]]), [30, 1, 25, 4], axis=0)
+    points, rounds = vectors(spark, x), []
+    key = lambda r: (r["a"], r["b"], r["into"], r["size"], r["height"])
+    ours = hi.ward_merges(points, "vec", 1, 16, rounds).collect()
+    assert len(rounds) <= 3 and rounds[0][1] == 4
+    assert [r for r in sorted(map(key, ours)) if not r[4]] == [r for r in sorted(map(key, hi.ward_merges(points, "vec").collect())) if not r[4]]
+
+
 def test_complete_linkage_order():
     from tractwise.plans.tree import complete_linkage_order
 

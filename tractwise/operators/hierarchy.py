@@ -1,24 +1,28 @@
 """Exact Ward clustering and silhouettes over any number of points.
 
-Both need every pair's distance, but no pair ever becomes a row. Points are cut into hash blocks;
-one task compares one block with another in numpy and returns one row per point. Hash blocks are
-even whatever the data, so no task grows with a hot key.
+No pair of points ever becomes a row. Points are cut into hash blocks; one task compares one block
+with another in numpy and returns one row per point. Hash blocks are even whatever the data, so no
+task grows with a hot key. Silhouettes need every pair of blocks. Nearest partners of many clusters
+are looked for in cells of neighbours instead: the box of a cell tells which clusters it cannot serve.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tractwise.functions.ranks import hash_rank
+from tractwise.functions.ranks import hash_rank, running_sums
 from tractwise.session import release, settle
 
 TILE = 512
 EPS = np.finfo(float).eps
+# clusters up to which all blocks are compared; rows the driver sees to cut cells; clusters of a leaf; of one group that ask
+FEW, SAMPLE, LEAF, ASKING = 16384, 32768, 256, 65536
 
 
 def _block_size(n: int) -> int:
@@ -215,9 +219,262 @@ def _nearest_in_block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": ids[found], "partner": partner[found], "cost": cost[found]})
 
 
+def _size_class(size: np.ndarray) -> np.ndarray:
+    return np.frexp(size)[1] - 1
+
+
+def _halves(x: np.ndarray) -> tuple[int, float, np.ndarray] | None:
+    """Column of the largest spread, where to cut it, and which rows are below; None if all rows are equal there."""
+    axis = int(x.var(0).argmax())
+    cut = float(np.partition(x[:, axis], (len(x) - 1) // 2)[(len(x) - 1) // 2])
+    low = x[:, axis] <= cut
+    if low.all():
+        cut = float(np.nextafter(cut, -np.inf))
+        low = x[:, axis] <= cut
+    return (axis, cut, low) if low.any() and not low.all() else None
+
+
+def _leaves(x: np.ndarray, rows: np.ndarray, most: int) -> list[np.ndarray]:
+    """Rows in groups of neighbours, ``most`` at most in each unless all are equal."""
+    found = _halves(x[rows]) if len(rows) > most else None
+    return [rows] if found is None else _leaves(x, rows[found[2]], most) + _leaves(x, rows[~found[2]], most)
+
+
+def _box_bounds(x: np.ndarray, size: np.ndarray, low: np.ndarray, high: np.ndarray, least: np.ndarray,
+                slack: float) -> np.ndarray:
+    """Square costs that no cluster of a box, whose sizes start at ``least``, is below, whatever was rounded."""
+    square = np.zeros((len(x), len(low)))
+    for j in range(x.shape[1]):
+        own = x[:, j, None]
+        gap = np.maximum(np.maximum(low[:, j] - own, own - high[:, j]), 0)
+        square += gap * gap
+    far = np.maximum(np.sqrt(square, out=square) - slack, 0)
+    far *= far
+    far *= size[:, None] * (2 * least) / (size[:, None] + least)
+    return far
+
+
+def _reach(best: np.ndarray) -> np.ndarray:
+    """Square costs up to which a bound leaves a cluster in question."""
+    return best * best * (1 + 1e-9)
+
+
+@dataclass
+class _Cells:
+    """Neighbouring clusters of like sizes. The cuts are those of a sample and only balance the work; boxes are exact."""
+
+    middle: np.ndarray
+    axes: np.ndarray
+    trees: dict
+    number: np.ndarray | None = None
+    low: np.ndarray | None = None
+    high: np.ndarray | None = None
+    least: np.ndarray | None = None
+
+    def turn(self, vec: np.ndarray) -> np.ndarray:
+        return (vec - self.middle) @ self.axes
+
+    def slack(self, *turned: np.ndarray) -> float:
+        """More than distances can lose by turning the vectors."""
+        return 64 * (len(self.middle) + 8) * EPS * sum(float(np.sqrt((t * t).sum(1).max())) for t in turned)
+
+    def place(self, x: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Cell of every row. A class of sizes that the sample has not is one cell."""
+        out, classes = np.empty(len(x), dtype=np.int64), _size_class(size)
+        for kind in np.unique(classes):
+            todo = [(self.trees.get(int(kind), -1 - int(kind)), np.flatnonzero(classes == kind))]
+            while todo:
+                tree, rows = todo.pop()
+                if isinstance(tree, int):
+                    out[rows] = tree
+                elif len(rows):
+                    axis, cut, below, above = tree
+                    low = x[rows, axis] <= cut
+                    todo += [(below, rows[low]), (above, rows[~low])]
+        return out
+
+
+def _cut_cells(state: DataFrame, n: int, cell: int) -> _Cells:
+    """Cells of about ``cell`` clusters."""
+    seen = state.filter(F.pmod(F.xxhash64("id", F.lit("cells")), F.lit(max(1, n // SAMPLE))) == 0).select("vec", "size").toPandas()
+    if seen.empty:
+        seen = state.select("vec", "size").limit(1).toPandas()
+    vec, classes = np.nan_to_num(_matrix(seen["vec"])), _size_class(seen["size"].to_numpy(float))
+    middle = vec.mean(0)
+    cells = _Cells(middle, np.linalg.eigh((vec - middle).T @ (vec - middle))[1], {})
+    x, most, numbers = cells.turn(vec), max(2, cell * len(vec) // n), iter(range(2 * len(vec)))
+
+    def grow(rows: np.ndarray):
+        found = _halves(x[rows]) if len(rows) > most else None
+        if found is None:
+            return next(numbers)
+        axis, cut, low = found
+        return axis, cut, grow(rows[low]), grow(rows[~low])
+
+    cells.trees = {int(kind): grow(np.flatnonzero(classes == kind)) for kind in np.unique(classes)}
+    return cells
+
+
+def _placed(state: DataFrame, n: int, cell: int) -> tuple[DataFrame, _Cells]:
+    """``state`` with the ``number`` of every cluster's cell, settled, and the boxes of the cells."""
+    cells = _cut_cells(state, n, cell)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield batch.assign(number=cells.place(cells.turn(_matrix(batch["vec"])), batch["size"].to_numpy(float)))
+
+    def boxes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[int, tuple] = {}
+        for batch in batches:
+            if batch.empty:
+                continue
+            x, size = cells.turn(_matrix(batch["vec"])), batch["size"].to_numpy(float)
+            for number, rows in batch.reset_index(drop=True).groupby("number").indices.items():
+                one = (len(rows), size[rows].min(), x[rows].min(0), x[rows].max(0))
+                old = found.get(number, one)
+                found[number] = one if old is one else (
+                    old[0] + one[0], min(old[1], one[1]), np.minimum(old[2], one[2]), np.maximum(old[3], one[3]))
+        if found:
+            yield pd.DataFrame([(k, *v) for k, v in found.items()], columns=["number", "n", "least", "low", "high"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in state.schema)
+    placed = settle(state.mapInPandas(place, f"{schema}, number bigint"))
+    parts = placed.select("vec", "size", "number").mapInPandas(
+        boxes, "number bigint, n bigint, least double, low array<double>, high array<double>").toPandas()
+    rows = [(number, int(some["n"].sum()), some["least"].min(), _matrix(some["low"]).min(0), _matrix(some["high"]).max(0))
+            for number, some in parts.groupby("number")]
+    shares, free = F.col("number"), max(number for number, *_ in rows) + 1
+    for number, count, *box in list(rows):
+        if count > 2 * cell:
+            # a hash deals out what has no cut or was seldom seen: the first share keeps the number
+            more = -(-count // cell) - 1
+            share = F.pmod(F.xxhash64("id"), F.lit(more + 1))
+            shares = F.when(F.col("number") == number, F.when(share == 0, number).otherwise(share - 1 + free)).otherwise(shares)
+            rows += [(free + i, 0, *box) for i in range(more)]
+            free += more
+    cells.number, cells.least = np.array([r[0] for r in rows]), np.array([r[2] for r in rows], dtype=float)
+    cells.low, cells.high = np.stack([r[3] for r in rows]), np.stack([r[4] for r in rows])
+    return placed.withColumn("number", shares.cast("bigint")), cells
+
+
+def _look_in_cell(ask: pd.DataFrame, cell: pd.DataFrame, cells: _Cells, own: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Best cost and partner that the clusters of ``ask`` have after looking through a cell; ties go to the lower id.
+
+    ``ask`` says what they had before. The cell is cut into leaves; each cluster sees the nearest
+    first, and then those whose box may hold a partner as good as its own. ``own``: both may be the same cluster.
+    """
+    best, who = ask["cost"].to_numpy(float).copy(), ask["partner"].to_numpy(np.int64).copy()
+    ida, idb = ask["id"].to_numpy(np.int64), cell["id"].to_numpy(np.int64)
+    left, right = _matrix(ask["vec"]), _matrix(cell["vec"])
+    na, nb = ask["size"].to_numpy(float), cell["size"].to_numpy(float)
+    turned, other = cells.turn(left), cells.turn(right)
+    classes = _size_class(nb)
+    leaves = [leaf for kind in np.unique(classes) for leaf in _leaves(other, np.flatnonzero(classes == kind), LEAF)]
+    low, high = np.stack([other[leaf].min(0) for leaf in leaves]), np.stack([other[leaf].max(0) for leaf in leaves])
+    bounds = _box_bounds(turned, na, low, high, np.array([nb[leaf].min() for leaf in leaves]), cells.slack(turned, other))
+    x, y = left - cells.middle, right - cells.middle
+    xx, yy = (x * x).sum(1), (y * y).sum(1)
+    # the product below is no larger than the square distance, whatever was rounded
+    slack = 8 * (x.shape[1] + 8) * EPS
+    x = np.column_stack([-2 * x, xx * (1 - slack), np.ones(len(x))])
+    y = np.column_stack([y, np.ones(len(y)), yy * (1 - slack)])
+
+    def look(rows: np.ndarray, leaf: np.ndarray) -> None:
+        least = x[rows] @ y[leaf].T
+        error = 2 * slack * (xx[rows].max() + yy[leaf].max())
+        if na[rows].max() > 1 or nb[leaf].max() > 1:
+            least *= na[rows, None] * (2 * nb[leaf]) / (na[rows, None] + nb[leaf])
+            error *= 2 * min(na[rows].max(), nb[leaf].max())
+        if own:
+            least[ida[rows, None] == idb[leaf]] = np.inf
+        limit = np.minimum(_reach(best[rows]), least.min(1) + error)
+        r, c = np.nonzero(least <= limit[:, None])
+        for at in range(0, len(r), 1 << 16):
+            a, b = rows[r[at:at + (1 << 16)]], leaf[c[at:at + (1 << 16)]]
+            cost = np.sqrt(_pair_squares(left[a], right[b]) * (2 * na[a] * nb[b]) / (na[a] + nb[b]))
+            cost[ida[a] == idb[b]] = np.inf
+            order = np.lexsort((idb[b], cost, a))
+            first = order[np.unique(a[order], return_index=True)[1]]
+            mine, found, partner = a[first], cost[first], idb[b[first]]
+            better = (found < best[mine]) | ((found == best[mine]) & (partner < who[mine]))
+            best[mine[better]], who[mine[better]] = found[better], partner[better]
+
+    nearest = bounds.argmin(1)
+    for near in (True, False):
+        for k, leaf in enumerate(leaves):
+            rows = np.flatnonzero((nearest == k) if near else (nearest != k) & (bounds[:, k] <= _reach(best)))
+            for at in range(0, len(rows), 2 * TILE):
+                look(rows[at:at + 2 * TILE], leaf)
+    return best, who
+
+
+def _nearest_by_cells(state: DataFrame, n: int, cell: int | None, some: DataFrame | None = None) -> tuple[DataFrame, list[DataFrame]]:
+    """Candidates (id, partner, cost) that hold the best partner of every cluster, or of ``some`` of them; and what to release.
+
+    Each looks through its own cell first, and then through all cells whose box may hold a partner
+    as good as the one found there. Tasks hold one cell and a bounded share of those that ask.
+    """
+    asks = F.lit(True) if some is None else F.coalesce("asks", F.lit(False))
+    marked = state if some is None else state.join(some.select("id", F.lit(True).alias("asks")), "id", "left")
+    placed, cells = _placed(marked.select("id", "vec", "size", asks.alias("asks")), n,
+                            cell or min(4096, max(1024, n // 32)))
+
+    def first(group: pd.DataFrame) -> pd.DataFrame:
+        ask = group[group["asks"]].assign(cost=np.inf, partner=-1)
+        if ask.empty:
+            return ask.assign(targets=None)[["id", "vec", "size", "cost", "partner", "targets"]]
+        best, who = _look_in_cell(ask, group, cells, True)
+        turned, others = cells.turn(_matrix(ask["vec"])), cells.number != group["number"].iloc[0]
+        slack = cells.slack(turned, cells.low, cells.high)
+        targets = []
+        for at in range(0, len(ask), TILE):
+            rows = slice(at, at + TILE)
+            bounds = _box_bounds(turned[rows], ask["size"].to_numpy(float)[rows], cells.low, cells.high, cells.least, slack)
+            targets += [cells.number[row] for row in (bounds <= _reach(best[rows])[:, None]) & others]
+        return pd.DataFrame({"id": ask["id"].to_numpy(), "vec": ask["vec"].to_numpy(), "size": ask["size"].to_numpy(),
+                             "cost": best, "partner": who, "targets": targets})
+
+    def later(ask: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
+        if ask.empty or group.empty:
+            return pd.DataFrame({"id": [], "partner": [], "cost": []})
+        best, who = _look_in_cell(ask, group, cells, False)
+        new = who != ask["partner"].to_numpy()
+        return pd.DataFrame({"id": ask["id"].to_numpy()[new], "partner": who[new], "cost": best[new]})
+
+    asked = settle(placed.groupBy("number").applyInPandas(
+        first, "id bigint, vec array<double>, size bigint, cost double, partner bigint, targets array<bigint>"))
+    chunks = -(-(n if some is None else some.count()) // ASKING)
+    left = asked.select("id", "vec", "size", "cost", "partner", F.explode("targets").alias("number")).withColumn(
+        "_chunk", F.pmod(F.xxhash64("id"), F.lit(max(1, chunks))).cast("int"))
+    right = placed.select("id", "vec", "size", "number", F.explode(F.sequence(F.lit(0), F.lit(max(1, chunks) - 1))).alias("_chunk"))
+    schema = "id bigint, partner bigint, cost double"
+    found = left.groupBy("number", "_chunk").cogroup(right.groupBy("number", "_chunk")).applyInPandas(later, schema)
+    return asked.filter("partner >= 0").select("id", "partner", "cost").unionByName(found), [placed, asked]
+
+
 MERGES = "a bigint, b bigint, into bigint, height double, size bigint"
 
 
+def _merge_equal(state: DataFrame, n: int) -> tuple[DataFrame, DataFrame | None]:
+    """Equal points as one cluster each, and their merges at height 0: every copy joins the lowest id, by its order.
+
+    Rounds would make one of these merges for each group of equal points.
+    """
+    groups = settle(state.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("size")))
+    if groups.count() == n:
+        release(groups)
+        return state, None
+    ends = state.agg(F.min("id").alias("lo"), F.max("id").alias("hi")).first()
+    bucket = F.floor((F.col("id") - ends["lo"]) / F.lit((ends["hi"] - ends["lo"]) // 64 + 1)).cast("int")
+    copies = state.join(groups.filter("size > 1").select("vec", F.col("id").alias("into")), "vec").select(
+        "id", "into", bucket.alias("_b"), F.lit(1).cast("bigint").alias("_one"))
+    ranked = running_sums(copies, ["into"], "id", "_b", ["_one"], few_buckets=False)
+    merged = ranked.filter("id <> into").select(F.col("into").alias("a"), F.col("id").alias("b"), "into",
+                                                F.lit(0.0).alias("height"), F.col("cum__one").alias("size"))
+    return groups.select("id", "vec", "size"), settle(merged)
+
+
 def _finish_local(clusters: pd.DataFrame) -> pd.DataFrame:
     """All remaining merges of a bounded number of clusters, the closest pair first."""
     state = clusters.sort_values("id").reset_index(drop=True)
@@ -249,16 +506,18 @@ def _finish_local(clusters: pd.DataFrame) -> pd.DataFrame:
 
 
 def ward_merges(points: DataFrame, vec: str = "vec", local_limit: int = 2000,
-                block: int | None = None, rounds: list[tuple[int, int, int]] | None = None) -> DataFrame:
+                block: int | None = None, rounds: list[tuple[int, int, int]] | None = None,
+                cell: int | None = None) -> DataFrame:
     """Merge table (a, b, into, height, size) of the points, whose ``id`` is a whole number.
 
-    A merged cluster keeps the lower id. Each round finds every cluster's nearest partner and
+    A merged cluster keeps the lower id; points that are equal are merged first. Each round finds every cluster's nearest partner and
     merges all pairs that choose each other. Ward's cost never lets a merge create a closer
     neighbour, so this yields the same tree as merging the closest pair again and again, and a
     cluster keeps the partner it found until one of the two is merged: a round compares only
     new clusters and those that lost their partner with the others. Rounds end when at most
-    ``local_limit`` clusters remain; those fit one small task. ``rounds`` is given a row for each:
-    its number, the clusters there were, and the comparisons made.
+    ``local_limit`` clusters remain; those fit one small task. More than ``FEW`` clusters, or ``cell``,
+    are compared by cells, with the same result. ``rounds`` is given a row for each:
+    its number, the clusters there were, and the comparisons made or told by boxes.
     """
     state = settle(points.select(F.col("id").cast("bigint").alias("id"), F.col(vec).alias("vec"),
                                  F.lit(1).cast("bigint").alias("size")))
@@ -266,15 +525,25 @@ def ward_merges(points: DataFrame, vec: str = "vec", local_limit: int = 2000,
     done = spark.createDataFrame([], MERGES)
     n = state.count()
     kept, lost, at = None, None, 0
+    if n > max(local_limit, 1):
+        state, equal = _merge_equal(state, n)
+        if equal is not None:
+            done, n = equal, state.count()
     while n > max(local_limit, 1):
         at += 1
-        near = _block_pairs(state, ["id", "vec", "size"], n, block, _nearest_in_block,
-                            "id bigint, partner bigint, cost double", lost)
+        used: list[DataFrame] = []
+        if cell or (not block and n > FEW):
+            near, used = _nearest_by_cells(state, n, cell, lost)
+        else:
+            near = _block_pairs(state, ["id", "vec", "size"], n, block, _nearest_in_block,
+                                "id bigint, partner bigint, cost double", lost)
         if rounds is not None:
             rounds.append((at, n, (n if lost is None else lost.count()) * n))
         pool = near if kept is None else near.unionByName(kept)
         choice = settle(pool.groupBy("id").agg(F.min(F.struct("cost", "partner")).alias("_c")).select(
             "id", F.col("_c.partner").alias("partner"), F.col("_c.cost").alias("cost")))
+        if used:
+            release(*used)
         mutual = choice.groupBy(F.least("id", "partner").alias("a"),
                                 F.greatest("id", "partner").alias("b")).agg(
             F.count("*").alias("_votes"), F.max("cost").alias("height")).filter("_votes = 2")
